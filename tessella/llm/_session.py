@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,3 +61,8 @@ def pieces(text: Column, n: int, size: int) -> Column:
     text = F.coalesce(text, F.lit(""))
     room = F.length(text) - size
     return F.when(room <= 0, F.array(text)).otherwise(F.transform(F.sequence(F.lit(0), F.least(F.lit(n - 1), F.ceil(room / size).cast("int"))), lambda i: F.substring(text, (i * room / F.greatest(F.lit(1), F.least(F.lit(n - 1), F.ceil(room / size).cast("int")))).cast("int") + 1, F.lit(size))))
+
+
+def extended(df: DataFrame, keep: tuple[str, ...], ddl: str) -> T.StructType:
+    """The schema of the columns ``keep`` followed by those of ``ddl``."""
+    return T.StructType([*df.select(*keep).schema.fields, *T.StructType.fromDDL(ddl).fields])

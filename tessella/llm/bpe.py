@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._session import extended
 from ._text import slices
 
 CACHE_ENTRIES = 300_000
@@ -120,8 +121,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests: bool = False) -> DataFrame:
     """Adds ``ids`` array<int> and ``decoded`` binary to the columns of ``keep``; with ``digests`` their SHA-256 and count instead."""
-    schema = df.select(*keep).schema
-    out_schema = schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string") if digests else schema.add("ids", "array<int>").add("decoded", "binary")
+    out_schema = extended(df, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -142,7 +142,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tup
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The bytes of an ``array<int>`` column of ids, as ``decoded`` binary; a null is empty."""
-    schema = df.select(*keep).schema.add("decoded", "binary")
+    schema = extended(df, keep, "decoded binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)

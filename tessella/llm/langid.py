@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import pieces, sample_ids
+from ._session import extended, pieces, sample_ids
 from ._text import LOWER_VALUES, U64, segment_sum, slices
 
 BLOCK = 2048
@@ -112,7 +112,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds ``lang_pred`` and ``score``, a softmax of the margins."""
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = extended(docs, keep, "lang_pred string, score double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

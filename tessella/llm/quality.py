@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import pieces, sample_ids
+from ._session import extended, pieces, sample_ids
 from ._text import LOWER, segment_sum, slices, span_hashes, words
 
 BITS = 15
@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), tail_at: int | None = None) -> DataFrame:
     """Adds ``expected_grade`` and ``tail`` = P(grade >= tail_at), by default of the second lowest grade."""
-    schema = docs.select(*keep).schema.add("expected_grade", "double").add("tail", "double")
+    schema = extended(docs, keep, "expected_grade double, tail double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     j = max(0, int(np.searchsorted(model.grades, model.grades[0] if tail_at is None else tail_at)) - (tail_at is not None))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import pieces, sample_ids
+from ._session import extended, pieces, sample_ids
 from ._text import segment_max, slices, span_hashes, words
 
 WIDTH = 24
@@ -203,7 +203,7 @@ def inserted(counts: Counter, rng: np.random.Generator) -> Counter:
     return Counter({w[:i] + bytes([97 + int(rng.integers(26))]) + w[i:]: 0.5 * n / (len(w) - 1) for w, n in sorted(counts.items()) if len(w) >= 5 for i in range(1, len(w))})
 
 
-def fit(texts: list[str], labels: np.ndarray, m: int = 80, rounds: int = 4, seed: int = 3) -> Model:
+def fit(texts: list[str], labels: np.ndarray, m: int = 80, rounds: int = 6, seed: int = 3) -> Model:
     """texts: labelled documents; each label holds for the document's sentence whose strongest word is strongest."""
     if len(set(labels.tolist())) < 2:
         return Model(None, np.zeros(0), -8.0, 1.0)
@@ -231,6 +231,7 @@ def fit(texts: list[str], labels: np.ndarray, m: int = 80, rounds: int = 4, seed
         return Model(None, np.zeros(0), -8.0, 1.0)
     arrays = lambda ws: (np.frombuffer(b"".join(ws), np.uint8), *(lambda e: (e - [len(w) for w in ws], e))(np.cumsum([len(w) for w in ws])))
     hard: list[bytes] = []
+    seen: Counter = Counter()  # rounds in which a clean word came too near the border
     model = None
     for _ in range(rounds):
         marks = [*dict.fromkeys([*toxic, *clean, *hard])]
@@ -245,12 +246,13 @@ def fit(texts: list[str], labels: np.ndarray, m: int = 80, rounds: int = 4, seed
         ws = [*plus, *negative]
         f = gather(ws) @ white
         y = np.concatenate([np.ones(len(plus)), -np.ones(len(negative))])
-        weight = np.concatenate([[np.sqrt(counts[w]) for w in plus], np.ones(len(negative))])
-        weight[: len(plus)] *= 0.25 * len(negative) / weight[: len(plus)].sum()
+        weight = np.concatenate([[np.sqrt(counts[w]) for w in plus], [1 + np.sqrt(neg[w]) + 8 * seen[w] for w in negative]])
+        weight[: len(plus)] *= 0.25 * weight[len(plus) :].sum() / weight[: len(plus)].sum()
         w, bias = svm(f, y, weight)
         model = Model(land, (white @ w).astype(np.float32), bias, 4.0)
         value = model.values(*arrays(pool)) if pool else np.zeros(0)
         worst = [pool[i] for i in np.argsort(-value, kind="stable")[:400]]
+        seen.update(w for w, x in zip(worst, -np.sort(-value, kind="stable"), strict=False) if x > -0.5)
         negative = sorted({*negative, *worst})
         hard = worst[: m // 4]
     return model
@@ -297,7 +299,7 @@ class Scorer:
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds ``score``, 0 to 1; the support vector machine's own border is at 0.5."""
-    schema = docs.select(*keep).schema.add("score", "double")
+    schema = extended(docs, keep, "score double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
