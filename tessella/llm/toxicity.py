@@ -18,6 +18,7 @@ texts score as a clean word; without both labels every text scores 0; repeated r
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -269,6 +270,15 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 class Scorer:
     """Document scores; remembers the values of words by hash."""
 
+    latest: "tuple[str, Scorer] | None" = None
+
+    @classmethod
+    def of(cls, name: str, model: Model) -> "Scorer":
+        """The worker's scorer for the model of that name, so that tasks share what it remembers."""
+        if cls.latest is None or cls.latest[0] != name:
+            cls.latest = name, cls(model)
+        return cls.latest[1]
+
     def __init__(self, model: Model):
         self.model, self.keys, self.vals = model, np.zeros(0, np.uint64), np.zeros(0)
 
@@ -300,10 +310,10 @@ class Scorer:
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds ``score``, 0 to 1; the support vector machine's own border is at 0.5."""
     schema = extended(docs, keep, "score double")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer.of(name, shared.value)
         for rows, buf, offs in slices(batches, "_text"):
             yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(keep))), pa.array(scorer(buf, offs), pa.float64())], names=schema.names)
 
