@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, neardup, quality, secrets, suffixdedup, toxicity
+from . import bpe, decontam, fingerprint, langid, neardup, quality, secrets, suffixdedup, toxicity
 from ._session import fold
 
 
@@ -54,6 +54,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it holds."""
+    return decontam.contaminated(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
 def bpe_vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
@@ -68,5 +73,5 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_quality, op5_suffix_dedup, op6_fingerprints, op7_language_id, op9_byte_bpe, op10_minhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_quality, op5_suffix_dedup, op6_fingerprints, op7_language_id, op8_decontamination, op9_byte_bpe, op10_minhash_near_dedup)}
 ORACLES: dict[str, str] = {}

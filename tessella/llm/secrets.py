@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._session import table
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -90,5 +92,6 @@ def digest(found: Scan, key: str = "doc_id", rules: tuple[Rule, ...] = RULES) ->
     said = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["rule"], x["start"], x["stop"])), ",")
     count = lambda n: F.size(F.filter("s", lambda x: x["rule"] == n)).cast("long")
     rows = rows.select("blob", *(count(n).alias(f"n_{n}") for n in base), said(F.filter("s", lambda x: x["rule"].isin(base))).alias("base"), said(F.col("s")).alias("spans"))
+    rows = table(rows, "findings")  # from here both sides of the join are plain shuffles, of which hot blobs can be split
     out = found.paths.join(rows, "blob", "left")
     return out.select(F.col("key").alias(key), *(F.coalesce(f"n_{n}", F.lit(0).cast("long")).alias(f"n_{n}") for n in base), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
