@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fingerprint, langid, neardup, quality, secrets, suffixdedup, toxicity
+from . import bpe, decontam, fingerprint, langid, linededup, neardup, quality, secrets, suffixdedup, toxicity
 from ._session import fold
 
 
@@ -39,6 +39,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "expected_grade", F.col("tail").alias("score"), (F.col("tail") >= 0.5).cast("int").alias("predicted"), (F.col("tail") >= 0.5).alias("kept"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
 
@@ -73,5 +78,5 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_quality, op5_suffix_dedup, op6_fingerprints, op7_language_id, op8_decontamination, op9_byte_bpe, op10_minhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_quality, op4_line_dedup, op5_suffix_dedup, op6_fingerprints, op7_language_id, op8_decontamination, op9_byte_bpe, op10_minhash_near_dedup)}
 ORACLES: dict[str, str] = {}
