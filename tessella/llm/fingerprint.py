@@ -29,6 +29,7 @@ from ._text import BYTE_VALUES, U64, mix, powers, slices, stream
 LOW = U64((1 << 48) - 1)
 SEEDS = stream(3, 41)
 LEAST = 4
+ROUNDS = 200  # of peeling, far more than sketches that peel need; then it has failed
 
 
 def checked(low: np.ndarray) -> np.ndarray:
@@ -91,10 +92,12 @@ class Sketches:
         owner = np.repeat(np.arange(len(self.size)), 3 * self.size)
         docs, digests, signs = [], [], []
         look = np.flatnonzero(self.count != 0)
-        while len(look):
+        for _ in range(ROUNDS):
             v = self.value[look]
             pure = (np.abs(self.count[look]) == 1) & (checked(v) == v)
             at = look[pure]
+            # a value that passes its check by chance seldom belongs into the cell that it is in
+            at = at[np.logical_or.reduce([x == at for x in self.cells(owner[at], self.value[at])])] if len(at) else at
             if not len(at):
                 break
             key = np.stack([owner[at].astype(U64), self.value[at]], 1)
