@@ -39,7 +39,7 @@ SHAPE = _shape_table()
 
 
 def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word ids, shape ids, extra ids) with the words' offsets by text; extra has two ids a text."""
+    """((word ids, shape ids), the words' offsets by text, extra ids); extra has two ids a text."""
     start, end, first = words(buf, offs)
     h = span_hashes(buf, start, end) if len(start) else np.zeros(0, np.uint64)
     shaped = SHAPE[buf]
@@ -51,7 +51,7 @@ def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     length = np.minimum(15, np.log2(n + 1).astype(np.int64))
     upper = segment_sum((buf != LOWER[buf]).astype(np.float64), offs) / np.maximum(1, np.diff(offs))
     extra = np.stack([length, 16 + np.minimum(15, (upper * 16).astype(np.int64))], 1)
-    return np.stack([(h & np.uint64(DIM - 1)).astype(np.int64), (s & np.uint64(DIM - 1)).astype(np.int64) + DIM], 1), first, extra + 2 * DIM
+    return np.stack([(h & np.uint64(DIM - 1)).astype(np.int32), (s & np.uint64(DIM - 1)).astype(np.int32) + np.int32(DIM)]), first, extra + 2 * DIM
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,7 @@ class Model:
 
     def linear(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         ids, first, extra = features(buf, offs)
-        each = self.weights[ids].sum(1) if len(ids) else np.zeros(0)
+        each = self.weights[ids[0]] + self.weights[ids[1]]
         return segment_sum(each, first) / np.maximum(1, np.diff(first)) + self.weights[extra].sum(1)
 
     def tails(self, z: np.ndarray) -> np.ndarray:
@@ -81,7 +81,7 @@ def fit(texts: list[str], grades: np.ndarray, steps: int = 250, l2: float = 1e-5
     n, k = len(texts), len(levels) - 1
     scale = 8.0  # the words' mean moves as fast as the other features
     share = np.repeat(scale / np.maximum(1, np.diff(first)), np.diff(first))
-    doc = np.repeat(np.arange(n), np.diff(first))
+    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))
     y = np.searchsorted(levels, grades)
     count = np.bincount(y, minlength=k + 1)
     weight = np.minimum(4.0, n / (k + 1) / np.maximum(1, count))[y]
@@ -92,13 +92,14 @@ def fit(texts: list[str], grades: np.ndarray, steps: int = 250, l2: float = 1e-5
     m, v, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)
     for step in range(1, steps + 1):
         th = np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
-        z = np.bincount(doc, weights=w[ids].sum(1) * share, minlength=n) + w[extra].sum(1)
+        z = np.bincount(doc, weights=(w[ids[0]] + w[ids[1]]) * share, minlength=n) + w[extra].sum(1)
         edge = np.concatenate([[-np.inf], th, [np.inf]])
         upper, lower = (1 / (1 + np.exp(np.clip(-(edge[y + i] - z), -40, 40))) for i in (1, 0))
         p = np.maximum(upper - lower, 1e-9)
         du, dl = upper * (1 - upper), lower * (1 - lower)
         gz = weight * (du - dl) / p
-        g = np.bincount(ids.ravel(), weights=np.repeat(gz[doc] * share, 2), minlength=len(w)) + np.bincount(extra.ravel(), weights=np.repeat(gz, 2), minlength=len(w)) + l2 * w
+        each = gz[doc] * share
+        g = sum(np.bincount(i, weights=each, minlength=len(w)) for i in ids) + np.bincount(extra.ravel(), weights=np.repeat(gz, 2), minlength=len(w)) + l2 * w
         gth = np.array([-(weight * du / p)[y == j].sum() + (weight * dl / p)[y == j + 1].sum() for j in range(k)])
         gt = np.concatenate([[gth.sum()], [gth[j:].sum() * np.exp(t[j]) for j in range(1, k)]])
         for x, gx, a, b in ((w, g, m, v), (t, gt, mt, vt)):
@@ -109,7 +110,7 @@ def fit(texts: list[str], grades: np.ndarray, steps: int = 250, l2: float = 1e-5
     return Model(w.astype(np.float32), np.cumsum(np.concatenate([t[:1], np.exp(t[1:])])), levels)
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", grade: str = "grade", per_grade: int = 3000, parts: int = 4, part_chars: int = 4000, seed: int = 17) -> Model:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", grade: str = "grade", per_grade: int = 2000, parts: int = 4, part_chars: int = 2000, seed: int = 17) -> Model:
     """Fits on at most ``per_grade`` rows of each grade of ``labels`` (key, grade)."""
     ids = sample_ids(labels.where(F.col(grade).isNotNull() & F.col(key).isNotNull()).select(key, grade), key, grade, per_grade, seed)
     rows = docs.select(key, F.concat_ws("\n", pieces(F.col(text), parts, part_chars)).alias("_t")).join(F.broadcast(ids), key).select("_t", grade, key).dropDuplicates([key, grade]).collect()
