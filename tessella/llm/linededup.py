@@ -25,15 +25,15 @@ BINS = 1 << 16
 NO_KEY = -(1 << 63)
 BROADCAST_ROWS = 1_000_000
 TENTHS = 8  # the threshold in tenths
+WIDE = 60  # words over which a set has the second half of its bitmap
 
 
-def tokens(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(F.translate(F.lower(line), "\t\x0b\x0c\r\n", "     "), " "), ""))
+SPACES = r"[\x09-\x0D\x20]+"
 
 
 def rarity(docs: DataFrame) -> Column:
     """array<bigint>: the level of each bin, eight levels an octave of its count, moved to the top bits.  BINS values, whatever the corpus."""
-    words = docs.select(F.explode(F.split(F.translate(F.lower("text"), "\t\x0b\x0c\r\n", "     "), " ")).alias("w")).where("w != ''")
+    words = docs.select(F.explode(F.split("text", SPACES)).alias("w"))  # as written: any order of codes is valid, rare first is fast
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(BINS - 1).alias("b")).count().select("b", F.least(F.floor(8 * F.log2("count")).cast("int"), F.lit(127)).alias("v")).collect()
     levels = [0] * BINS
     for b, v in counts:
@@ -43,8 +43,8 @@ def rarity(docs: DataFrame) -> Column:
 
 def coded(line: Column, levels: Column) -> Column:
     """Ascending codes of a line's distinct words."""
-    hashes = F.transform(tokens(line), lambda w: F.xxhash64(w))
-    return F.array_sort(F.transform(hashes, lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(BINS - 1).cast("int")).cast("bigint"), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))))
+    hashes = F.array_distinct(F.transform(F.array_remove(F.split(F.lower(line), SPACES), ""), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(BINS - 1).cast("int")).cast("bigint"), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))))
 
 
 def bitmap(codes: Column, shift: int) -> Column:
@@ -58,7 +58,7 @@ def base(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def lines(rows: DataFrame) -> DataFrame:
-    return rows.select("k", "d", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(r"line rlike '[^\\x09-\\x0D\\x20]'")
+    return rows.select("k", "d", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.btrim("line", F.lit("\t\x0b\x0c\r\n ")) != "")
 
 
 def pairs(docs: DataFrame, levels: Column) -> DataFrame:
@@ -66,9 +66,9 @@ def pairs(docs: DataFrame, levels: Column) -> DataFrame:
     n, t = F.size("codes"), TENTHS
     prefix = F.slice("codes", 1, n - F.ceil(n * t / 10 - 1e-9).cast("int") + 1)
     each = lines(docs).select("k", "d", "no", F.xxhash64("line").alias("class"), coded(F.col("line"), levels).alias("codes"))
-    each = each.select("class", F.struct("k", "d", "no", n.alias("n"), prefix.alias("prefix"), bitmap(F.col("codes"), 16).alias("b1"), bitmap(F.col("codes"), 22).alias("b2")).alias("x"))
+    each = each.select("class", F.struct("k", "d", "no", n.alias("n"), prefix.alias("prefix"), bitmap(F.col("codes"), 16).alias("b1"), F.when(n > WIDE, bitmap(F.col("codes"), 22)).otherwise(0).alias("b2")).alias("x"))
     first = each.groupBy("class").agg(F.min("x").alias("x"))
-    rows = first.select("x.d", "x.b1", "x.b2", F.col("x.no").cast("bigint").alias("no"), F.col("x.n").alias("n"), F.posexplode("x.prefix").alias("pos", "code"))
+    rows = first.select("x.d", "x.b1", "x.b2", F.col("x.no").cast("bigint").alias("no"), F.col("x.n").alias("n"), F.posexplode("x.prefix").alias("pos", "code")).withColumn("code", F.hash("code"))  # four bytes meet as well as eight: pairs are verified
     rows = rows.select("code", "d", "b1", "b2", F.expr("shiftleft(no, 32) | shiftleft(cast(least(n, 65535) as bigint), 16) | least(pos, 65535)").alias("p"))
     a, b = rows.alias("a"), rows.alias("b")
     size = lambda s: f"(shiftright({s}.p, 16) & 65535)"
@@ -78,7 +78,7 @@ def pairs(docs: DataFrame, levels: Column) -> DataFrame:
     on = F.expr(
         "a.code = b.code and (a.d < b.d or (a.d = b.d and shiftright(a.p, 32) < shiftright(b.p, 32)))"
         + f" and 10 * least({size('a')}, {size('b')}) >= {t} * greatest({size('a')}, {size('b')})"
-        + f" and {10 + t} * (bit_count(a.b1 ^ b.b1) + bit_count(a.b2 ^ b.b2)) <= {10 - t} * {total} * 2"
+        + f" and {10 + t} * (bit_count(a.b1 ^ b.b1) + CASE WHEN least({size('a')}, {size('b')}) > {WIDE} THEN bit_count(a.b2 ^ b.b2) ELSE 0 END) <= {10 - t} * {total} * 2"
         + f" and ({10 + t} * least({left('a')}, {left('b')}) >= {t} * {total} or greatest({size('a')}, {size('b')}) = 65535)"
     )
     return a.join(b, on).select(F.col("a.d").alias("d1"), F.expr("cast(shiftright(a.p, 32) as int)").alias("no1"), F.col("b.d").alias("d2"), F.expr("cast(shiftright(b.p, 32) as int)").alias("no2")).distinct()
@@ -105,7 +105,7 @@ def removed(docs: DataFrame) -> DataFrame:
     levels = rarity(docs)
     found = table(pairs(docs, levels), "pairs")
     similar = later(docs, found, levels)
-    every = lines(docs).select("k", "d", "no", F.xxhash64("line").alias("class"))
+    every = table(lines(docs).select("k", "d", "no", F.xxhash64("line").alias("class")), "lines")
     first = every.groupBy("class").agg(F.min(F.struct("k", "d", "no")).alias("f"))
     copies = every.join(first, "class").where(F.struct("k", "d", "no") > F.col("f")).select("d", "no")
     return table(copies.unionByName(similar).groupBy("d").agg(F.collect_set("no").alias("nos")), "gone")
