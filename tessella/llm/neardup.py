@@ -6,7 +6,8 @@ share a prefix of ``DEPTH`` values form a region.  A class's candidates are its
 prefix) and the region's least; a sketch of the signature screens them.  Links are confirmed on full sets.
 
 Rounds: every class checks its best candidate; confirmed links join components; then candidates are sought only
-between different components of a region, the best of each class again, and in the last round all of them.  A region
+between different components of a region, the best of each class again, and in the last round all of them that can
+be linked at all: shingles that no other set has bound what a pair can share.  A region
 of more than ``REGION`` members goes deeper, each member then within its own longer prefix.  A link that is skipped
 joins two classes that are connected already.
 
@@ -33,10 +34,10 @@ from .components import components
 HASHES, TREES, DEPTH = 128, 16, 3
 EACH = HASHES // TREES
 REGION = 2048
-SKETCH = 32  # bytes: four bits of each of 64 minima
+SKETCH = HASHES // 2  # bytes: four bits of each minimum
 FACTORS = stream(HASHES, 101) | U64(1)
 BROADCAST_IDS = 1_000_000  # about 20 MB
-ENTRY = np.dtype([("key", "<u8"), ("deep", "<u8"), ("id", "<i8"), ("n", "<i4"), ("comp", "<i8"), ("sketch", "u1", SKETCH)])
+ENTRY = np.dtype([("key", "<u8"), ("deep", "<u8"), ("id", "<i8"), ("n", "<i4"), ("own", "<i4"), ("comp", "<i8"), ("sketch", "u1", SKETCH)])
 EQUAL = np.array([(not x & 15) + (not x & 240) for x in range(256)], np.uint8)
 SCREEN_SIGMAS = 4.8
 
@@ -91,9 +92,9 @@ def deal(classes: DataFrame, parts: int) -> DataFrame:
             m = rows.num_rows
             if not m:
                 continue
-            ids, n, comp = (rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+            ids, n, comp, own = (rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
             sig = np.frombuffer(b"".join(rows.column(2).to_pylist()), "<u4").reshape(m, HASHES)
-            half = sig[:, ::2] & np.uint32(15)
+            half = sig & np.uint32(15)
             sketch = (half[:, ::2] | half[:, 1::2] << np.uint32(4)).astype(np.uint8)
             out = np.empty((TREES, m), ENTRY)
             for t in range(TREES):
@@ -105,7 +106,7 @@ def deal(classes: DataFrame, parts: int) -> DataFrame:
                 for j in range(DEPTH, DEPTH + 4):
                     deep = deep << U64(16) | part[:, j] & U64(0xFFFF)
                 e = out[t]
-                e["key"], e["deep"], e["id"], e["n"], e["comp"], e["sketch"] = key, deep, ids, n, comp, sketch
+                e["key"], e["deep"], e["id"], e["n"], e["own"], e["comp"], e["sketch"] = key, deep, ids, n, own, comp, sketch
             out = out.ravel()
             bucket = (out["key"] % U64(parts)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
@@ -114,17 +115,18 @@ def deal(classes: DataFrame, parts: int) -> DataFrame:
             cut = [*at.tolist(), len(out)]
             yield pa.RecordBatch.from_arrays([pa.array(there), pa.array([out[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["bucket", "blob"])
 
-    return classes.select("id", "n", "sig", "comp").mapInArrow(run, "bucket int, blob binary")
+    return classes.select("id", "n", "sig", "comp", "own").mapInArrow(run, "bucket int, blob binary")
 
 
 def seek(every: bool, similarity: float):
     """Candidates of one bucket: (a, b, est), a > b.  Where ``every`` is not set, only each class's best."""
     p = similarity + (1 - similarity) / 16
-    least = (p - SCREEN_SIGMAS * (p * (1 - p) / 64) ** 0.5) * 64
+    least = (p - SCREEN_SIGMAS * (p * (1 - p) / HASHES) ** 0.5) * HASHES
 
     def screened(e: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lo, hi = np.minimum(e["n"][i], e["n"][j]), np.maximum(e["n"][i], e["n"][j])
-        ok = (e["comp"][i] != e["comp"][j]) & (lo >= similarity * hi - 1e-6)
+        most = np.minimum(e["n"][i] - e["own"][i], e["n"][j] - e["own"][j])  # what both can share
+        ok = (e["comp"][i] != e["comp"][j]) & (most >= similarity * (lo + hi - most) - 1e-6)
         i, j = i[ok], j[ok]
         same = EQUAL[e["sketch"][i] ^ e["sketch"][j]].sum(1)
         ok = same >= least
@@ -203,6 +205,37 @@ def full_sets(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     return docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).mapInArrow(run, "id long, set binary")
 
 
+def unshared(whole: DataFrame) -> DataFrame:
+    """(id, own): how many shingles of each set are in no other one.  Shingles meet packed by bucket, as the entries do."""
+    parts = 4 * int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pair = np.dtype([("h", "<u8"), ("id", "<i8")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for lo in range(0, rows.num_rows, 512):
+                raw = rows.column(1).slice(lo, 512).to_pylist()
+                e = np.empty(sum(len(x) for x in raw) // 8, pair)
+                e["h"] = np.frombuffer(b"".join(raw), U64)
+                e["id"] = np.repeat(rows.column(0).slice(lo, 512).to_numpy(zero_copy_only=False), [len(x) // 8 for x in raw])
+                bucket = (e["h"] >> U64(24)) % U64(parts)
+                order = np.argsort(bucket, kind="stable")
+                e, bucket = e[order], bucket[order].astype(np.int32)
+                there, at = np.unique(bucket, return_index=True)
+                cut = [*at.tolist(), len(e)]
+                yield pa.RecordBatch.from_arrays([pa.array(there), pa.array([e[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["bucket", "blob"])
+
+    def alone(rows: pa.Table) -> pa.Table:
+        e = np.frombuffer(b"".join(rows.column("blob").to_pylist()), pair)
+        order = np.argsort(e["h"], kind="stable")
+        h = e["h"][order]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        last = np.concatenate([new[1:], [True]])
+        ids, n = np.unique(e["id"][order][new & last], return_counts=True)
+        return pa.table([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["id", "own"])
+
+    return whole.select("id", "set").mapInArrow(run, "bucket int, blob binary").groupBy("bucket").applyInArrow(alone, "id long, own long").groupBy("id").agg(F.sum("own").alias("own"))
+
+
 def confirmed(pairs: DataFrame, whole: DataFrame, hundredths: int) -> DataFrame:
     """The pairs with 100 * intersection >= hundredths * union of their full sets."""
 
@@ -233,6 +266,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     for turn in range(best_rounds + 1):
         last = turn == best_rounds
         with_comp = classes.withColumn("comp", mine) if roots is None else classes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", mine)).drop("root")
+        if last:
+            # a class of which too much is in no other set can't have a link, nor can a pair that can't share enough
+            with_comp = with_comp.join(table(unshared(whole), "unshared"), "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+            with_comp = with_comp.where(f"100 * (n - own) >= {hundredths} * n")
+        else:
+            with_comp = with_comp.withColumn("own", F.lit(0))
         pairs = table(candidates(with_comp, last, similarity), "candidates")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         if whole is not None:
