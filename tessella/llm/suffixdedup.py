@@ -39,7 +39,6 @@ SPAN = LENGTH - GRAM  # bytes that a window can reach on either side of its anch
 CONTEXT = LENGTH + SPAN
 PLACE_BITS = 22
 NO_KEY = -(1 << 63)
-BROADCAST_BYTES = 24 << 20
 ANCHOR = np.dtype([("gram", "<u8"), ("context", "<u8"), ("key", "<i8"), ("sub", "<i4"), ("at", "<u4"), ("right", "u1")])
 #: bytes [lo, hi) to remove; or, with lo = hi, an anchor at lo whose context is to be compared
 MARK = np.dtype([("key", "<i8"), ("sub", "<i4"), ("lo", "<u4"), ("hi", "<u4"), ("gram", "<u8")])
@@ -200,12 +199,21 @@ def compare(parts: int):
         new[1:] = (c["key"][1:] != c["key"][:-1]) | (c["sub"][1:] != c["sub"][:-1]) | (c["at"][1:] != c["at"][:-1])
         c = c[new]
         rank, left = np.arange(len(c)), c["left"].astype(np.int64)
+        power, inverse = powers(CONTEXT + 1)
+        sums = np.zeros((len(c), CONTEXT + 1), U64)
+        np.cumsum(BYTE_VALUES[c["text"]] * power[:CONTEXT], axis=1, out=sums[:, 1:])
         found = []
         for shift in range(-SPAN, 1):
             i = np.flatnonzero((left + shift >= 0) & (left + shift + LENGTH <= c["n"]))
             if len(i) < 2:
                 continue
             lo = left[i] + shift
+            h = mix((sums[i, lo + LENGTH] - sums[i, lo]) * inverse[lo])
+            _, at, times = np.unique(h, return_inverse=True, return_counts=True)
+            i = i[times[at] > 1]  # a window without an equal hash has no equal here
+            if len(i) < 2:
+                continue
+            lo = left[i] + shift
             windows = c["text"][i[:, None], lo[:, None] + np.arange(LENGTH)]
             hit = i[previous_factors(windows, rank[i]) >= LENGTH]
             if len(hit):
@@ -219,16 +227,11 @@ def compare(parts: int):
     return run
 
 
-def with_marks(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    """Joins documents with their marks; broadcast where those are few, else by a shuffle of both sides."""
-    size = marks.agg(F.sum((F.octet_length("marks") if dict(marks.dtypes)["marks"] == "binary" else F.aggregate("marks", F.lit(0), lambda n, x: n + F.octet_length(x))) + 40)).head()[0] or 0
-    return docs.join(F.broadcast(marks) if size <= BROADCAST_BYTES else marks, ["key", "sub"], how)
-
-
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents as key, sub, id, body; runs of bytes to remove as key, sub, marks: a list of packed (lo, hi) pairs)."""
     spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_doc = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * by_doc
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.hash(body).alias("sub"), F.col(key).cast("long").alias("id"), body.alias("body"))
 
@@ -259,12 +262,12 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
             p, gram = np.concatenate(out), np.concatenate(gram)
             yield pa.RecordBatch.from_arrays(packed(p, (gram >> U64(20)).astype(np.int64) % parts), names=["bucket", "blob"])
 
-    schema, by_doc = "bucket int, blob binary", "key long, sub int, gone binary, todo binary"
+    schema, marked = "bucket int, blob binary", "key long, sub int, gone binary, todo binary"
     met = rows.select("key", "sub", "body").mapInArrow(mark, schema)
-    first = table(met.groupBy("bucket").applyInArrow(meet(parts), schema).groupBy("bucket").applyInArrow(gather, by_doc), "marks")
+    first = table(met.groupBy("bucket").applyInArrow(meet(by_doc), schema).groupBy("bucket").applyInArrow(gather, marked), "marks")
     todo = first.where(F.octet_length("todo") > 0).select("key", "sub", F.col("todo").alias("marks"))
-    contexts = with_marks(rows.select("key", "sub", "body"), todo, "inner").select("key", "sub", "body", "marks").mapInArrow(cut, schema)
-    second = contexts.groupBy("bucket").applyInArrow(compare(parts), schema).groupBy("bucket").applyInArrow(gather, by_doc)
+    contexts = rows.select("key", "sub", "body").join(todo.hint("merge"), ["key", "sub"]).select("key", "sub", "body", "marks").mapInArrow(cut, schema)
+    second = contexts.groupBy("bucket").applyInArrow(compare(by_doc), schema).groupBy("bucket").applyInArrow(gather, marked)
     runs = first.where(F.octet_length("gone") > 0).select("key", "sub", "gone").unionByName(second.select("key", "sub", "gone"))
     return rows, table(runs, "runs")
 
@@ -292,4 +295,4 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digests: boo
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offs)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), last], names=[x.split()[0] for x in schema.split(", ")])
 
     marks = runs.groupBy("key", "sub").agg(F.collect_list("gone").alias("marks"))
-    return with_marks(rows, marks, "left").select("id", "body", "marks").mapInArrow(keep, schema)
+    return rows.join(marks.hint("merge"), ["key", "sub"], "left").select("id", "body", "marks").mapInArrow(keep, schema)
