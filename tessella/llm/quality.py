@@ -70,14 +70,22 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - z[:, None], -40, 40)))
 
 
+def gathered(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`features` of a list of texts, a few at a time."""
+    parts = []
+    for lo in range(0, len(texts), 200):
+        raw = [t.encode() for t in texts[lo : lo + 200]]
+        parts.append(features(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])))
+    each = np.concatenate([np.diff(p[1]) for p in parts])
+    return np.concatenate([p[0] for p in parts], 1), np.concatenate([[0], np.cumsum(each)]), np.concatenate([p[2] for p in parts])
+
+
 def fit(texts: list[str], grades: np.ndarray, steps: int = 250, l2: float = 1e-5, rate: float = 0.1) -> Model:
     """Full-batch Adam on the mean negative log-likelihood, each grade weighted alike up to a factor of 4."""
     levels = tuple(sorted({int(g) for g in grades}))
     if len(levels) < 2:
         return Model(np.zeros(2 * DIM + EXTRA, np.float32), np.zeros(0), levels or (0,))
-    raw = [t.encode() for t in texts]
-    buf, offs = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-    ids, first, extra = features(buf, offs)
+    ids, first, extra = gathered(texts)
     n, k = len(texts), len(levels) - 1
     scale = 8.0  # the words' mean moves as fast as the other features
     share = np.repeat(scale / np.maximum(1, np.diff(first)), np.diff(first))
@@ -110,7 +118,7 @@ def fit(texts: list[str], grades: np.ndarray, steps: int = 250, l2: float = 1e-5
     return Model(w.astype(np.float32), np.cumsum(np.concatenate([t[:1], np.exp(t[1:])])), levels)
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", grade: str = "grade", per_grade: int = 2000, parts: int = 4, part_chars: int = 2000, seed: int = 17) -> Model:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", grade: str = "grade", per_grade: int = 1500, parts: int = 4, part_chars: int = 1500, seed: int = 17) -> Model:
     """Fits on at most ``per_grade`` rows of each grade of ``labels`` (key, grade)."""
     ids = sample_ids(labels.where(F.col(grade).isNotNull() & F.col(key).isNotNull()).select(key, grade), key, grade, per_grade, seed)
     rows = docs.select(key, F.concat_ws("\n", pieces(F.col(text), parts, part_chars)).alias("_t")).join(F.broadcast(ids), key).select("_t", grade, key).dropDuplicates([key, grade]).collect()
