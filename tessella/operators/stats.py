@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ def acat(p: str, w: str | None = None, strict: bool = False) -> Column:
     ``strict``: any one gives 1, and ones together with zeros give null (an error of the caller's)."""
     weight = w or E.num(1)
     term = f"{weight} * (CASE WHEN {p} < {E.num(1e-16)} THEN {E.num(1)} / (nullif({p}, 0) * pi()) ELSE tan(({E.num(0.5)} - {p}) * pi()) END)"
-    stat = f"(sum({term}) / sum({weight}))"
+    stat = f"(sum({term}) / sum(CASE WHEN {p} IS NOT NULL THEN {weight} END))"
     value = f"CASE WHEN {stat} > {E.num(1e15)} THEN {E.num(1)} / ({stat} * pi()) ELSE {E.cauchy_sf(stat)} END"
     ones = f"max({p}) >= 1" if strict else f"min({p}) >= 1"
     both = f"WHEN min({p}) <= 0 AND max({p}) >= 1 THEN NULL " if strict else ""
@@ -86,8 +87,6 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
 
 def with_fisher(df: DataFrame) -> DataFrame:
     """Adds ``p_fisher`` to a table of counts a, b, c, d."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series([fisher_exact(*map(int, x)) for x in zip(a, b, c, d, strict=True)], dtype="float64")
@@ -119,7 +118,6 @@ def jackknife_wls(df: DataFrame, by: Sequence[str], block: str, xs: Sequence[str
     Block sums are built by aggregation; only they, a few numbers a block, reach the solver.  A singular group has nulls.
     Returns by, beta, se, z, p (one-sided), neg_log10_p; beta and se are divided by ``scale``."""
     import numpy as np
-    import pandas as pd
 
     k = len(xs)
     tri = [(i, j) for i in range(k) for j in range(i, k)]
