@@ -63,10 +63,10 @@ def word_ids(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (span_hashes(buf, start, end) >> np.uint64(32)).astype(np.uint32), first
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(ids, word hashes, each document's first) of runs of documents of about CHUNK words."""
     for batch in batches:
-        w, ids = batch.column(1), batch.column(0).to_numpy(zero_copy_only=False)
+        w, ids = batch.column(1), batch.column(0).to_pylist()
         size = np.array([len(x) // 4 for x in w.to_pylist()], np.int64)
         lo = 0
         total = np.concatenate([[0], np.cumsum(size)])
@@ -248,7 +248,7 @@ def search(ids: DataFrame, items: list[tuple[int, str]], p: np.ndarray, whole: f
                     k = (o[7], o[1])
                     best_of[k] = max(best_of.get(k, o), o, key=lambda t: (t[3], t[2]))
                 cols = list(zip(*best_of.values(), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([None if v != v else int(v) for v in cols[0]], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:5]), *(pa.array(c, pa.int64()) for c in cols[5:7])], names=["id", "item_id", "cosine", "common", "answer", "start", "stop"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:5]), *(pa.array(c, pa.int64()) for c in cols[5:7])], names=["id", "item_id", "cosine", "common", "answer", "start", "stop"])
 
     return ids.select("id", "w").mapInArrow(run, schema)
 

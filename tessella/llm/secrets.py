@@ -62,7 +62,7 @@ def scan(versions: DataFrame, key: str = "doc_id", text: str = "text", rules: tu
     """Scans the blobs of ``versions`` for the rules that the ledger doesn't have for them yet."""
     body = F.coalesce(F.col(text), F.lit(""))
     paths = versions.select(F.col(key).alias("key"), F.sha2(body, 256).alias("blob"))
-    one = paths.groupBy("blob").agg(F.min("key").alias("rep"))
+    one = paths.groupBy("blob").agg(F.min(F.xxhash64("key")).alias("rep"))  # a null key has a hash too
     known = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules))
     if ledger is not None:
         seen = ledger.groupBy("blob").agg(F.collect_set(F.struct("rule", F.col("version").cast("int").alias("version"))).alias("_seen"))
@@ -71,8 +71,8 @@ def scan(versions: DataFrame, key: str = "doc_id", text: str = "text", rules: tu
         one = one.withColumn("todo", known)
     pairs = one.select("blob", F.explode("todo").alias("x")).select("blob", "x.rule", "x.version")
     # A representative's text is found by its key, which is spread evenly whatever the number of copies.
-    suspects = versions.select(F.col(key).alias("key"), body.alias("text")).where(F.expr(" or ".join(f"text rlike {_sql(r.pattern)}" for r in rules))).withColumn("blob", F.sha2("text", 256))
-    fresh = suspects.join(one.select(F.col("rep").alias("key"), F.col("blob").alias("_blob"), "todo"), "key").where("blob = _blob")
+    suspects = versions.select(F.xxhash64(F.col(key)).alias("rep"), body.alias("text")).where(F.expr(" or ".join(f"text rlike {_sql(r.pattern)}" for r in rules))).withColumn("blob", F.sha2("text", 256))
+    fresh = suspects.join(one.select("rep", F.col("blob").alias("_blob"), "todo"), "rep").where("blob = _blob")
     each = fresh.select("blob", F.explode(F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), F.when(F.array_contains("todo", F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"))), spans(F.col("text"), r)).alias("spans")) for r in rules))).alias("x"))
     findings = each.select("blob", "x.rule", "x.version", "x.spans").where(F.size("spans") > 0).dropDuplicates(["blob", "rule", "version"])
     return Scan(paths, findings, pairs)
