@@ -12,30 +12,35 @@ from pyspark.sql import functions as F
 from tessella.llm import bpe, decontam, linededup, neardup, toxicity
 from tessella.llm._session import fold, table
 from tessella.llm.queries import bpe_vocabulary, read
+from tessella.operators.relational import dedup_first
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose toxicity score is under 0.5; the score is learned from the labels of the training folds."""
     labels = read(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0)
     model = toxicity.train(docs, labels)
-    names = docs.columns
-    return toxicity.score(docs, model, keep=tuple(names)).where("score < 0.5").select(*names)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")  # whatever else the rows hold, no name can clash
+    return toxicity.score(rows, model, keep=("_row",)).where("score < 0.5").select("_row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated lines; a document of which nothing but white space is left goes."""
-    rows = linededup.base(docs, "doc_id", "text")
-    gone = linededup.few(linededup.removed(rows))
-    marked = docs.withColumn("d", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).join(gone, "d", "left")
-    text = F.when(F.col("nos").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("nos", i)), "\n"))
-    kept = marked.withColumn("text", text).where(F.col("nos").isNull() | F.col("text").rlike(r"[^\x09-\x0D\x20]"))
-    return kept.withColumn("n_chars", F.when(F.col("nos").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    gone = linededup.removed(linededup.base(docs, "doc_id", "text")).withColumnsRenamed({"d": "_line_d", "nos": "_line_nos"})
+    marked = docs.withColumn("_line_d", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).join(linededup.few(gone), "_line_d", "left")
+    none = F.col("_line_nos").isNull()
+    text = F.when(none, F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_line_nos", i)), "\n"))
+    kept = marked.withColumn("text", text).where(none | F.col("text").rlike(r"[^\x09-\x0D\x20]"))
+    return kept.withColumn("n_chars", F.when(none, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the least doc_id of each group of near-duplicates; of equal rows of it, one."""
     found = table(neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "duplicates")
-    return docs.join(linededup.few(found), "doc_id", "left_anti")
+    kept = docs.join(linededup.few(found), "doc_id", "left_anti")
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        named = kept.where("doc_id IS NOT NULL")
+        kept = dedup_first(named, ["doc_id"], [F.xxhash64("text")]).unionByName(kept.where("doc_id IS NULL"))
+    return kept
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
