@@ -30,10 +30,10 @@ from ._text import mix, slices, span_hashes, words
 
 BLOCK = 16
 DIM = 4096
-RANK = 96
+RANK = 64
 OVER = 16
 ITEMS = 4096
-CHUNK = 1 << 17  # words in one step
+CHUNK = 1 << 15  # words in one step
 MERGE = 32
 
 
@@ -84,8 +84,22 @@ def blocks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(first[:-1], each) + i * BLOCK, at
 
 
-def term(w: np.ndarray) -> np.ndarray:
-    return (w & np.uint32(DIM - 1)).astype(np.int64)
+def grid(w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms as rows of BLOCK, a row for each passage, DIM where a document's last passage has no more words; the first
+    word of each passage, and each document's first passage."""
+    at, doc_at = blocks(first)
+    out = np.full(len(at) * BLOCK, DIM, np.int16)
+    shift = np.repeat(doc_at[:-1] * BLOCK - first[:-1], np.diff(first))
+    out[np.arange(len(w)) + shift] = w & np.uint32(DIM - 1)
+    return out.reshape(-1, BLOCK), at, doc_at
+
+
+def row_sums(table_: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """The sum of the table's rows over each passage's terms; the table's last row is zero."""
+    y = table_[terms[:, 0]]
+    for j in range(1, BLOCK):
+        y += table_[terms[:, j]]
+    return y
 
 
 def summed(parts: DataFrame, width: int, tasks: int) -> np.ndarray:
@@ -119,11 +133,12 @@ def frequencies(ids: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((DIM, 2))
         for _, w, first in chunks(batches):
-            at, _ = blocks(first)
+            t, at, _ = grid(w, first)
             if len(at):
-                block = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(w))))
-                key = np.unique(block * DIM + term(w))
-                total[:, 0] += np.bincount(key % DIM, minlength=DIM)
+                t.sort(axis=1)
+                new = np.ones(t.shape, bool)
+                new[:, 1:] = t[:, 1:] != t[:, :-1]
+                total[:, 0] += np.bincount(t[new], minlength=DIM + 1)[:DIM]
                 total[0, 1] += len(at)
         yield spread(total)
 
@@ -134,20 +149,23 @@ def right_vectors(ids: DataFrame, idf: np.ndarray, seed: int = 71) -> tuple[np.n
     """Right singular vectors (DIM x RANK) and singular values of the TF-IDF passage matrix."""
     width = RANK + OVER
     w0 = np.random.default_rng(seed).standard_normal((DIM, width))
-    weighted = ids.sparkSession.sparkContext.broadcast((w0 * idf[:, None]).astype(np.float32))
+    weighted = ids.sparkSession.sparkContext.broadcast(np.concatenate([w0 * idf[:, None], np.zeros((1, width))]).astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, omega = np.zeros((DIM, width)), weighted.value
         for _, w, first in chunks(batches):
-            at, _ = blocks(first)
+            t, at, _ = grid(w, first)
             if not len(at):
                 continue
-            t = term(w).astype(np.int16)
-            y = np.add.reduceat(omega[t], at, axis=0)  # A W, a row for each passage
-            block = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(w))))
-            order = np.argsort(t, kind="stable")
-            there, start = np.unique(t[order], return_index=True)
-            total[there] += np.add.reduceat(y[block[order]], start, axis=0)
+            y = row_sums(omega, t)  # A W, a row for each passage
+            flat = t.ravel()
+            order = np.argsort(flat, kind="stable")
+            there, start = np.unique(flat[order], return_index=True)
+            run_ = np.zeros((len(order) + 1, width), np.float32)
+            np.cumsum(y[order // BLOCK], axis=0, out=run_[1:])
+            part = run_[np.append(start[1:], len(order))] - run_[start]
+            on = there < DIM
+            total[there[on]] += part[on]
         yield spread(total)
 
     y = summed(ids.mapInArrow(run, "slice int, salt int, x binary"), width, ids.rdd.getNumPartitions()) * idf[:, None]
@@ -161,13 +179,13 @@ def right_vectors(ids: DataFrame, idf: np.ndarray, seed: int = 71) -> tuple[np.n
 
 
 def projection(ids: DataFrame) -> np.ndarray:
-    """float32 DIM x RANK: what a word adds to a window's latent vector."""
+    """float32 DIM x RANK, and a row of zeros: what a word adds to a window's latent vector."""
     f = frequencies(ids)
     idf = np.log((1 + f[0, 1]) / (1 + f[:, 0])) + 0.05
     v, s = right_vectors(ids, idf)
     scale = np.where(s > 1e-6 * max(s[0], 1e-300), 1 / np.maximum(s, 1e-300), 0.0)
     p = idf[:, None] * v * scale
-    return (p / max(1e-300, np.sqrt((p * p).sum(1).mean()))).astype(np.float32)
+    return np.concatenate([p / max(1e-300, np.sqrt((p * p).sum(1).mean())), np.zeros((1, RANK))]).astype(np.float32)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -176,10 +194,10 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def windows(p: np.ndarray, w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(unit vectors, document, first word in it) of the windows of two passages."""
-    at, doc_at = blocks(first)
+    t, at, doc_at = grid(w, first)
     if not len(at):
         return np.zeros((0, RANK), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    x = np.add.reduceat(p[term(w)], at, axis=0)
+    x = row_sums(p, t)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(doc_at))
     pair = np.zeros(len(at), bool)
     pair[:-1] = doc[1:] == doc[:-1]
@@ -253,7 +271,7 @@ def search(ids: DataFrame, items: list[tuple[int, str]], p: np.ndarray, whole: f
     return ids.select("id", "w").mapInArrow(run, schema)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", whole: float = 0.65, part: float = 0.5, answer: float = 0.85) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", whole: float = 0.65, part: float = 0.55, answer: float = 0.85) -> DataFrame:
     """(key, item_id, cosine, common, answer, start, stop): documents that hold benchmark items, and the words where.
 
     whole: share of an item's words that in order suffices; part, answer: shares that do together."""
