@@ -37,7 +37,7 @@ REGION = 2048
 SKETCH = HASHES // 2  # bytes: four bits of each minimum
 FACTORS = stream(HASHES, 101) | U64(1)
 BROADCAST_IDS = 1_000_000  # about 20 MB
-ENTRY = np.dtype([("key", "<u8"), ("deep", "<u8"), ("id", "<i8"), ("n", "<i4"), ("own", "<i4"), ("comp", "<i8"), ("sketch", "u1", SKETCH)])
+ENTRY = np.dtype([("key", "<u8"), ("deep", "<u8"), ("id", "<i8"), ("n", "<i4"), ("own", "<i4"), ("comp", "<i8"), ("tree", "u1"), ("sketch", "u1", SKETCH)])
 EQUAL = np.array([(not x & 15) + (not x & 240) for x in range(256)], np.uint8)
 SCREEN_SIGMAS = 4.8
 
@@ -106,6 +106,7 @@ def deal(classes: DataFrame, parts: int) -> DataFrame:
                 for j in range(DEPTH, DEPTH + 4):
                     deep = deep << U64(16) | part[:, j] & U64(0xFFFF)
                 e = out[t]
+                e["tree"] = t
                 e["key"], e["deep"], e["id"], e["n"], e["own"], e["comp"], e["sketch"] = key, deep, ids, n, own, comp, sketch
             out = out.ravel()
             bucket = (out["key"] % U64(parts)).astype(np.int32)
@@ -128,8 +129,15 @@ def seek(every: bool, similarity: float):
         most = np.minimum(e["n"][i] - e["own"][i], e["n"][j] - e["own"][j])  # what both can share
         ok = (e["comp"][i] != e["comp"][j]) & (most >= similarity * (lo + hi - most) - 1e-6)
         i, j = i[ok], j[ok]
-        same = EQUAL[e["sketch"][i] ^ e["sketch"][j]].sum(1)
+        differ = e["sketch"][i] ^ e["sketch"][j]
+        same = EQUAL[differ].sum(1)
         ok = same >= least
+        if every:
+            # A pair that shares the prefixes of several trees is left to the first two of them; bits of the sketch
+            # that agree by chance could only hide it in both at once (about 1e-8).
+            d = differ.reshape(len(differ), TREES, EACH // 2)
+            met = (d[:, :, : DEPTH // 2] == 0).all(2) & ((d[:, :, DEPTH // 2] & 15) == 0 if DEPTH % 2 else True)
+            ok &= (met & (np.arange(TREES) < e["tree"][i][:, None])).sum(1) < 2
         i, j, same = i[ok], j[ok], same[ok]
         a, b = e["id"][i], e["id"][j]
         return np.maximum(a, b), np.minimum(a, b), same.astype(np.int32)
@@ -253,7 +261,7 @@ def confirmed(pairs: DataFrame, whole: DataFrame, hundredths: int) -> DataFrame:
     return sides.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, hundredths: int = 85, best_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, hundredths: int = 85, best_rounds: int = 1) -> DataFrame:
     """(key, n_shingles, component_id, kept): component_id is the least key that links reach, kept whether it is the row's own."""
     similarity = hundredths / 100
     every = table(signatures(docs, key, text, k), "signatures")
