@@ -89,15 +89,26 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def later(docs: DataFrame, found: DataFrame, levels: Column) -> DataFrame:
-    """(d, no): the later line of every verified pair."""
-    places = found.select(F.explode(F.array(F.struct(F.col("d1").alias("d"), F.col("no1").alias("no")), F.struct(F.col("d2").alias("d"), F.col("no2").alias("no")))).alias("x")).select("x.*").groupBy("d").agg(F.collect_set("no").alias("nos"))
-    sets = docs.join(few(table(places, "places")), "d").dropDuplicates(["d"]).withColumn("all", F.split("text", "\n")).select("k", "d", F.explode("nos").alias("no"), "all").select("k", "d", "no", coded(F.get("all", F.col("no")), levels).alias("codes"))
+def verified(pairs_: DataFrame, docs: DataFrame, levels: Column) -> DataFrame:
+    """(late, early) of the pairs whose whole sets are similar; places are structs (k, d, no)."""
+    places = pairs_.select(F.explode(F.array("late", "early")).alias("x")).select("x.d", "x.no").groupBy("d").agg(F.collect_set("no").alias("nos"))
+    sets = docs.join(few(table(places, "places")), "d").dropDuplicates(["d"]).withColumn("all", F.split("text", "\n")).select("k", "d", F.explode("nos").alias("no"), "all").select(F.struct("k", "d", "no").alias("x"), coded(F.get("all", F.col("no")), levels).alias("codes"))
     sets = table(sets, "linesets")
-    side = lambda i: sets.select(F.col("d").alias(f"d{i}"), F.col("no").alias(f"no{i}"), F.struct("k", "d", "no").alias(f"x{i}"), F.col("codes").alias(f"c{i}"))
-    both = found.join(side(1), ["d1", "no1"]).join(side(2), ["d2", "no2"]).withColumn("common", F.size(F.array_intersect("c1", "c2")))
-    same = both.where(f"10 * common >= {TENTHS} * (size(c1) + size(c2) - common)")
-    return same.select(F.greatest("x1", "x2").alias("x")).select("x.d", "x.no").distinct()
+    both = pairs_.join(sets.select(F.col("x").alias("late"), F.col("codes").alias("c1")), "late").join(sets.select(F.col("x").alias("early"), F.col("codes").alias("c2")), "early").withColumn("common", F.size(F.array_intersect("c1", "c2")))
+    return both.where(f"10 * common >= {TENTHS} * (size(c1) + size(c2) - common)").select("late", "early")
+
+
+def later(docs: DataFrame, found: DataFrame, levels: Column) -> DataFrame:
+    """(d, no): lines with an earlier similar one.  One is enough, so the earliest candidate of each line is verified
+    first, and the others only of lines that it leaves open."""
+    keys = found.select(F.explode(F.array("d1", "d2")).alias("d")).distinct().join(docs.select("k", "d"), "d").dropDuplicates(["d"])
+    keys = few(table(keys.select("d", "k"), "keys"))
+    side = lambda i: keys.select(F.col("d").alias(f"d{i}"), F.col("k").alias(f"k{i}"))
+    x1, x2 = (F.struct(F.col(f"k{i}").alias("k"), F.col(f"d{i}").alias("d"), F.col(f"no{i}").alias("no")) for i in (1, 2))
+    pairs_ = table(found.join(side(1), "d1").join(side(2), "d2").select(F.greatest(x1, x2).alias("late"), F.least(x1, x2).alias("early")), "ordered")
+    first = table(verified(table(pairs_.groupBy("late").agg(F.min("early").alias("early")), "first"), docs, levels).select("late"), "similar")
+    rest = table(pairs_.join(few(first), "late", "left_anti"), "rest")
+    return first.unionByName(verified(rest, docs, levels).select("late").distinct()).select("late.d", "late.no")
 
 
 def removed(docs: DataFrame) -> DataFrame:
