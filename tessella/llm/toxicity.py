@@ -38,7 +38,8 @@ GAMMA = 3.0
 EVIDENCE = 0.4  # of the strongest word's, that makes a word a witness
 SHIFT = 0.15  # the border lies so far on the toxic side of the machine's own
 CLASSES = 32
-MEMORY = 2_000_000  # words whose value a worker keeps
+STEP = 1024  # words compared at once
+MEMORY = 500_000  # words whose value a worker keeps
 
 
 def _classes() -> np.ndarray:
@@ -162,10 +163,10 @@ class Model:
     def values(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Decision values of words, the largest of a long word's parts."""
         out = np.empty(len(start))
-        for lo in range(0, len(start), 4096):
-            c, word = padded(buf, start[lo : lo + 4096], end[lo : lo + 4096])
+        for lo in range(0, len(start), STEP):
+            c, word = padded(buf, start[lo : lo + STEP], end[lo : lo + STEP])
             v = self.landmarks.kernel(c) @ self.alpha + self.bias
-            out[lo : lo + 4096] = segment_max(v, np.searchsorted(word, np.arange(min(4096, len(start) - lo) + 1)), self.bias)
+            out[lo : lo + STEP] = segment_max(v, np.searchsorted(word, np.arange(min(STEP, len(start) - lo) + 1)), self.bias)
         return out
 
 
