@@ -21,14 +21,15 @@ def knn(query: DataFrame, pool: DataFrame, k: int, by: Sequence[str] = (), key:
     is exact, and no round pairs a query with more than its ring.  Ties go to the smaller key."""
     cols = list(by)
     d = len(coords)
-    span = pool.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"), *(f(c).alias(f"_{s}{i}") for i, c in enumerate(coords) for s, f in (("lo", F.min), ("hi", F.max))))
+    both = pool.select(*cols, *coords, F.lit(1).alias("_in")).unionByName(query.select(*cols, *coords, F.lit(0).alias("_in")))
+    span = both.groupBy(*cols).agg(F.sum("_in").alias("_n"), *(f(c).alias(f"_{s}{i}") for i, c in enumerate(coords) for s, f in (("lo", F.min), ("hi", F.max)))).where("_n > 0")
     side = F.greatest(*(F.col(f"_hi{i}") - F.col(f"_lo{i}") for i in range(d)), F.lit(1e-9))
-    span = span.withColumn("_w", side / F.greatest(F.lit(1.0), F.floor(F.pow(F.col("_n") / max(cells_per_tile, k), F.lit(1.0 / d)))))
-    span = span.select(*cols, "_n", "_w", *(F.col(f"_lo{i}") for i in range(d)))
+    span = span.withColumn("_m", F.greatest(F.lit(1), F.floor(F.pow(F.col("_n") / max(cells_per_tile, k), F.lit(1.0 / d))))).withColumn("_w", side / F.col("_m"))
+    span = span.select(*cols, "_n", "_m", "_w", *(F.col(f"_lo{i}") for i in range(d)))
 
     def tiled(df: DataFrame) -> DataFrame:
         out = df.join(span, cols) if cols else df.withColumn("_one", F.lit(1)).join(F.broadcast(span.withColumn("_one", F.lit(1))), "_one").drop("_one")
-        return out.withColumns({f"_t{i}": F.floor((F.col(c) - F.col(f"_lo{i}")) / F.col("_w")) for i, c in enumerate(coords)})
+        return out.withColumns({f"_t{i}": F.least(F.floor((F.col(c) - F.col(f"_lo{i}")) / F.col("_w")), F.col("_m") - 1) for i, c in enumerate(coords)})
 
     target = tiled(pool.select(*cols, F.col(key).alias("nbr"), *coords)).select(*cols, "nbr", *(F.col(c).alias(f"_p{i}") for i, c in enumerate(coords)), *(F.col(f"_t{i}").alias(f"_u{i}") for i in range(d)))
     todo = tiled(query.select(*cols, key, *coords))
@@ -36,16 +37,22 @@ def knn(query: DataFrame, pool: DataFrame, k: int, by: Sequence[str] = (), key:
     for _ in range(most_rounds):
         near = todo
         for i in range(d):
-            near = near.withColumn(f"_u{i}", F.explode(F.sequence(F.col(f"_t{i}") - ring, F.col(f"_t{i}") + ring)))
+            near = near.withColumn(f"_u{i}", F.explode(F.sequence(F.greatest(F.lit(0), F.col(f"_t{i}") - ring), F.least(F.col("_m") - 1, F.col(f"_t{i}") + ring))))
         pairs = near.join(target, [*cols, *(f"_u{i}" for i in range(d))])
         dist = F.sqrt(sum(((F.col(c) - F.col(f"_p{i}")) * (F.col(c) - F.col(f"_p{i}")) for i, c in enumerate(coords)), F.lit(0.0)))
-        reach = F.least(*(F.least(F.col(c) - F.col(f"_lo{i}") - (F.col(f"_t{i}") - ring) * F.col("_w"), F.col(f"_lo{i}") + (F.col(f"_t{i}") + ring + 1) * F.col("_w") - F.col(c)) for i, c in enumerate(coords)))
+        far = F.lit(float("inf"))
+        reach = F.least(*(x for i, c in enumerate(coords) for x in (
+            F.when(F.col(f"_t{i}") - ring <= 0, far).otherwise(F.col(c) - F.col(f"_lo{i}") - (F.col(f"_t{i}") - ring) * F.col("_w")),
+            F.when(F.col(f"_t{i}") + ring >= F.col("_m") - 1, far).otherwise(F.col(f"_lo{i}") + (F.col(f"_t{i}") + ring + 1) * F.col("_w") - F.col(c)),
+        )))
         best = top_k(pairs.withColumn("dist", dist).withColumn("_reach", reach), [*cols, key], ["dist", "nbr"], k, "pos")
         state = best.groupBy(*cols, key).agg(F.count(F.lit(1)).alias("_have"), F.max("dist").alias("_far"), F.first("_reach").alias("_reach"), F.first("_n").alias("_total"))
         done = state.where(((F.col("_have") >= k) & (F.col("_far") < F.col("_reach"))) | (F.col("_have") >= F.col("_total"))).select(*cols, key)
         part = best.join(done, [*cols, key], "left_semi").select(*cols, key, "nbr", "dist", "pos")
         found = part if found is None else found.unionByName(part)
-        todo = todo.join(done, [*cols, key], "left_anti").checkpoint() if todo.sparkSession.sparkContext.getCheckpointDir() else todo.join(done, [*cols, key], "left_anti")
+        todo = todo.join(done, [*cols, key], "left_anti")
+        if todo.sparkSession.sparkContext.getCheckpointDir():
+            todo = todo.checkpoint()
         if not todo.limit(1).count():
             return found
         ring *= 2
