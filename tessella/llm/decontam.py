@@ -6,7 +6,8 @@
 3. Randomised SVD of the passage x term matrix A: each task adds up its share of A'A W for a random W, sums merge in a
    tree, and the Nystrom form of A'A gives singular values and right vectors without a further pass.
 4. Windows of two passages, half overlapping, and the benchmark items' windows are projected, each direction scaled by
-   its singular value; pairs of a cosine over a bar that depends on the item's length are candidates.
+   its singular value; pairs of a cosine over a bar that depends on the item's length are candidates, if the window holds
+   enough of the item window's terms.
 5. Around each candidate the longest common subsequence of words with the item, and with the item's answer (its last
    third), decide: enough of the whole, or less of the whole with nearly all of the answer.
 
@@ -31,8 +32,9 @@ from ._text import mix, slices, span_hashes, words
 BLOCK = 16
 DIM = 4096
 RANK = 64
-OVER = 16
-ITEMS = 4096
+OVER = 8
+ITEMS = 1024
+SHARED = 0.3  # of an item window's inverse document frequencies, that a document's window must hold
 CHUNK = 1 << 15  # words in one step
 MERGE = 32
 
@@ -158,14 +160,9 @@ def right_vectors(ids: DataFrame, idf: np.ndarray, seed: int = 71) -> tuple[np.n
             if not len(at):
                 continue
             y = row_sums(omega, t)  # A W, a row for each passage
-            flat = t.ravel()
-            order = np.argsort(flat, kind="stable")
-            there, start = np.unique(flat[order], return_index=True)
-            run_ = np.zeros((len(order) + 1, width), np.float32)
-            np.cumsum(y[order // BLOCK], axis=0, out=run_[1:])
-            part = run_[np.append(start[1:], len(order))] - run_[start]
-            on = there < DIM
-            total[there[on]] += part[on]
+            flat, by_column = t.ravel().astype(np.intp), np.ascontiguousarray(y.T)
+            for d in range(width):  # A' (A W), column by column
+                total[:, d] += np.bincount(flat, weights=np.repeat(by_column[d], BLOCK), minlength=DIM + 1)[:DIM]
         yield spread(total)
 
     y = summed(ids.mapInArrow(run, "slice int, salt int, x binary"), width, ids.rdd.getNumPartitions()) * idf[:, None]
@@ -178,25 +175,25 @@ def right_vectors(ids: DataFrame, idf: np.ndarray, seed: int = 71) -> tuple[np.n
     return u[:, :RANK], np.sqrt(np.maximum(s[:RANK] ** 2 - shift, 0))
 
 
-def projection(ids: DataFrame) -> np.ndarray:
-    """float32 DIM x RANK, and a row of zeros: what a word adds to a window's latent vector."""
+def projection(ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse document frequencies, 0 in the last place, and float32 DIM x RANK, and a row of zeros: what a word adds to a window's latent vector."""
     f = frequencies(ids)
     idf = np.log((1 + f[0, 1]) / (1 + f[:, 0])) + 0.05
     v, s = right_vectors(ids, idf)
     scale = np.where(s > 1e-6 * max(s[0], 1e-300), 1 / np.maximum(s, 1e-300), 0.0)
     p = idf[:, None] * v * scale
-    return np.concatenate([p / max(1e-300, np.sqrt((p * p).sum(1).mean())), np.zeros((1, RANK))]).astype(np.float32)
+    return np.append(idf, 0.0), np.concatenate([p / max(1e-300, np.sqrt((p * p).sum(1).mean())), np.zeros((1, RANK))]).astype(np.float32)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(1e-9, np.sqrt((x * x).sum(1, keepdims=True)))
 
 
-def windows(p: np.ndarray, w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(unit vectors, document, first word in it) of the windows of two passages."""
+def windows(p: np.ndarray, w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(unit vectors, document, first word in it, terms) of the windows of two passages."""
     t, at, doc_at = grid(w, first)
     if not len(at):
-        return np.zeros((0, RANK), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros((0, RANK), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2 * BLOCK), np.int16)
     x = row_sums(p, t)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(doc_at))
     pair = np.zeros(len(at), bool)
@@ -205,7 +202,16 @@ def windows(p: np.ndarray, w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray
     head[1:] = ~pair[:-1]
     keep = pair | head
     x[:-1][pair[:-1]] += x[1:][pair[:-1]].copy()
-    return unit(x[keep]), doc[keep], (at - first[doc])[keep]
+    terms = np.full((len(at), 2 * BLOCK), DIM, np.int16)
+    terms[:, :BLOCK] = t
+    terms[:-1, BLOCK:][pair[:-1]] = t[1:][pair[:-1]]
+    return unit(x[keep]), doc[keep], (at - first[doc])[keep], terms[keep]
+
+
+def once_each(terms: np.ndarray) -> np.ndarray:
+    terms = np.sort(terms, axis=1)
+    terms[:, 1:][terms[:, 1:] == terms[:, :-1]] = DIM
+    return terms
 
 
 def lcs(positions: dict[int, int], n: int, text: list[int]) -> int:
@@ -226,25 +232,31 @@ def places(pattern: list[int]) -> dict[int, int]:
     return out
 
 
-def search(ids: DataFrame, items: list[tuple[int, str]], p: np.ndarray, whole: float, part: float, answer: float) -> DataFrame:
+def search(ids: DataFrame, items: list[tuple[int, str]], idf: np.ndarray, p: np.ndarray, whole: float, part: float, answer: float) -> DataFrame:
     raw = [t.encode() for _, t in items]
     w, first = word_ids(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
     lists = [w[a:b].tolist() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-    vectors, item, at = windows(p, w, first)
+    vectors, item, at, terms = windows(p, w, first)
+    weights = np.zeros((len(item), DIM + 1), np.float32)  # a window's terms by inverse document frequency, over their sum
+    np.put_along_axis(weights, terms.astype(np.int64), idf[terms].astype(np.float32), 1)
+    weights[:, DIM] = 0
+    weights /= np.maximum(1e-9, weights.sum(1, keepdims=True))
     n = np.diff(first)[item]
     bars = 0.5 * np.sqrt(np.minimum(2 * BLOCK, n) / (2 * BLOCK))
-    shared = ids.sparkSession.sparkContext.broadcast((p, [i for i, _ in items], lists, np.ascontiguousarray(vectors.T), item, at, bars.astype(np.float32)))
+    shared = ids.sparkSession.sparkContext.broadcast((p, [i for i, _ in items], lists, np.ascontiguousarray(vectors.T), item, at, bars.astype(np.float32), weights))
     schema = "id long, item_id long, cosine double, common double, answer double, start long, stop long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, names, lists, vectors, item, item_at, bars = shared.value
+        p, names, lists, vectors, item, item_at, bars, weights = shared.value
         known = [(places(x), places(x[len(x) - max(1, len(x) // 3) :])) for x in lists]
         for ids_, w, first in chunks(batches):
-            x, doc, at = windows(p, w, first)
+            x, doc, at, terms = windows(p, w, first)
             out = []
             for lo in range(0, len(x), 2048):
                 sim = x[lo : lo + 2048] @ vectors
                 i, j = np.nonzero(sim >= bars)
+                ok = weights[j[:, None], once_each(terms[lo + i])].sum(1) >= SHARED
+                i, j = i[ok], j[ok]
                 found: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
                 for a, b, s in zip((i + lo).tolist(), j.tolist(), sim[i, j].tolist(), strict=True):
                     m = len(lists[item[b]])
@@ -276,12 +288,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     whole: share of an item's words that in order suffices; part, answer: shares that do together."""
     ids = table(hashed(docs, key, text), "words")
-    p = projection(ids)
+    idf, p = projection(ids)
     found, block = None, []
 
     def against(block: list) -> None:
         nonlocal found
-        one = search(ids, block, p, whole, part, answer)
+        one = search(ids, block, idf, p, whole, part, answer)
         found = one if found is None else found.unionByName(one)
 
     for row in benchmark.where(F.col(item_text).rlike(r"\S") & F.col(item).isNotNull()).select(item, item_text).orderBy(item).toLocalIterator():
