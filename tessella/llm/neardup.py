@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         else:
             with_comp = with_comp.withColumn("own", F.lit(0))
         pairs = table(candidates(with_comp, last, similarity), "candidates")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        ids = pairs.select(F.col("a").alias("id")).distinct()  # each has a row of its own
         if whole is not None:
             ids = ids.join(whole, "id", "left_anti")
         ids = table(ids, "ids")
