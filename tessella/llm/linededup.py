@@ -19,13 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._session import table
+from ._session import release, table
 
 BINS = 1 << 16
 NO_KEY = -(1 << 63)
 BROADCAST_ROWS = 1_000_000
 TENTHS = 8  # the threshold in tenths
-WIDE = 60  # words over which a set has the second half of its bitmap
+WIDE = 20  # words over which a set has the second half of its bitmap
 
 
 SPACES = r"[\x09-\x0D\x20]+"
@@ -92,7 +92,9 @@ def few(df: DataFrame) -> DataFrame:
 def verified(pairs_: DataFrame, docs: DataFrame, levels: Column) -> DataFrame:
     """(late, early) of the pairs whose whole sets are similar; places are structs (k, d, no)."""
     places = pairs_.select(F.explode(F.array("late", "early")).alias("x")).select("x.d", "x.no").groupBy("d").agg(F.collect_set("no").alias("nos"))
-    sets = docs.join(few(table(places, "places")), "d").dropDuplicates(["d"]).withColumn("all", F.split("text", "\n")).select("k", "d", F.explode("nos").alias("no"), "all").select(F.struct("k", "d", "no").alias("x"), coded(F.get("all", F.col("no")), levels).alias("codes"))
+    sets = docs.join(few(table(places, "places")), "d").withColumn("all", F.split("text", "\n")).select("k", "d", F.explode("nos").alias("no"), "all").select(F.struct("k", "d", "no").alias("x"), coded(F.get("all", F.col("no")), levels).alias("codes"))
+    if docs.groupBy("d").count().where("count > 1").limit(1).count():  # repeated rows, whose sets are the same
+        sets = sets.dropDuplicates(["x"])
     sets = table(sets, "linesets")
     both = pairs_.join(sets.select(F.col("x").alias("late"), F.col("codes").alias("c1")), "late").join(sets.select(F.col("x").alias("early"), F.col("codes").alias("c2")), "early").withColumn("common", F.size(F.array_intersect("c1", "c2")))
     return both.where(f"10 * common >= {TENTHS} * (size(c1) + size(c2) - common)").select("late", "early")
@@ -101,12 +103,13 @@ def verified(pairs_: DataFrame, docs: DataFrame, levels: Column) -> DataFrame:
 def later(docs: DataFrame, found: DataFrame, levels: Column) -> DataFrame:
     """(d, no): lines with an earlier similar one.  One is enough, so the earliest candidate of each line is verified
     first, and the others only of lines that it leaves open."""
-    keys = found.select(F.explode(F.array("d1", "d2")).alias("d")).distinct().join(docs.select("k", "d"), "d").dropDuplicates(["d"])
+    keys = found.select(F.explode(F.array("d1", "d2")).alias("d")).distinct().join(docs.select("k", "d").distinct(), "d")
     keys = few(table(keys.select("d", "k"), "keys"))
     side = lambda i: keys.select(F.col("d").alias(f"d{i}"), F.col("k").alias(f"k{i}"))
     x1, x2 = (F.struct(F.col(f"k{i}").alias("k"), F.col(f"d{i}").alias("d"), F.col(f"no{i}").alias("no")) for i in (1, 2))
     pairs_ = table(found.join(side(1), "d1").join(side(2), "d2").select(F.greatest(x1, x2).alias("late"), F.least(x1, x2).alias("early")), "ordered")
     first = table(verified(table(pairs_.groupBy("late").agg(F.min("early").alias("early")), "first"), docs, levels).select("late"), "similar")
+    release(docs.sparkSession)
     rest = table(pairs_.join(few(first), "late", "left_anti"), "rest")
     return first.unionByName(verified(rest, docs, levels).select("late").distinct()).select("late.d", "late.no")
 
@@ -115,7 +118,10 @@ def removed(docs: DataFrame) -> DataFrame:
     """(d, nos): the lines of each document that go, by number from 0."""
     levels = rarity(docs)
     found = table(pairs(docs, levels), "pairs")
+    release(docs.sparkSession)
     similar = later(docs, found, levels)
+    similar = table(similar, "similar")
+    release(docs.sparkSession)
     every = table(lines(docs).select("k", "d", "no", F.xxhash64("line").alias("class")), "lines")
     first = every.groupBy("class").agg(F.min(F.struct("k", "d", "no")).alias("f"))
     copies = every.join(first, "class").where(F.struct("k", "d", "no") > F.col("f")).select("d", "no")
