@@ -32,12 +32,12 @@ from ._text import U64, distinct, mix, shingles, slices, span_hashes, stream, wo
 from .components import components
 
 HASHES, TREES, DEPTH = 128, 16, 3
-EACH = HASHES // TREES
+EACH = HASHES // TREES  # TREES * DEPTH is even: prefixes pack two to a byte
 REGION = 2048
 SKETCH = HASHES // 2  # bytes: four bits of each minimum
 FACTORS = stream(HASHES, 101) | U64(1)
 BROADCAST_IDS = 1_000_000  # about 20 MB
-ENTRY = np.dtype([("key", "<u8"), ("deep", "<u8"), ("id", "<i8"), ("n", "<i4"), ("own", "<i4"), ("comp", "<i8"), ("tree", "u1"), ("sketch", "u1", SKETCH)])
+ENTRY = np.dtype([("key", "<u8"), ("deep", "<u8"), ("id", "<i8"), ("n", "<i4"), ("own", "<i4"), ("comp", "<i8"), ("tree", "u1"), ("sketch", "u1", SKETCH), ("prefix", "u1", TREES * DEPTH // 2)])
 EQUAL = np.array([(not x & 15) + (not x & 240) for x in range(256)], np.uint8)
 SCREEN_SIGMAS = 4.8
 
@@ -96,6 +96,8 @@ def deal(classes: DataFrame, parts: int) -> DataFrame:
             sig = np.frombuffer(b"".join(rows.column(2).to_pylist()), "<u4").reshape(m, HASHES)
             half = sig & np.uint32(15)
             sketch = (half[:, ::2] | half[:, 1::2] << np.uint32(4)).astype(np.uint8)
+            high = sig.reshape(m, TREES, EACH)[:, :, :DEPTH].reshape(m, -1) >> np.uint32(4) & np.uint32(15)
+            prefix = (high[:, ::2] | high[:, 1::2] << np.uint32(4)).astype(np.uint8)
             out = np.empty((TREES, m), ENTRY)
             for t in range(TREES):
                 part = sig[:, t * EACH : (t + 1) * EACH].astype(U64)
@@ -106,7 +108,7 @@ def deal(classes: DataFrame, parts: int) -> DataFrame:
                 for j in range(DEPTH, DEPTH + 4):
                     deep = deep << U64(16) | part[:, j] & U64(0xFFFF)
                 e = out[t]
-                e["tree"] = t
+                e["tree"], e["prefix"] = t, prefix
                 e["key"], e["deep"], e["id"], e["n"], e["own"], e["comp"], e["sketch"] = key, deep, ids, n, own, comp, sketch
             out = out.ravel()
             bucket = (out["key"] % U64(parts)).astype(np.int32)
@@ -133,11 +135,14 @@ def seek(every: bool, similarity: float):
         same = EQUAL[differ].sum(1)
         ok = same >= least
         if every:
-            # A pair that shares the prefixes of several trees is left to the first two of them; bits of the sketch
-            # that agree by chance could only hide it in both at once (about 1e-8).
+            # A pair that shares the prefixes of several trees is left to the first of them.  Eight bits of each value
+            # tell; where 24 bits of a tree agree by chance before that (under 1e-6) the pair would be passed over.
             d = differ.reshape(len(differ), TREES, EACH // 2)
-            met = (d[:, :, : DEPTH // 2] == 0).all(2) & ((d[:, :, DEPTH // 2] & 15) == 0 if DEPTH % 2 else True)
-            ok &= (met & (np.arange(TREES) < e["tree"][i][:, None])).sum(1) < 2
+            low = np.stack([d & 15, d >> 4], 3).reshape(len(d), TREES, EACH)[:, :, :DEPTH]
+            h = e["prefix"][i] ^ e["prefix"][j]
+            high = np.stack([h & 15, h >> 4], 2).reshape(len(h), TREES, DEPTH)
+            met = ((low | high) == 0).all(2)
+            ok &= ~(met & (np.arange(TREES) < e["tree"][i][:, None])).any(1)
         i, j, same = i[ok], j[ok], same[ok]
         a, b = e["id"][i], e["id"][j]
         return np.maximum(a, b), np.minimum(a, b), same.astype(np.int32)
