@@ -78,5 +78,23 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def secrets_sql() -> str:
+    """The spans by gaps and matches, in DuckDB."""
+    parts = []
+    for o, r in enumerate(secrets.RULES):
+        pattern = "'" + r.pattern.replace("'", "''") + "'"
+        parts.append(
+            f"SELECT doc_id, {o} AS o, '{r.name}' AS name, {r.least} AS least, regexp_extract_all(t, {pattern}, 0) AS m, regexp_extract_all(t, {pattern}, {r.group}) AS v, regexp_split_to_array(t, {pattern}) AS g FROM d WHERE regexp_matches(t, {pattern})"
+        )
+    base = [r.name for r in secrets.RULES if r.base]
+    named = ", ".join(f"'{n}'" for n in base)
+    counts = ", ".join(f"count(*) FILTER (WHERE name = '{n}') AS n_{n}" for n in base)
+    zero = ", ".join(f"coalesce(n_{n}, 0) AS n_{n}" for n in base)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({" UNION ALL ".join(parts)}), i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f),
+    e AS (SELECT doc_id, o, name, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a, length(m[i]) AS n FROM i WHERE length(v[i]) >= least),
+    s AS (SELECT doc_id, {counts}, string_agg(name || ':' || a || ':' || a + n, ',' ORDER BY a, o) FILTER (WHERE name IN ({named})) AS base, string_agg(name || ':' || a || ':' || a + n, ',' ORDER BY a, o) AS spans FROM e GROUP BY doc_id)
+    SELECT doc_id, {zero}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (doc_id)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_quality, op4_line_dedup, op5_suffix_dedup, op6_fingerprints, op7_language_id, op8_decontamination, op9_byte_bpe, op10_minhash_near_dedup)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_secret_scan": secrets_sql()}
