@@ -155,8 +155,9 @@ def stratified_sample(df: DataFrame, by: str, key: str, n: int, seed: int = 42,
     total = df.count()
     share = F.lit(n) * F.col("count") / total
     quota = counts.withColumn("_quota", F.greatest(F.lit(at_least), (F.ceil(share) if ceil else F.floor(share)).cast("long"))).select(by, "_quota")
+    most = quota.agg(F.max("_quota")).head()[0] or 0  # a constant bound, so that each map task sends on no more rows of a stratum
     w = Window.partitionBy(by).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    return df.withColumn("_n", F.row_number().over(w)).join(F.broadcast(quota) if quota.count() <= 100_000 else quota, by).where("_n <= _quota").drop("_n", "_quota")
+    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).join(F.broadcast(quota) if quota.count() <= 100_000 else quota, by).where("_n <= _quota").drop("_n", "_quota")
 
 
 def cumulative_position(df: DataFrame, chrom: str = "chrom", pos: str = "pos", name: str = "cum_pos") -> DataFrame:
