@@ -7,7 +7,7 @@ has a Jaccard similarity of THRESHOLD or more with it, judged on the input; line
    its hash, so that codes in ascending order run from rare to frequent.
 2. Equal lines form one class with its first place.  Each class gives its prefix, |s| - ceil(t |s|) + 1 rarest codes.
 3. Prefixes join on the code under the length filter, the positional filter (a pair must be possible if this is its
-   first common word) and a parity bitmap of 128 bits, whose differing bits can't outnumber the differing words.
+   first common word) and a parity bitmap of 128 or 512 bits, whose differing bits can't outnumber the differing words.
 4. Surviving pairs are verified on their whole sets; the later line of each goes, and every later copy of a line.
 
 Edge cases: null and empty texts have no lines with words; a null key comes before all others; rows of one key are
@@ -25,7 +25,8 @@ BINS = 1 << 16
 NO_KEY = -(1 << 63)
 BROADCAST_ROWS = 1_000_000
 TENTHS = 8  # the threshold in tenths
-WIDE = 20  # words over which a set has the second half of its bitmap
+WIDE = 150  # words over which a set has 512 bins, of which three quarters are kept beside the folded 128
+QUARTERS = [(q, h) for q in (1, 2, 3) for h in (0, 1)]
 
 
 SPACES = r"[\x09-\x0D\x20]+"
@@ -47,9 +48,11 @@ def coded(line: Column, levels: Column) -> Column:
     return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(BINS - 1).cast("int")).cast("bigint"), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))))
 
 
-def bitmap(codes: Column, shift: int) -> Column:
-    """Parity of the codes over 64 bits, chosen by six bits of the hash."""
-    return F.aggregate(codes, F.lit(0).cast("bigint"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(c, shift).bitwiseAND(63).cast("int"))))
+def bitmap(codes: Column, half: int, quarter: int | None = None) -> Column:
+    """64 of the bins of a parity bitmap: each code flips one of 128 bins, or with ``quarter`` one of 512, by bits of its hash."""
+    where = lambda c: F.shiftright(c, 22).bitwiseAND(1) == half
+    on = where if quarter is None else lambda c: where(c) & (F.shiftright(c, 23).bitwiseAND(3) == quarter)
+    return F.aggregate(codes, F.lit(0).cast("bigint"), lambda a, c: F.when(on(c), a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(c, 16).bitwiseAND(63).cast("int")))).otherwise(a))
 
 
 def base(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -66,19 +69,23 @@ def pairs(docs: DataFrame, levels: Column) -> DataFrame:
     n, t = F.size("codes"), TENTHS
     prefix = F.slice("codes", 1, n - F.ceil(n * t / 10 - 1e-9).cast("int") + 1)
     each = lines(docs).select("k", "d", "no", F.xxhash64("line").alias("class"), coded(F.col("line"), levels).alias("codes"))
-    each = each.select("class", F.struct("k", "d", "no", n.alias("n"), prefix.alias("prefix"), bitmap(F.col("codes"), 16).alias("b1"), F.when(n > WIDE, bitmap(F.col("codes"), 22)).otherwise(0).alias("b2")).alias("x"))
+    each = each.select("class", F.struct("k", "d", "no", n.alias("n"), prefix.alias("prefix"), *(bitmap(F.col("codes"), h).alias(f"b{h}") for h in (0, 1)), *(F.when(n > WIDE, bitmap(F.col("codes"), h, q)).otherwise(0).alias(f"w{q}{h}") for q, h in QUARTERS)).alias("x"))
     first = each.groupBy("class").agg(F.min("x").alias("x"))
-    rows = first.select("x.d", "x.b1", "x.b2", F.col("x.no").cast("bigint").alias("no"), F.col("x.n").alias("n"), F.posexplode("x.prefix").alias("pos", "code")).withColumn("code", F.hash("code"))  # four bytes meet as well as eight: pairs are verified
-    rows = rows.select("code", "d", "b1", "b2", F.expr("shiftleft(no, 32) | shiftleft(cast(least(n, 65535) as bigint), 16) | least(pos, 65535)").alias("p"))
+    maps = ["b0", "b1", *(f"w{q}{h}" for q, h in QUARTERS)]
+    rows = first.select("x.d", *(f"x.{m}" for m in maps), F.col("x.no").cast("bigint").alias("no"), F.col("x.n").alias("n"), F.posexplode("x.prefix").alias("pos", "code")).withColumn("code", F.hash("code"))  # four bytes meet as well as eight: pairs are verified
+    rows = rows.select("code", "d", *maps, F.expr("shiftleft(no, 32) | shiftleft(cast(least(n, 65535) as bigint), 16) | least(pos, 65535)").alias("p"))
     a, b = rows.alias("a"), rows.alias("b")
     size = lambda s: f"(shiftright({s}.p, 16) & 65535)"
     left = lambda s: f"({size(s)} - ({s}.p & 65535))"
     total = f"({size('a')} + {size('b')})"
+    folded = " + ".join(f"bit_count(a.b{h} ^ b.b{h})" for h in (0, 1))
+    wide = " + ".join([*(f"bit_count(a.w{q}{h} ^ b.w{q}{h})" for q, h in QUARTERS), *(f"bit_count(a.b{h} ^ b.b{h} ^ " + " ^ ".join(f"a.w{q}{h} ^ b.w{q}{h}" for q in (1, 2, 3)) + ")" for h in (0, 1))])
     # with inter >= t / (10 + t) * total: what differs is total - 2 inter, and what is left from the common word on must hold inter
     on = F.expr(
         "a.code = b.code and (a.d < b.d or (a.d = b.d and shiftright(a.p, 32) < shiftright(b.p, 32)))"
         + f" and 10 * least({size('a')}, {size('b')}) >= {t} * greatest({size('a')}, {size('b')})"
-        + f" and {10 + t} * (bit_count(a.b1 ^ b.b1) + CASE WHEN least({size('a')}, {size('b')}) > {WIDE} THEN bit_count(a.b2 ^ b.b2) ELSE 0 END) <= {10 - t} * {total} * 2"
+        + f" and {10 + t} * ({folded}) <= {10 - t} * {total}"
+        + f" and (least({size('a')}, {size('b')}) <= {WIDE} or {10 + t} * ({wide}) <= {10 - t} * {total})"
         + f" and ({10 + t} * least({left('a')}, {left('b')}) >= {t} * {total} or greatest({size('a')}, {size('b')}) = 65535)"
     )
     return a.join(b, on).select(F.col("a.d").alias("d1"), F.expr("cast(shiftright(a.p, 32) as int)").alias("no1"), F.col("b.d").alias("d2"), F.expr("cast(shiftright(b.p, 32) as int)").alias("no2")).distinct()
