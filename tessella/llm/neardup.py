@@ -7,9 +7,8 @@ prefix) and the region's least; a sketch of the signature screens them.  Links a
 
 Rounds: every class checks its best candidate; confirmed links join components; then candidates are sought only
 between different components of a region, the best of each class again, and in the last round all of them that can
-be linked at all: shingles that no other set has bound what a pair can share.  A region
-of more than ``REGION`` members goes deeper, each member then within its own longer prefix.  A link that is skipped
-joins two classes that are connected already.
+be linked at all, whatever the region's size: shingles that no other set has bound what a pair can share.  A link that
+is skipped joins two classes that are connected already.
 
 At similarity s a pair shares no region with probability (1 - s**DEPTH)**TREES: under 3e-7 at 0.85.
 
@@ -32,12 +31,13 @@ from ._text import U64, distinct, mix, shingles, slices, span_hashes, stream, wo
 from .components import components
 
 HASHES, TREES, DEPTH = 128, 16, 3
-EACH = HASHES // TREES  # TREES * DEPTH is even: prefixes pack two to a byte
-REGION = 2048
+EACH = HASHES // TREES
+STEP = 1 << 16  # pairs in one step
 SKETCH = HASHES // 2  # bytes: four bits of each minimum
 FACTORS = stream(HASHES, 101) | U64(1)
 BROADCAST_IDS = 1_000_000  # about 20 MB
-ENTRY = np.dtype([("key", "<u8"), ("deep", "<u8"), ("id", "<i8"), ("n", "<i4"), ("own", "<i4"), ("comp", "<i8"), ("tree", "u1"), ("sketch", "u1", SKETCH), ("prefix", "u1", TREES * DEPTH // 2)])
+FIELDS = [("key", "<u8"), ("id", "<i8"), ("n", "<i4"), ("own", "<i4"), ("comp", "<i8"), ("tree", "u1"), ("sketch", "u1", SKETCH)]
+BEST, EVERY = np.dtype([*FIELDS, ("deep", "<u8")]), np.dtype([*FIELDS, ("keys", "<u4", TREES)])  # entries of the rounds
 EQUAL = np.array([(not x & 15) + (not x & 240) for x in range(256)], np.uint8)
 SCREEN_SIGMAS = 4.8
 
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_text")).mapInArrow(run, "id long, n long, s1 long, s2 long, sig binary")
 
 
-def deal(classes: DataFrame, parts: int) -> DataFrame:
+def deal(classes: DataFrame, every: bool, parts: int) -> DataFrame:
     """Entries of all trees as packed rows (bucket, blob)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,20 +96,21 @@ def deal(classes: DataFrame, parts: int) -> DataFrame:
             sig = np.frombuffer(b"".join(rows.column(2).to_pylist()), "<u4").reshape(m, HASHES)
             half = sig & np.uint32(15)
             sketch = (half[:, ::2] | half[:, 1::2] << np.uint32(4)).astype(np.uint8)
-            high = sig.reshape(m, TREES, EACH)[:, :, :DEPTH].reshape(m, -1) >> np.uint32(4) & np.uint32(15)
-            prefix = (high[:, ::2] | high[:, 1::2] << np.uint32(4)).astype(np.uint8)
-            out = np.empty((TREES, m), ENTRY)
+            out = np.empty((TREES, m), EVERY if every else BEST)
             for t in range(TREES):
                 part = sig[:, t * EACH : (t + 1) * EACH].astype(U64)
                 key = np.full(m, t + 1, U64)
                 for j in range(DEPTH):
                     key = mix(key * U64(0x9E3779B97F4A7C15) + part[:, j])
+                e = out[t]
+                e["tree"], e["key"], e["id"], e["n"], e["own"], e["comp"], e["sketch"] = t, key, ids, n, own, comp, sketch
+                if every:
+                    out["keys"][:, :, t] = key.astype(np.uint32)
+                    continue
                 deep = np.zeros(m, U64)
                 for j in range(DEPTH, DEPTH + 4):
                     deep = deep << U64(16) | part[:, j] & U64(0xFFFF)
-                e = out[t]
-                e["tree"], e["prefix"] = t, prefix
-                e["key"], e["deep"], e["id"], e["n"], e["own"], e["comp"], e["sketch"] = key, deep, ids, n, own, comp, sketch
+                e["deep"] = deep
             out = out.ravel()
             bucket = (out["key"] % U64(parts)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
@@ -135,21 +136,18 @@ def seek(every: bool, similarity: float):
         same = EQUAL[differ].sum(1)
         ok = same >= least
         if every:
-            # A pair that shares the prefixes of several trees is left to the first of them.  Eight bits of each value
-            # tell; where 24 bits of a tree agree by chance before that (under 1e-6) the pair would be passed over.
-            d = differ.reshape(len(differ), TREES, EACH // 2)
-            low = np.stack([d & 15, d >> 4], 3).reshape(len(d), TREES, EACH)[:, :, :DEPTH]
-            h = e["prefix"][i] ^ e["prefix"][j]
-            high = np.stack([h & 15, h >> 4], 2).reshape(len(h), TREES, DEPTH)
-            met = ((low | high) == 0).all(2)
-            ok &= ~(met & (np.arange(TREES) < e["tree"][i][:, None])).any(1)
+            # A pair that shares the prefixes of several trees is left to the first of them, which compares it whatever
+            # its region's size.  32 bits of the keys tell: other prefixes agree in them with a chance under 4e-9.
+            i, j, same = i[ok], j[ok], same[ok]
+            met = e["keys"][i] == e["keys"][j]
+            ok = ~(met & (np.arange(TREES) < e["tree"][i][:, None])).any(1)
         i, j, same = i[ok], j[ok], same[ok]
         a, b = e["id"][i], e["id"][j]
         return np.maximum(a, b), np.minimum(a, b), same.astype(np.int32)
 
     def run(rows: pa.Table) -> pa.Table:
-        e = np.frombuffer(b"".join(rows.column("blob").to_pylist()), ENTRY)
-        e = e[np.lexsort((e["id"], e["deep"], e["key"]))]
+        e = np.frombuffer(b"".join(rows.column("blob").to_pylist()), EVERY if every else BEST)
+        e = e[np.lexsort((e["id"], e["comp" if every else "deep"], e["key"]))]
         new = np.ones(len(e), bool)
         new[1:] = e["key"][1:] != e["key"][:-1]
         at = np.flatnonzero(new)
@@ -157,28 +155,24 @@ def seek(every: bool, similarity: float):
         region = np.repeat(np.arange(len(at)), size)
         found = []
         if len(at):
-            differs = np.minimum.reduceat(e["comp"], at) != np.maximum.reduceat(e["comp"], at)
-            live = np.flatnonzero(differs[region])
-            i = live[(live > 0) & ~new[live]]
-            found.append(screened(e, i, i - 1))
-            least_at = np.lexsort((e["id"], region))[at]
-            found.append(screened(e, live, least_at[region[live]]))
             if every:
-                for r in np.flatnonzero(differs & (size > 1)):
-                    lo, hi = at[r], at[r] + size[r]
-                    todo = [(lo, hi, 0)]
-                    while todo:
-                        lo, hi, depth = todo.pop()
-                        if hi - lo > REGION and depth < 4:
-                            v = e["deep"][lo:hi] >> U64(48 - 16 * depth)
-                            edge = [lo, *(lo + 1 + np.flatnonzero(v[1:] != v[:-1])).tolist(), hi]
-                            todo += [(x, y, depth + 1) for x, y in zip(edge[:-1], edge[1:], strict=True) if y - x > 1]
-                            continue
-                        for x in range(lo + 1, hi):
-                            j = np.arange(lo, x)
-                            j = j[e["comp"][j] != e["comp"][x]]
-                            if len(j):
-                                found.append(screened(e, np.full(len(j), x), j))
+                # sorted by component, an entry goes against those of its region that come before its component
+                part = new.copy()
+                part[1:] |= e["comp"][1:] != e["comp"][:-1]
+                lo, before = at[region], np.flatnonzero(part)[np.cumsum(part) - 1]
+                before -= lo
+                total = np.concatenate([[0], np.cumsum(before)])
+                for begin in range(0, int(total[-1]), STEP):
+                    pair = np.arange(begin, min(begin + STEP, int(total[-1])))
+                    i = np.searchsorted(total, pair, side="right") - 1
+                    found.append(screened(e, i, lo[i] + pair - total[i]))
+            else:
+                differs = np.minimum.reduceat(e["comp"], at) != np.maximum.reduceat(e["comp"], at)
+                live = np.flatnonzero(differs[region])
+                i = live[(live > 0) & ~new[live]]
+                found.append(screened(e, i, i - 1))
+                least_at = np.lexsort((e["id"], region))[at]
+                found.append(screened(e, live, least_at[region[live]]))
         a, b, s = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in range(3))
         if len(a):
             order = np.lexsort((b, -s, a))
@@ -195,7 +189,7 @@ def seek(every: bool, similarity: float):
 
 def candidates(classes: DataFrame, every: bool, similarity: float) -> DataFrame:
     parts = 4 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = deal(classes, parts).groupBy("bucket").applyInArrow(seek(every, similarity), "a long, b long, est int")
+    found = deal(classes, every, parts).groupBy("bucket").applyInArrow(seek(every, similarity), "a long, b long, est int")
     if every:
         return found.groupBy("a", "b").agg(F.max("est").alias("est"))
     return found.groupBy("a").agg(F.max(F.struct("est", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b"), "x.est")

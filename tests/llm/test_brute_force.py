@@ -182,6 +182,20 @@ def test_dense_group_of_near_copies(spark, make_docs):
     assert got == {i: root(i) for i in range(150)}
 
 
+@pytest.mark.parametrize("members, differs, by", [(3000, 3, 1 << 15), (10, 2, 256)])
+def test_last_round_keeps_each_link(spark, members, differs, by):
+    """Two groups in one region, large or small, and one link; of the first tree's values its ends differ in one."""
+    rng = np.random.default_rng(8)
+    sig = rng.integers(0, 1 << 32, (members, neardup.HASHES), dtype=np.uint32)
+    sig[:, : neardup.DEPTH] = 7
+    sig[members - 3] = sig[2]
+    sig[members - 3, differs] = sig[2, differs] + np.uint32(by)
+    comp = np.where(np.arange(members) < members // 2, 0, members // 2)
+    classes = spark.createDataFrame([(i, 100, s.tobytes(), int(c), 0) for i, (s, c) in enumerate(zip(sig, comp, strict=True))], "id long, n long, sig binary, comp long, own long")
+    got = {(r[0], r[1]) for r in rows_of(neardup.candidates(classes, True, 0.85)) if r[0] != r[1]}
+    assert got == {(members - 3, 2)}
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5), (1, 2), (2, 1)]
