@@ -35,7 +35,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the least doc_id of each group of near-duplicates; of equal rows of it, one."""
-    found = table(neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "duplicates")
+    found = table(neardup.near_duplicates(docs, hundredths=80).where("not kept").select("doc_id").distinct(), "duplicates")
     kept = docs.join(linededup.few(found), "doc_id", "left_anti")
     if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
         named = kept.where("doc_id IS NOT NULL")

@@ -18,6 +18,13 @@ def test_odd_rows(spark, make_docs, odd_rows):
     assert out.count() == len(ids)
 
 
+def test_near_duplicates_from_four_fifths_on(spark, make_docs):
+    words = [f"w{i}" for i in range(100)]
+    other = ["x" if i in (30, 60) else w for i, w in enumerate(words)]  # 86 of 106 shingles are shared
+    docs = make_docs([(1, " ".join(words)), (2, " ".join(other))])
+    assert [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()] == [1]
+
+
 def test_empty_table(spark, make_docs):
     docs = make_docs([])
     for name, stage in corpus_pipeline.STAGES:
