@@ -269,8 +269,9 @@ def search(ids: DataFrame, items: list[tuple[int, str]], idf: np.ndarray, p: np.
                         part_ = text[begin:stop].tolist()
                         m, k = len(lists[b]), max(1, len(lists[b]) // 3)
                         c, r = lcs(known[b][0], m, part_) / m, lcs(known[b][1], k, part_) / k
-                        best = max(best or (-1.0,), (c, r, -begin, stop))
-                    if best[0] >= whole or (best[0] >= part and best[1] >= answer):
+                        if c >= whole or (c >= part and r >= answer):
+                            best = max(best or (-1.0,), (c, r, -begin, stop))
+                    if best:
                         out.append((ids_[d], names[b], max(s[2] for s in spans), best[0], best[1], -best[2], best[3], d))
             if out:
                 best_of: dict[tuple[int, int], tuple] = {}

@@ -98,6 +98,14 @@ def test_decontamination(spark, make_docs, odd_rows):
     assert decontam.contaminated(make_docs(odd_rows), spark.createDataFrame([(7, odd_rows[4][1][:200])], "item_id long, text string")).select("doc_id").distinct().count() == 3
 
 
+def test_each_span_is_judged(spark, make_docs):
+    """A larger share without the answer doesn't hide a smaller one with it."""
+    item = [f"q{i}" for i in range(60)]
+    text = " ".join([*item[:36], *(f"f{i}" for i in range(200)), *item[26:]])
+    got = decontam.contaminated(make_docs([(1, text)]), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["answer"]) for r in got] == [(1, 7, 1.0)]
+
+
 def test_exact_passages_of_the_benchmark(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
