@@ -1,8 +1,8 @@
 """Incremental secret scans over a blob ledger, in DataFrame functions only.
 
 Every version of every path is content-addressed by the SHA-256 of its text.  The ledger holds the (blob, rule, rule
-version) pairs that were scanned already; only the others are scanned, each blob once, and findings join back to all
-paths that hold the blob.  Spans are code points, end exclusive; matches are leftmost and do not overlap within a rule.
+version) pairs that were scanned already; only the others are scanned, each blob once, and their findings and those kept
+beside the ledger join back to all paths that hold the blob.  Spans are code points, end exclusive; matches are leftmost and do not overlap within a rule.
 
 Edge cases: a null text is an empty one; equal texts share one blob; repeated keys, null keys and further columns
 are allowed (paths keep every row); an empty table gives empty results.
@@ -54,12 +54,14 @@ def spans(text: Column, rule: Rule) -> Column:
 @dataclass(frozen=True)
 class Scan:
     paths: DataFrame  #: key, blob: every row of the input
-    findings: DataFrame  #: blob, rule, version, spans: of newly scanned pairs that have some
+    findings: DataFrame  #: blob, rule, version, spans: of newly scanned pairs that have some, and the earlier ones of these rules
     ledger: DataFrame  #: blob, rule, version: the pairs scanned now
 
 
-def scan(versions: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> Scan:
-    """Scans the blobs of ``versions`` for the rules that the ledger doesn't have for them yet."""
+def scan(versions: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, earlier: DataFrame | None = None) -> Scan:
+    """Scans the blobs of ``versions`` for the rules that the ledger doesn't have for them yet.
+
+    earlier: the findings kept beside the ledger; without them known blobs have none here."""
     body = F.coalesce(F.col(text), F.lit(""))
     paths = versions.select(F.col(key).alias("key"), F.sha2(body, 256).alias("blob"))
     one = paths.groupBy("blob").agg(F.min(F.xxhash64("key")).alias("rep"))  # a null key has a hash too
@@ -75,6 +77,9 @@ def scan(versions: DataFrame, key: str = "doc_id", text: str = "text", rules: tu
     fresh = suspects.join(one.select("rep", F.col("blob").alias("_blob"), "todo"), "rep").where("blob = _blob")
     each = fresh.select("blob", F.explode(F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), F.when(F.array_contains("todo", F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"))), spans(F.col("text"), r)).alias("spans")) for r in rules))).alias("x"))
     findings = each.select("blob", "x.rule", "x.version", "x.spans").where(F.size("spans") > 0).dropDuplicates(["blob", "rule", "version"])
+    if earlier is not None:
+        old = earlier.select("blob", "rule", F.col("version").cast("int").alias("version"), "spans")
+        findings = findings.unionByName(old.where(F.array_contains(known, F.struct("rule", "version")))).dropDuplicates(["blob", "rule", "version"])
     return Scan(paths, findings, pairs)
 
 

@@ -39,6 +39,18 @@ def test_secret_ledger_scans_only_what_is_new(spark, make_docs):
     assert secrets.scan(make_docs([(1, "token = abcdefgh1")]), ledger=ledger, rules=newer).ledger.collect()[0]["version"] == 2
 
 
+def test_second_run_reports_known_blobs(spark, make_docs):
+    rows = [(1, "token = abcdefgh1"), (2, "nothing")]
+    first = secrets.scan(make_docs(rows))
+    more = [*rows, (3, "token = abcdefgh1"), (4, "token = abcdefgh2")]
+    again = secrets.scan(make_docs(more), ledger=first.ledger, earlier=first.findings)
+    assert again.ledger.select("blob").distinct().count() == 1
+    assert sorted(rows_of(secrets.digest(again))) == sorted(rows_of(secrets.digest(secrets.scan(make_docs(more)))))
+    newer = tuple(secrets.Rule(r.name, r.pattern, r.group, 9 if r.name == "assign" else r.least, 2 if r.name == "assign" else 1, r.base) for r in secrets.RULES)
+    third = secrets.scan(make_docs([(1, "token = abcdefgh"), *more]), rules=newer, ledger=first.ledger, earlier=first.findings)
+    assert {r["version"] for r in third.findings.collect()} == {2}
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_line_dedup(spark, make_docs, odd_rows, empty):
     rng = np.random.default_rng(1)
