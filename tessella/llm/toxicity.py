@@ -176,9 +176,8 @@ SPELLED = re.compile(rb"(?<![^\s])(?:[A-Za-z0-9@$][\s._*-]+){3,}[A-Za-z0-9@$](?!
 def spelled(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of four or more single characters: their joined bytes, one run a line, and the text of each."""
     raw, out, doc = buf.tobytes(), [], []
-    for m in SPELLED.finditer(raw):
-        d = int(np.searchsorted(offs, m.start(), side="right")) - 1
-        if m.end() <= offs[d + 1]:
+    for d, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+        for m in SPELLED.finditer(raw[a:b]):  # a text's own bytes, so that neither runs nor look-around leave it
             out.append(re.sub(rb"[\s._*-]+", b"", m[0]))
             doc.append(d)
     return out, np.array(doc, np.int64)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tessella.llm import decontam, langid, quality, toxicity
@@ -40,6 +41,12 @@ def test_toxicity_tolerates_inserted_characters(spark, make_docs, odd_rows):
     assert toxicity.score(make_docs([]), model).count() == 0
 
 
+def test_spelled_words_end_with_their_text():
+    texts = [b"before", b"d u n c e", b"after", b"o n e 1 ", b"t w o 2", b"", b"x"]
+    runs, doc = toxicity.spelled(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert (runs, doc.tolist()) == ([b"dunce", b"one1", b"two2"], [1, 3, 4])
+
+
 def test_quality_grades_are_ordered(spark, make_docs, odd_rows):
     rng = random.Random(1)
     rows, labels = [], []
