@@ -34,13 +34,21 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of the least doc_id of each group of near-duplicates; of equal rows of it, one."""
-    found = table(neardup.near_duplicates(docs, hundredths=80).where("not kept").select("doc_id").distinct(), "duplicates")
-    kept = docs.join(linededup.few(found), "doc_id", "left_anti")
+    """The row of the least doc_id of each group of near-duplicates; of rows of equal doc_id and text, one."""
     if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        named = kept.where("doc_id IS NOT NULL")
-        kept = dedup_first(named, ["doc_id"], [F.xxhash64("text")]).unionByName(kept.where("doc_id IS NULL"))
-    return kept
+        return drop_repeated_ids(docs)
+    found = table(neardup.near_duplicates(docs, hundredths=80).where("not kept").select("doc_id").distinct(), "duplicates")
+    return docs.join(linededup.few(found), "doc_id", "left_anti")
+
+
+def drop_repeated_ids(docs: DataFrame) -> DataFrame:
+    """Near-duplicates where a doc_id has several texts: each of them is a node, and a group's least is by doc_id."""
+    node = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    rows = docs.where("doc_id IS NOT NULL").select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", node.alias("_node"))
+    nodes = table(dedup_first(rows, ["_node"], [F.col("text").isNull(), F.xxhash64("_row")]), "nodes")
+    groups = table(neardup.near_duplicates(nodes, key="_node", hundredths=80).select("_node", "component_id"), "groups")
+    first = nodes.select("_node", "doc_id").join(groups, "_node").groupBy("component_id").agg(F.min(F.struct("doc_id", "_node"))["_node"].alias("_node"))
+    return nodes.join(first, "_node", "left_semi").select("_row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,12 @@
 """The pipeline's stages take effect on odd rows, and on the sample tables."""
 
+import random
+
 import corpus_pipeline
 from tessella.llm._session import table
 
+from .conftest import prose
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -25,6 +29,14 @@ def test_near_duplicates_from_four_fifths_on(spark, make_docs):
     assert [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()] == [1]
 
 
+def test_texts_of_one_id(spark, make_docs):
+    rng = random.Random(6)
+    a, b, c = (prose(rng, 100) for _ in range(3))
+    docs = make_docs([(5, a), (5, b), (5, b), (9, b + " more"), (3, a + " more"), (7, c), (None, a)])
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(5, b), (3, a + " more"), (7, c), (None, a)], key=str)
+
+
 def test_empty_table(spark, make_docs):
     docs = make_docs([])
     for name, stage in corpus_pipeline.STAGES:
