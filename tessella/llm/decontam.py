@@ -31,7 +31,7 @@ from ._text import mix, slices, span_hashes, words
 
 BLOCK = 16
 DIM = 4096
-RANK = 64
+RANK = 96
 OVER = 8
 ITEMS = 1024
 SHARED = 0.3  # of an item window's inverse document frequencies, that a document's window must hold
@@ -242,7 +242,7 @@ def search(ids: DataFrame, items: list[tuple[int, str]], idf: np.ndarray, p: np.
     weights[:, DIM] = 0
     weights /= np.maximum(1e-9, weights.sum(1, keepdims=True))
     n = np.diff(first)[item]
-    bars = 0.5 * np.sqrt(np.minimum(2 * BLOCK, n) / (2 * BLOCK))
+    bars = 0.2 * np.sqrt(np.minimum(2 * BLOCK, n) / (2 * BLOCK))
     shared = ids.sparkSession.sparkContext.broadcast((p, [i for i, _ in items], lists, np.ascontiguousarray(vectors.T), item, at, bars.astype(np.float32), weights))
     schema = "id long, item_id long, cosine double, common double, answer double, start long, stop long"
 
@@ -251,11 +251,13 @@ def search(ids: DataFrame, items: list[tuple[int, str]], idf: np.ndarray, p: np.
         known = [(places(x), places(x[len(x) - max(1, len(x) // 3) :])) for x in lists]
         for ids_, w, first in chunks(batches):
             x, doc, at, terms = windows(p, w, first)
-            out = []
+            out, terms = [], once_each(terms)
             for lo in range(0, len(x), 2048):
                 sim = x[lo : lo + 2048] @ vectors
                 i, j = np.nonzero(sim >= bars)
-                ok = weights[j[:, None], once_each(terms[lo + i])].sum(1) >= SHARED
+                ok = np.zeros(len(i), bool)
+                for c in range(0, len(i), CHUNK):
+                    ok[c : c + CHUNK] = weights[j[c : c + CHUNK, None], terms[lo + i[c : c + CHUNK]]].sum(1) >= SHARED
                 i, j = i[ok], j[ok]
                 found: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
                 for a, b, s in zip((i + lo).tolist(), j.tolist(), sim[i, j].tolist(), strict=True):
@@ -284,7 +286,7 @@ def search(ids: DataFrame, items: list[tuple[int, str]], idf: np.ndarray, p: np.
     return ids.select("id", "w").mapInArrow(run, schema)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", whole: float = 0.65, part: float = 0.55, answer: float = 0.85) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", whole: float = 0.65, part: float = 0.5, answer: float = 0.85) -> DataFrame:
     """(key, item_id, cosine, common, answer, start, stop): documents that hold benchmark items, and the words where.
 
     whole: share of an item's words that in order suffices; part, answer: shares that do together."""

@@ -105,6 +105,23 @@ def test_decontamination(spark, make_docs, odd_rows):
     assert decontam.contaminated(make_docs(odd_rows), spark.createDataFrame([(7, odd_rows[4][1][:200])], "item_id long, text string")).select("doc_id").distinct().count() == 3
 
 
+def test_paraphrases_are_found(spark, make_docs):
+    """Items of 24 and 32 words of which three in ten are replaced, anywhere in a text, in words of Zipf's frequencies."""
+    rng = np.random.default_rng(12)
+    p = 1 / np.arange(1, 20001)
+    zipf = lambda n: [f"z{i}" for i in rng.choice(20000, n, p=p / p.sum())]
+    items, rows = [], []
+    for i in range(200):
+        w = zipf((24, 32)[i % 2])
+        items.append((i, " ".join(w)))
+        for j in rng.choice(len(w), int(0.3 * len(w)), replace=False):
+            w[j] = f"new{j}"
+        rows.append((i, " ".join([*zipf(rng.integers(20, 150)), *w, *zipf(rng.integers(20, 150))])))
+    docs = make_docs([*rows, *((1000 + i, " ".join(zipf(200))) for i in range(600))])
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i) for i in range(200)}
+
+
 def test_each_span_is_judged(spark, make_docs):
     """A larger share without the answer doesn't hide a smaller one with it."""
     item = [f"q{i}" for i in range(60)]
