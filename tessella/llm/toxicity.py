@@ -1,25 +1,29 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystrom landmarks.
 
-Two words are compared by their common subsequences of three characters, gaps allowed, each occurrence weighted by
-DECAY**(its span), over the root of the product of their own squared weights; inserted and dropped characters only
-lower the value.  The kernel is sharpened by a Gaussian of its distance.  Landmarks are words of the labelled training
-sentences: those that speak most for either label, and hard ones found while training.  A linear support vector machine
-in the landmarks' feature space is trained on labelled sentences whose label their strongest word carries
-(multiple-instance training).  A text scores by its strongest word, over the whole text.
+Two word fragments are compared by their common subsequences of three characters, gaps allowed, each occurrence weighted
+by DECAY**(the characters that it skips), so that inserted and dropped characters only lower the value.  A fragment is
+the subsequences that begin in LOCAL consecutive places of a word (a mark stands before its first character), so that an
+insult counts whatever follows it in a compound.  A linear support vector machine in the landmarks' feature space is
+trained on fragments, rounds of hard negatives included; as it is linear in the kernel, its sum over landmarks is kept
+as one weight for each subsequence.  A text scores by its strongest fragment, over the whole text.
+
+Labels hold for texts, so witnesses come first: words, and stems that words share, which toxic texts hold far more often
+than clean ones (a G test over groups of near-equal texts, in rounds that leave out the words already explained).
+Landmarks are the stems, the words that carry them, frequent clean words, and hard ones found while training.
 
 Characters fold to 32 classes: letters in lower case, look-alike digits and signs to their letters, other bytes by
-value; signs inside a word are skipped.  Words of more than ``WIDTH`` bytes are compared in overlapping parts; letters spelled out one by one count as
-one word.
+value; signs inside a word are skipped.  Words of more than ``WIDTH`` bytes are compared in overlapping parts; letters
+spelled out one by one count as one word.
 
-The fit reads a bounded sample (``per_label`` documents a label, ``parts`` pieces of each).  Edge cases: null and empty
-texts score as a clean word; without both labels every text scores 0; repeated rows score alike.
+The fit reads the whole texts of a bounded sample of rows (``per_label`` of each label).  Edge cases: null and empty
+texts score as a clean word; without both labels, or without a witness, every text scores 0; repeated rows score alike.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,18 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import extended, pieces, sample_ids
+from ._session import extended, sample_ids
 from ._text import segment_max, slices, span_hashes, words
 
 WIDTH = 24
 REACH = 7  # the farthest that a subsequence's last character is from its first
+LOCAL = 6  # places in which a fragment's subsequences begin
 DECAY = 0.75
-GAMMA = 3.0
-EVIDENCE = 0.4  # of the strongest word's, that makes a word a witness
-SHIFT = 0.15  # the border lies so far on the toxic side of the machine's own
+STEMS = range(4, 9)  # characters of the stems that are tried, the mark included
+LEAST_G = 28.0  # a stem's or word's G statistic: beyond chance among ten million of them
+ODDS = 3.0  # times as often in toxic texts as in clean ones
 CLASSES = 32
+MARK = 31  # the class that stands before a word
 STEP = 1024  # words compared at once
-MEMORY = 500_000  # words whose value a worker keeps
+MEMORY = 250_000  # words whose value a worker keeps
 
 
 def _classes() -> np.ndarray:
@@ -55,11 +61,11 @@ def _classes() -> np.ndarray:
 CLASS = _classes()
 LOOKALIKE_SIGN = np.zeros(256, bool)
 LOOKALIKE_SIGN[[ord("@"), ord("$")]] = True
-OFFSETS = [(a, b, DECAY ** (b + 1)) for b in range(2, REACH + 1) for a in range(1, b)]
+OFFSETS = [(a, b, DECAY ** (b - 2)) for b in range(2, REACH + 1) for a in range(1, b)]
 
 
 def padded(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the words' characters, 0 after the end, and for each row its word; signs are left out."""
+    """Classes of the words' characters after a mark, 0 after the end, and for each row its word; signs are left out."""
     n = end - start
     parts = np.maximum(1, -(-(n - WIDTH) // (WIDTH // 2)) + 1)
     word = np.repeat(np.arange(len(n)), parts)
@@ -75,97 +81,90 @@ def padded(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     c[sign] = 0
     loose = np.flatnonzero(((c[:, 1:] > 0) & (c[:, :-1] == 0)).any(1))
     c[loose] = np.take_along_axis(c[loose], np.argsort(c[loose] == 0, axis=1, kind="stable"), 1)
-    return c.astype(np.int32), word
+    return np.concatenate([np.full((len(c), 1), MARK), c], 1).astype(np.int32), word
 
 
-def codes(c: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
-    """For each pair of offsets: (rows x positions) subsequence codes, 0 where there is none, and the weight."""
+def codes(c: np.ndarray) -> Iterator[tuple[np.ndarray, np.float32]]:
+    """For each pair of offsets: (rows x places) subsequence codes, 0 where there is none, and the weight."""
     live = c > 0
     for a, b, w in OFFSETS:
-        if c.shape[1] <= b:
+        n = c.shape[1] - b
+        if n <= 0:
             break
-        ok = live[:, : -b or None] & live[:, a : c.shape[1] - b + a] & live[:, b:]
-        yield np.where(ok, (c[:, : -b or None] * CLASSES + c[:, a : c.shape[1] - b + a]) * CLASSES + c[:, b:], 0), w
-
-
-def own(c: np.ndarray) -> np.ndarray:
-    """The words' norms; words of under three characters have none."""
-    every = [(x, np.float32(w)) for x, w in codes(c)]
-    x = np.concatenate([x for x, _ in every], 1)
-    w = np.concatenate([np.full(x.shape[1], w, np.float32) for x, w in every])
-    order = np.argsort(x, axis=1, kind="stable")
-    x, total = np.take_along_axis(x, order, 1), np.cumsum(w[order] * (np.take_along_axis(x, order, 1) > 0), 1)
-    last = np.ones(x.shape, bool)
-    last[:, :-1] = x[:, 1:] != x[:, :-1]
-    row, col = np.nonzero(last)
-    part = total[row, col]
-    before = np.concatenate([[0], np.where(row[1:] == row[:-1], part[:-1], 0)])
-    part = part - before
-    return np.sqrt(np.bincount(row, weights=part.astype(np.float64) ** 2, minlength=len(c)))
-
-
-def own_at_least(c: np.ndarray) -> np.ndarray:
-    """A cheap lower bound of :func:`own`: as if no subsequence came twice."""
-    return np.sqrt(sum(((x > 0).sum(1) * w * w for x, w in codes(c)), np.zeros(len(c))))
+        ok = live[:, :n] & live[:, a : a + n] & live[:, b:]
+        yield np.where(ok, (c[:, :n] * CLASSES + c[:, a : a + n]) * CLASSES + c[:, b:], 0), np.float32(w)
 
 
 def trim(c: np.ndarray) -> np.ndarray:
     return c[:, : max(3, int((c > 0).any(0).nonzero()[0].max(initial=0)) + 1)]
 
 
+def fragments(c: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The characters that the fragments beginning there can reach."""
+    wide = np.concatenate([c, np.zeros((len(c), LOCAL + REACH), c.dtype)], 1)
+    return wide[row[:, None], at[:, None] + np.arange(LOCAL + REACH)]
+
+
 @dataclass(frozen=True)
 class Landmarks:
     slot: np.ndarray  # code -> row of table; row 0 is empty
+    there: np.ndarray  # the code of each other row
     table: np.ndarray  # rows x m
 
     @staticmethod
-    def of(words_: list[bytes]) -> "Landmarks":
-        buf = np.frombuffer(b"".join(words_), np.uint8)
-        end = np.cumsum([len(w) for w in words_])
-        c, word = padded(buf, end - [len(w) for w in words_], end)
-        c = c[np.searchsorted(word, np.arange(len(words_)))]
-        norm = np.maximum(own(c), 1e-9)
+    def of(fragments_: np.ndarray) -> "Landmarks":
         row, code, weight = [], [], []
-        for x, w in codes(c):
-            i, j = np.nonzero(x)
+        for x, w in codes(fragments_):
+            i, j = np.nonzero(x[:, :LOCAL])
             row.append(i), code.append(x[i, j]), weight.append(np.full(len(i), w))
         row, code, weight = map(np.concatenate, (row, code, weight))
         there, at = np.unique(code, return_inverse=True)
-        table = np.zeros((len(there) + 1, len(words_)), np.float32)
-        np.add.at(table, (at + 1, row), weight / norm[row])
+        table = np.zeros((len(there) + 1, len(fragments_)), np.float32)
+        np.add.at(table, (at + 1, row), weight)
         slot = np.zeros(CLASSES**3, np.int32)
         slot[there] = np.arange(1, len(there) + 1)
-        return Landmarks(slot, table)
+        return Landmarks(slot, there, table)
+
+    def kernel(self, fragments_: np.ndarray) -> np.ndarray:
+        """The kernel of each fragment and landmark."""
+        out = np.zeros((len(fragments_), self.table.shape[1]), np.float32)
+        for lo in range(0, len(out), STEP):
+            for x, w in codes(fragments_[lo : lo + STEP]):
+                s = self.slot[x[:, :LOCAL]]
+                for j in range(s.shape[1]):
+                    i = np.flatnonzero(s[:, j])
+                    out[lo + i] += w * self.table[s[i, j]]
+        return out
 
-    def kernel(self, c: np.ndarray) -> np.ndarray:
-        """exp(-GAMMA * (2 - 2 k) / 2) for each row and landmark."""
-        c = trim(c)
-        out = np.zeros((len(c), self.table.shape[1]), np.float32)
-        for x, w in codes(c):
-            s = self.slot[x]
-            i, j = np.nonzero(s)
-            if len(i):
-                some, at = np.unique(i, return_index=True)
-                out[some] += np.float32(w) * np.add.reduceat(self.table[s[i, j]], at, axis=0)
-        k = out / np.maximum(own_at_least(c), 1e-9)[:, None]
-        near = np.flatnonzero(k.max(1) > 0.4)  # values under it stay under it
-        k[near] = out[near] / np.maximum(own(c[near]), 1e-9)[:, None]
-        return np.exp(-GAMMA * (1 - np.minimum(k, 1)))
+    def weights(self, alpha: np.ndarray) -> np.ndarray:
+        """One weight for each subsequence: the sum over landmarks of alpha times theirs."""
+        out = np.zeros(CLASSES**3, np.float32)
+        out[self.there] = self.table[1:] @ alpha
+        return out
 
 
 @dataclass(frozen=True)
 class Model:
-    landmarks: Landmarks | None
-    alpha: np.ndarray
+    weights: np.ndarray | None  # by subsequence code
     bias: float
     slope: float
 
+    def places(self, c: np.ndarray) -> np.ndarray:
+        """Decision values of the fragments that begin at each place."""
+        v = np.zeros((len(c), c.shape[1] + LOCAL), np.float32)
+        for x, w in codes(c):
+            v[:, LOCAL : LOCAL + x.shape[1]] += w * self.weights[x]
+        total = np.cumsum(v, 1)
+        last = total[:, -1:]
+        ends = np.concatenate([total, np.repeat(last, LOCAL, 1)], 1)
+        return (ends[:, 2 * LOCAL - 1 : 2 * LOCAL - 1 + c.shape[1]] - total[:, LOCAL - 1 : LOCAL - 1 + c.shape[1]]) + np.float32(self.bias)
+
     def values(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Decision values of words, the largest of a long word's parts."""
+        """Decision values of words: of their strongest fragments."""
         out = np.empty(len(start))
         for lo in range(0, len(start), STEP):
             c, word = padded(buf, start[lo : lo + STEP], end[lo : lo + STEP])
-            v = self.landmarks.kernel(c) @ self.alpha + self.bias
+            v = self.places(trim(c)).max(1)
             out[lo : lo + STEP] = segment_max(v, np.searchsorted(word, np.arange(min(STEP, len(start) - lo) + 1)), self.bias)
         return out
 
@@ -199,70 +198,194 @@ def svm(f: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-4, step
     return w[:-1], float(w[-1])
 
 
-def inserted(counts: Counter, rng: np.random.Generator) -> Counter:
-    """Each witness with one letter inserted at each inner place, so that the border leaves room for them."""
-    return Counter({w[:i] + bytes([97 + int(rng.integers(26))]) + w[i:]: 0.5 * n / (len(w) - 1) for w, n in sorted(counts.items()) if len(w) >= 5 for i in range(1, len(w))})
+def laid(words_: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends) of words laid one after another."""
+    size = np.array([len(w) for w in words_], np.int64)
+    end = np.cumsum(size)
+    return np.frombuffer(b"".join(words_), np.uint8), end - size, end
 
 
-def fit(texts: list[str], labels: np.ndarray, m: int = 80, rounds: int = 6, seed: int = 3) -> Model:
-    """texts: labelled documents; each label holds for the document's sentence whose strongest word is strongest."""
+def inserted(counts: Counter, rng: np.random.Generator) -> Counter:
+    """Each witness with one letter inserted at each inner place of its first characters, so that the border leaves room for them."""
+    return Counter({w[:i] + bytes([97 + int(rng.integers(26))]) + w[i:]: 0.3 * n / (len(w) - 1) for w, n in sorted(counts.items()) if len(w) >= 5 for i in range(1, min(len(w), 8))})
+
+
+STRIP = re.compile(rb"^[^A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff]+$")
+
+
+def alike(own: set[bytes]) -> tuple:
+    """What near-equal texts share more often than not: the four least hashes of their longer words."""
+    return tuple(sorted(hash_of(w) for w in own if len(w) >= 5)[:4])
+
+
+def hash_of(w: bytes) -> int:
+    h = 0xCBF29CE484222325
+    for c in w:
+        h = (h ^ c) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
+def g_test(p: np.ndarray, n: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Signed G statistic of being in p of n1 and n of n0."""
+    p, n, out = p.astype(float), n.astype(float), 0.0
+    for seen, of in ((p, n1), (n, n0)):
+        for x, share in ((seen, (p + n) / (n1 + n0)), (of - seen, 1 - (p + n) / (n1 + n0))):
+            out = out + 2 * np.where(x > 0, x * np.log(np.maximum(x, 1e-12) / np.maximum(of * share, 1e-12)), 0)
+    return out * np.sign(p / n1 - n / n0)
+
+
+def witnesses(sets: list[set[bytes]], labels: np.ndarray) -> dict[bytes, bytes]:
+    """Words that speak for toxicity, each with its stem (a mark is b"^")."""
+    group_of: dict[tuple, int] = {}
+    group = np.array([group_of.setdefault((int(y), *(alike(s) or (i,))), len(group_of)) for i, (s, y) in enumerate(zip(sets, labels, strict=True))])
+    toxic = np.zeros(len(group_of), bool)
+    toxic[group] = labels == 1
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+    index: dict[bytes, set[int]] = defaultdict(set)
+    for s, g in zip(sets, group.tolist(), strict=True):
+        for w in s:
+            index[w].add(g)
+    vocabulary = sorted(index)
+    pos = {w: sum(1 for g in index[w] if toxic[g]) for w in vocabulary}
+    speaks = lambda p, n: p * n0 >= ODDS * n * n1
+    stems = lambda w: {m[i : i + k] for m in (b"^" + w,) for k in STEMS for i in range(len(m) - k + 1)} | {b"^" + w}
+    tried: Counter = Counter()
+    for w in vocabulary:
+        if pos[w] >= 2 and speaks(pos[w], len(index[w]) - pos[w]):
+            for s in stems(w):
+                tried[s] += pos[w]
+    tried = Counter({s: n for s, n in tried.items() if n >= 6})
+    carry: dict[bytes, list[bytes]] = defaultdict(list)
+    against: Counter = Counter()
+    for w in vocabulary:
+        for s in stems(w) & tried.keys():
+            carry[s].append(w)
+            against[s] += len(index[w]) - pos[w]
+    carry = {s: ws for s, ws in carry.items() if speaks(tried[s], against[s])}
+    found: dict[bytes, bytes] = {}
+
+    def strength(s: bytes) -> float:
+        groups = set().union(*(index[w] for w in carry[s] if w not in found))
+        p = sum(1 for g in groups if toxic[g])
+        n = len(groups) - p
+        return float(g_test(np.array(p), np.array(n), n1, n0)) if p and speaks(p, n) else 0.0
+
+    values = {s: strength(s) for s in sorted(carry)}
+    while values:
+        s = max(values, key=lambda s: (values[s], len(s), s))
+        now = strength(s)
+        if now < values[s] and now < max(values.values()):
+            values[s] = now  # words that it shares with another stem are gone
+            if now >= LEAST_G:
+                continue
+        if now < LEAST_G:
+            del values[s]
+            if max(values.values(), default=0.0) < LEAST_G:
+                break
+            continue
+        for w in carry[s]:
+            if w not in found and (pos[w] and speaks(pos[w], len(index[w]) - pos[w])):
+                found[w] = s
+        del values[s]
+    return found
+
+
+def words_of(text: str) -> set[bytes]:
+    return {w for w in (STRIP.sub(b"", w) for w in text.lower().encode().split()) if 3 <= len(w) <= WIDTH}
+
+
+def border(values: np.ndarray, labels: np.ndarray) -> float:
+    """The value that parts the labels best, each label counting alike; the middle of those that do so equally well."""
+    order = np.argsort(values, kind="stable")
+    v, y = values[order], labels[order]
+    right = np.concatenate([[0], np.cumsum(y == 0)]) / max(1, (y == 0).sum()) + 1 - np.concatenate([[0], np.cumsum(y == 1)]) / max(1, (y == 1).sum())
+    edges = np.concatenate([[v[0] - 1], (v[1:] + v[:-1]) / 2, [v[-1] + 1]])
+    right[1:-1][v[1:] == v[:-1]] = -1
+    best = np.flatnonzero(right >= right.max() - 1e-12)
+    return float(edges[best[len(best) // 2]])
+
+
+def fit(texts: list[str], labels: np.ndarray, seed: int = 3) -> Model:
+    """texts: labelled documents, of which a quarter, by group of near-equal texts, sets the border."""
+    sets = [words_of(t) for t in texts]
+    aside = np.array([hash_of(repr(alike(s)).encode()) % 4 == 0 for s in sets], bool)
+    model = machine([s for s, x in zip(sets, aside, strict=True) if not x], labels[~aside])
+    if model.weights is None or len(set(labels[aside].tolist())) < 2:
+        return model
+    scorer = Scorer(model)
+    raw = [t.encode() for t, x in zip(texts, aside, strict=True) if x]
+    values = np.concatenate([scorer.values(np.frombuffer(b"".join(raw[i : i + 64]), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw[i : i + 64]])]).astype(np.int64)) for i in range(0, len(raw), 64)])
+    return Model(model.weights, model.bias - border(values, labels[aside]), model.slope)
+
+
+def machine(sets: list[set[bytes]], labels: np.ndarray, m: int = 400, rounds: int = 5, seed: int = 3) -> Model:
+    none = Model(None, -8.0, 1.0)
     if len(set(labels.tolist())) < 2:
-        return Model(None, np.zeros(0), -8.0, 1.0)
-    strip = re.compile(rb"^[^A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff]+$")
-    sets = [{w for w in (strip.sub(b"", w) for w in t.lower().encode().split()) if 3 <= len(w) <= WIDTH} for t in texts]
-    n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
+        return none
+    stem_of = witnesses(sets, labels)
     pos, neg = Counter(), Counter()
     for s, y in zip(sets, labels, strict=True):
         (pos if y else neg).update(s)
-    odds = {w: (np.log((pos[w] + 0.5) / (n1 + 1)) - np.log((neg[w] + 0.5) / (n0 + 1)), pos[w], neg[w]) for w in pos.keys() | neg.keys()}
-    #: words that speak for toxicity: seen in several toxic texts, by the square root of a signed G statistic
-    speaks = {w: o * np.sqrt(p + q) for w, (o, p, q) in odds.items() if p + q >= 3}
-    ranked = sorted(speaks, key=lambda w: (-speaks[w], w))
     rng = np.random.default_rng(seed)
-    vocabulary = sorted(odds)
-    toxic = [w for w in ranked[: m // 2] if speaks[w] > 0]
-    clean = [w for w, _ in sorted(neg.items(), key=lambda x: (-x[1], x[0]))[: m // 4]]
-    #: a toxic text's witnesses are its words of much evidence; texts without any are no positives
-    least = max(EVIDENCE * speaks[ranked[0]], 0.0) if ranked else 0.0
-    bad = {w for w in ranked if speaks[w] >= least and speaks[w] > 0}
-    witness = [w for s, y in zip(sets, labels, strict=True) if y for w in sorted(s & bad)]
-    pool = [w for w in vocabulary if neg[w] and w not in bad]
-    negative = sorted({*clean} | {pool[i] for i in rng.permutation(len(pool))[:4000]} - bad)
-    if not witness or not negative:
-        return Model(None, np.zeros(0), -8.0, 1.0)
-    arrays = lambda ws: (np.frombuffer(b"".join(ws), np.uint8), *(lambda e: (e - [len(w) for w in ws], e))(np.cumsum([len(w) for w in ws])))
-    hard: list[bytes] = []
-    seen: Counter = Counter()  # rounds in which a clean word came too near the border
-    model = None
+    pool = sorted(w for w in neg if w not in stem_of)
+    counts = Counter({w: float(pos[w]) for w in stem_of})
+    if not counts or not pool:
+        return none
+    counts.update(inserted(counts, rng))
+    plus = sorted(counts)
+    stems = sorted({s.removeprefix(b"^") for s in stem_of.values()})
+    carriers = [w for w, _ in sorted(stem_of.items(), key=lambda x: (-pos[x[0]], x[0]))][: m // 4]
+    clean = [w for w, _ in sorted(neg.items(), key=lambda x: (-x[1], x[0])) if w not in stem_of][: m // 4]
+
+    def at_start(ws: list[bytes]) -> np.ndarray:
+        c, word = padded(*laid(ws))
+        return fragments(c, np.searchsorted(word, np.arange(len(ws))), np.zeros(len(ws), np.int64))
+
+    def strongest(ws: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's strongest fragment and its value."""
+        value, out = np.empty(len(ws), np.float32), np.empty((len(ws), LOCAL + REACH), np.int32)
+        for lo in range(0, len(ws), STEP):
+            c, word = padded(*laid(ws[lo : lo + STEP]))
+            row = np.searchsorted(word, np.arange(min(STEP, len(ws) - lo)))
+            v = model.places(c)[row]
+            at = v.argmax(1)
+            value[lo : lo + STEP], out[lo : lo + STEP] = v[np.arange(len(at)), at], fragments(c, row, at)
+        return value, out
+
+    def begin(w: bytes) -> int:
+        s = stem_of.get(w, b"^")
+        return max(0, (b"^" + w).find(s))
+
+    c, word = padded(*laid(plus))
+    x_plus = fragments(c, np.searchsorted(word, np.arange(len(plus))), np.array([begin(w) for w in plus]))
+    some = [pool[i] for i in rng.permutation(len(pool))[:4000]]
+    x_minus = np.unique(at_start(sorted({*some, *clean})), axis=0)
+    marks = np.unique(at_start([*dict.fromkeys([*stems[: m // 4], *carriers, *clean])]), axis=0)
+    model, hard = none, np.zeros((0, LOCAL + REACH), np.int32)
     for _ in range(rounds):
-        marks = [*dict.fromkeys([*toxic, *clean, *hard])]
-        land = Landmarks.of(marks)
-        gather = lambda ws, land=land: (lambda b, s, e: land.kernel(padded(b, s, e)[0]))(*arrays(ws))
-        value, vector = np.linalg.eigh(gather(marks).astype(np.float64))
+        land = Landmarks.of(np.unique(np.concatenate([marks, hard]), axis=0))
+        k = land.kernel(np.unique(np.concatenate([marks, hard]), axis=0)).astype(np.float64)
+        value, vector = np.linalg.eigh((k + k.T) / 2)
         good = value > 1e-6 * value[-1]
         white = vector[:, good] / np.sqrt(value[good])
-        counts = Counter(witness)
-        counts.update(inserted(counts, rng))
-        plus = sorted(counts)
-        ws = [*plus, *negative]
-        f = gather(ws) @ white
-        y = np.concatenate([np.ones(len(plus)), -np.ones(len(negative))])
-        weight = np.concatenate([[np.sqrt(counts[w]) for w in plus], [1 + np.sqrt(neg[w]) + 8 * seen[w] for w in negative]])
-        weight[: len(plus)] *= 0.25 * weight[len(plus) :].sum() / weight[: len(plus)].sum()
+        f = np.concatenate([land.kernel(x_plus), land.kernel(x_minus)]) @ white
+        y = np.concatenate([np.ones(len(x_plus)), -np.ones(len(x_minus))])
+        weight = np.concatenate([[np.sqrt(counts[w]) for w in plus], np.ones(len(x_minus))])
+        weight[: len(plus)] *= 0.5 * len(x_minus) / weight[: len(plus)].sum()
         w, bias = svm(f, y, weight)
-        model = Model(land, (white @ w).astype(np.float32), bias, 4.0)
-        value = model.values(*arrays(pool)) if pool else np.zeros(0)
-        worst = [pool[i] for i in np.argsort(-value, kind="stable")[:400]]
-        seen.update(w for w, x in zip(worst, -np.sort(-value, kind="stable"), strict=False) if x > -0.5)
-        negative = sorted({*negative, *worst})
-        hard = worst[: m // 4]
+        model = Model(land.weights((white @ w).astype(np.float32)), bias, 4.0)
+        v, x = strongest(pool, model)
+        order = np.argsort(-v, kind="stable")
+        worst = order[: max(400, min(2000, int((v > -0.5).sum())))]
+        x_minus = np.unique(np.concatenate([x_minus, x[worst]]), axis=0)
+        hard = np.unique(x[order[: m // 4]], axis=0)
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = 4000, parts: int = 4, part_chars: int = 3000, seed: int = 29) -> Model:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = 4000, seed: int = 29) -> Model:
     """Fits on at most ``per_label`` rows of each label of ``labels`` (key, label 0 or 1)."""
     ids = sample_ids(labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias(label)), key, label, per_label, seed)
-    rows = docs.select(key, F.concat_ws("\n", pieces(F.col(text), parts, part_chars)).alias("_t")).join(F.broadcast(ids), key).select(key, label, "_t").dropDuplicates([key, label]).collect()
+    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(ids), key).select(key, label, "_t").dropDuplicates([key, label]).collect()
     rows.sort(key=lambda r: (r[0], r[1]))
     return fit([r[2] for r in rows], np.array([int(r[1] > 0) for r in rows]))
 
@@ -284,8 +407,13 @@ class Scorer:
 
     def __call__(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         m = self.model
-        if m.landmarks is None:
+        if m.weights is None:
             return np.zeros(len(offs) - 1)
+        return 1 / (1 + np.exp(-np.clip(m.slope * self.values(buf, offs), -40, 40)))
+
+    def values(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Decision values of texts."""
+        m = self.model
         start, end, first = words(buf, offs)
         best = np.full(len(offs) - 1, m.bias)
         if len(start):
@@ -304,7 +432,7 @@ class Scorer:
         if runs:
             e = np.cumsum([len(r) for r in runs])
             np.maximum.at(best, doc, m.values(np.frombuffer(b"".join(runs), np.uint8), e - [len(r) for r in runs], e))
-        return 1 / (1 + np.exp(-np.clip(m.slope * (best - SHIFT), -40, 40)))
+        return best
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
