@@ -31,6 +31,17 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_BYTES = 32 << 20
+
+
+def few(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if its rows hold at most BROADCAST_BYTES; else joins shuffle it."""
+    wide = {"array": lambda c: 16 * F.size(c), "string": F.octet_length, "binary": F.octet_length}
+    size = sum((next((F.coalesce(f(F.col(c)), F.lit(0)) for kind, f in wide.items() if t.startswith(kind)), F.lit(0)) for c, t in df.dtypes), F.lit(16 * (1 + len(df.columns))))
+    held = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that a written table has replaced, which else stay until the driver collects its garbage."""
     gc.collect()

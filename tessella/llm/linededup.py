@@ -3,12 +3,17 @@
 A line's set is its distinct lower-cased words.  A line goes if an earlier line (smaller key, then smaller line number)
 has a Jaccard similarity of THRESHOLD or more with it, judged on the input; lines without words stay.
 
-1. Words are counted over the whole corpus in 2**16 bins; a word's code is its bin's level of frequency over 56 bits of
+1. Words are counted over the whole corpus in BINS bins; a word's code is its bin's level of frequency over 56 bits of
    its hash, so that codes in ascending order run from rare to frequent.
-2. Equal lines form one class with its first place.  Each class gives its prefix, |s| - ceil(t |s|) + 1 rarest codes.
-3. Prefixes join on the code under the length filter, the positional filter (a pair must be possible if this is its
-   first common word) and a parity bitmap of 128 or 512 bits, whose differing bits can't outnumber the differing words.
-4. Surviving pairs are verified on their whole sets; the later line of each goes, and every later copy of a line.
+2. Equal lines form one class with its first place.  Each class has its prefix, |s| - ceil(t |s|) + 1 rarest codes.
+3. One match is enough to remove a line, so first each class is verified against one earlier class only, the first of
+   those that hold the same two neighbouring codes at the prefix's end: of a group of near-copies all but a few are
+   decided by as many checks as there are lines.
+4. Prefixes join on the code and a class of length, the shorter line by the 2/18 of it that can hold the first common
+   word, the longer one by its whole prefix; length and positional filter (a pair must be possible if this is its first
+   common word) and a parity bitmap of 64 or 128 bins, whose differing bits can't outnumber the differing words, and
+   pairs whose later line is decided, drop out in the join's condition.
+5. Surviving pairs are verified on their whole sets; the later line of each goes, and every later copy of a line.
 
 Edge cases: null and empty texts have no lines with words; a null key comes before all others; rows of one key are
 ordered by a hash of key and text, and equal such rows keep the same lines; an empty table gives an empty result.
@@ -16,43 +21,55 @@ ordered by a hash of key and text, and equal such rows keep the same lines; an e
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._session import release, table
+from ._session import few, release, table
 
-BINS = 1 << 16
+BINS = 1 << 18
 NO_KEY = -(1 << 63)
-BROADCAST_ROWS = 1_000_000
 TENTHS = 8  # the threshold in tenths
-WIDE = 150  # words over which a set has 512 bins, of which three quarters are kept beside the folded 128
-QUARTERS = [(q, h) for q in (1, 2, 3) for h in (0, 1)]
+WIDE = 64  # words over which a set has 128 bins in place of 64
+SPACES = r"[\x09-\x0D\x20]+"
+MOST = 65535  # sizes and positions are kept in 16 bits; those beyond pass the filters
 
 
-SPACES = r"[\x09-\x0D\x20]+"
+def split_words(line: Column) -> Column:
+    """A line's words between white space; by a single space, which is much faster than the pattern, where it has no other."""
+    plain = ~(F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\n")))
+    return F.when(plain, F.split(line, " ")).otherwise(F.split(line, SPACES))
 
 
 def rarity(docs: DataFrame) -> Column:
-    """array<bigint>: the level of each bin, eight levels an octave of its count, moved to the top bits.  BINS values, whatever the corpus."""
-    words = docs.select(F.explode(F.split("text", SPACES)).alias("w"))  # as written: any order of codes is valid, rare first is fast
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(BINS - 1).alias("b")).count().select("b", F.least(F.floor(8 * F.log2("count")).cast("int"), F.lit(127)).alias("v")).collect()
+    """array<tinyint>: the level of each bin, eight levels an octave of its count.  BINS values, whatever the corpus."""
+    words = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(split_words(F.col("line"))).alias("w"))  # as written: any order of codes is valid, rare first is fast
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(BINS - 1).alias("b")).count().select("b", F.least(F.floor(8 * F.log2("count")).cast("int"), F.lit(127)).alias("v"))
     levels = [0] * BINS
-    for b, v in counts:
+    for b, v in counts.collect():
         levels[b] = v
     return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<tinyint>")
 
 
 def coded(line: Column, levels: Column) -> Column:
     """Ascending codes of a line's distinct words."""
-    hashes = F.array_distinct(F.transform(F.array_remove(F.split(F.lower(line), SPACES), ""), lambda w: F.xxhash64(w)))
+    hashes = F.array_distinct(F.transform(F.array_remove(split_words(F.lower(line)), ""), lambda w: F.xxhash64(w)))
     return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(BINS - 1).cast("int")).cast("bigint"), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))))
 
 
-def bitmap(codes: Column, half: int, quarter: int | None = None) -> Column:
-    """64 of the bins of a parity bitmap: each code flips one of 128 bins, or with ``quarter`` one of 512, by bits of its hash."""
-    where = lambda c: F.shiftright(c, 22).bitwiseAND(1) == half
-    on = where if quarter is None else lambda c: where(c) & (F.shiftright(c, 23).bitwiseAND(3) == quarter)
-    return F.aggregate(codes, F.lit(0).cast("bigint"), lambda a, c: F.when(on(c), a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(c, 16).bitwiseAND(63).cast("int")))).otherwise(a))
+def flipped(a: Column, c: Column) -> Column:
+    return a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(c, 24).bitwiseAND(63).cast("int")))
+
+
+def bitmap(codes: Column) -> Column:
+    """A parity bitmap of 64 bins: each code flips one, by bits of its hash."""
+    return F.aggregate(codes, F.lit(0).cast("bigint"), flipped)
+
+
+def half(codes: Column) -> Column:
+    """The bitmap of the codes of which a further bit is set; with the whole one it makes 128 bins."""
+    return F.aggregate(codes, F.lit(0).cast("bigint"), lambda a, c: F.when(F.shiftright(c, 30).bitwiseAND(1) == 1, flipped(a, c)).otherwise(a))
 
 
 def base(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -64,36 +81,67 @@ def lines(rows: DataFrame) -> DataFrame:
     return rows.select("k", "d", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.btrim("line", F.lit("\t\x0b\x0c\r\n ")) != "")
 
 
-def pairs(docs: DataFrame, levels: Column) -> DataFrame:
-    """Places (d, no) of the first lines of two classes that pass all filters."""
+def classes(docs: DataFrame, levels: Column) -> DataFrame:
+    """(class, copies, k, d, no, n, m, h, prefix, ends): the first line of each class of equal lines, its bitmaps, its prefix, and the
+    neighbouring codes by which it finds its first check."""
     n, t = F.size("codes"), TENTHS
-    prefix = F.slice("codes", 1, n - F.ceil(n * t / 10 - 1e-9).cast("int") + 1)
+    head = n - F.ceil(n * t / 10 - 1e-9).cast("int") + 1
     each = lines(docs).select("k", "d", "no", F.xxhash64("line").alias("class"), coded(F.col("line"), levels).alias("codes"))
-    each = each.select("class", F.struct("k", "d", "no", n.alias("n"), prefix.alias("prefix"), *(bitmap(F.col("codes"), h).alias(f"b{h}") for h in (0, 1)), *(F.when(n > WIDE, bitmap(F.col("codes"), h, q)).otherwise(0).alias(f"w{q}{h}") for q, h in QUARTERS)).alias("x"))
-    first = each.groupBy("class").agg(F.min("x").alias("x"))
-    maps = ["b0", "b1", *(f"w{q}{h}" for q, h in QUARTERS)]
-    rows = first.select("x.d", *(f"x.{m}" for m in maps), F.col("x.no").cast("bigint").alias("no"), F.col("x.n").alias("n"), F.posexplode("x.prefix").alias("pos", "code")).withColumn("code", F.hash("code"))  # four bytes meet as well as eight: pairs are verified
-    rows = rows.select("code", "d", *maps, F.expr("shiftleft(no, 32) | shiftleft(cast(least(n, 65535) as bigint), 16) | least(pos, 65535)").alias("p"))
-    a, b = rows.alias("a"), rows.alias("b")
-    size = lambda s: f"(shiftright({s}.p, 16) & 65535)"
-    left = lambda s: f"({size(s)} - ({s}.p & 65535))"
-    total = f"({size('a')} + {size('b')})"
-    folded = " + ".join(f"bit_count(a.b{h} ^ b.b{h})" for h in (0, 1))
-    wide = " + ".join([*(f"bit_count(a.w{q}{h} ^ b.w{q}{h})" for q, h in QUARTERS), *(f"bit_count(a.b{h} ^ b.b{h} ^ " + " ^ ".join(f"a.w{q}{h} ^ b.w{q}{h}" for q in (1, 2, 3)) + ")" for h in (0, 1))])
+    some = F.slice("codes", F.greatest(head - 1, F.lit(1)), F.lit(5))
+    x = F.struct("k", "d", "no", n.alias("n"), bitmap(F.col("codes")).alias("m"), F.when(n > WIDE, half(F.col("codes"))).otherwise(0).alias("h"), F.slice("codes", 1, head).alias("prefix"), some.alias("ends"))
+    return each.select("class", x.alias("x")).groupBy("class").agg(F.min("x").alias("x"), F.count("*").alias("copies")).select("class", "copies", "x.*")
+
+
+def possible(a: str, b: str) -> str:
+    """Whether the sets of two sides with columns n, m, h can be similar, by their lengths and bitmaps."""
+    t, total = TENTHS, f"({a}.n + {b}.n)"
+    differ = f"bit_count({a}.m ^ {b}.m)"
+    halves = f"bit_count({a}.h ^ {b}.h) + bit_count({a}.m ^ {a}.h ^ {b}.m ^ {b}.h)"
+    return f"10 * least({a}.n, {b}.n) >= {t} * greatest({a}.n, {b}.n) and {10 + t} * ({differ}) <= {10 - t} * {total} and (least({a}.n, {b}.n) <= {WIDE} or {10 + t} * ({halves}) <= {10 - t} * {total})"
+
+
+def first_checks(firsts: DataFrame) -> DataFrame:
+    """(late, early) places: each class with the first one that holds the same neighbouring codes, if they can be similar."""
+    after = F.slice("ends", 2, F.greatest(F.size("ends") - 1, F.lit(1)))
+    keys = firsts.select("k", "d", "no", "n", "m", "h", F.explode(F.arrays_zip(F.col("ends").alias("a"), after.alias("b"))).alias("e")).where("e.b is not null or n < 3")
+    keys = keys.select(F.xxhash64("e.a", "e.b").alias("code"), "k", "d", "no", "n", "m", "h")
+    least = keys.groupBy("code").agg(F.min(F.struct("k", "d", "no", "n", "m", "h")).alias("f")).select("code", "f.*")
+    found = keys.alias("a").join(least.alias("b"), F.expr(f"a.code = b.code and (a.k > b.k or (a.k = b.k and (a.d > b.d or (a.d = b.d and a.no > b.no)))) and {possible('a', 'b')}"))
+    return found.select(*(F.struct(*(F.col(f"{s}.{c}") for c in ("k", "d", "no"))).alias(name) for s, name in (("a", "late"), ("b", "early")))).distinct()
+
+
+def pairs(firsts: DataFrame, decided: DataFrame) -> DataFrame:
+    """(late, early) places of two classes that pass all filters, the later of them not in ``decided``."""
+    t = TENTHS
+    step = -log(t / 10)
+    grade = lambda n: F.floor(F.log(n.cast("double")) / step + 1e-9).cast("long")
+    every = firsts.join(few(decided.select("late.k", "late.d", "late.no").withColumn("done", F.lit(True))), ["k", "d", "no"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    size = F.least(F.col("n"), F.lit(MOST))
+    rest = ["k", "d", "m", "h", F.col("no").cast("long").bitwiseOR(F.when(F.col("done"), F.lit(1 << 32)).otherwise(F.lit(0))).alias("no"), size.cast("long").alias("n")]
+    rows = every.select(*rest, "prefix")
+    short = rows.select("k", "d", "m", "h", "no", "n", F.posexplode(F.slice("prefix", 1, F.when(F.col("n") == MOST, F.size("prefix")).otherwise((F.col("n") - F.ceil(F.col("n") * 2 * t / (10 + t) - 1e-9) + 1).cast("int")))).alias("pos", "code"), grade(F.col("n")).alias("g"))
+    long = rows.select("k", "d", "m", "h", "no", "n", F.posexplode("prefix").alias("pos", "code"))
+    long = long.withColumn("g", F.explode(F.sequence(grade(F.ceil(F.col("n") * t / 10 - 1e-9)), grade(F.col("n")))))
+    packed = lambda df: df.select(F.xxhash64("code", "g").alias("code"), "k", "d", "m", "h", F.expr("shiftleft(no, 30) | shiftleft(n, 14) | least(pos, 16383)").alias("p"))
+    a, b = packed(long), packed(short)
+    n = {s: f"(shiftright({s}.p, 14) & 65535)" for s in "ab"}
+    no = {s: f"(shiftright({s}.p, 30) & 4294967295)" for s in "ab"}
+    left = {s: f"({n[s]} - ({s}.p & 16383))" for s in "ab"}
+    done = {s: f"(shiftright({s}.p, 62) & 1) = 1" for s in "ab"}  # noqa: F541
+    total = f"({n['a']} + {n['b']})"
+    a_late = f"(a.k > b.k or (a.k = b.k and (a.d > b.d or (a.d = b.d and {no['a']} > {no['b']}))))"
+    differ = "bit_count(a.m ^ b.m)"
+    halves = "bit_count(a.h ^ b.h) + bit_count(a.m ^ a.h ^ b.m ^ b.h)"
     # with inter >= t / (10 + t) * total: what differs is total - 2 inter, and what is left from the common word on must hold inter
-    on = F.expr(
-        "a.code = b.code and (a.d < b.d or (a.d = b.d and shiftright(a.p, 32) < shiftright(b.p, 32)))"
-        + f" and 10 * least({size('a')}, {size('b')}) >= {t} * greatest({size('a')}, {size('b')})"
-        + f" and {10 + t} * ({folded}) <= {10 - t} * {total}"
-        + f" and (least({size('a')}, {size('b')}) <= {WIDE} or {10 + t} * ({wide}) <= {10 - t} * {total})"
-        + f" and ({10 + t} * least({left('a')}, {left('b')}) >= {t} * {total} or greatest({size('a')}, {size('b')}) = 65535)"
+    on = (
+        f"a.code = b.code and {n['b']} <= {n['a']} and ({n['b']} < {n['a']} or {a_late}) and 10 * {n['b']} >= {t} * {n['a']}"
+        f" and {10 + t} * {differ} <= {10 - t} * {total} and ({n['b']} <= {WIDE} or {n['a']} = {MOST} or {10 + t} * ({halves}) <= {10 - t} * {total})"
+        f" and ({10 + t} * least({left['a']}, {left['b']}) >= {t} * {total} or {n['a']} = {MOST})"
+        f" and not (case when {a_late} then {done['a']} else {done['b']} end)"
     )
-    return a.join(b, on).select(F.col("a.d").alias("d1"), F.expr("cast(shiftright(a.p, 32) as int)").alias("no1"), F.col("b.d").alias("d2"), F.expr("cast(shiftright(b.p, 32) as int)").alias("no2")).distinct()
-
-
-def few(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it has at most BROADCAST_ROWS rows; else joins shuffle it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    place = {s: F.struct(F.col(f"{s}.k").alias("k"), F.col(f"{s}.d").alias("d"), F.expr(f"cast({no[s]} as int)").alias("no")) for s in "ab"}
+    met = a.alias("a").join(b.alias("b"), F.expr(on)).select(place["a"].alias("x"), place["b"].alias("y"))
+    return met.select(F.greatest("x", "y").alias("late"), F.least("x", "y").alias("early")).distinct()
 
 
 def verified(pairs_: DataFrame, docs: DataFrame, levels: Column) -> DataFrame:
@@ -107,31 +155,19 @@ def verified(pairs_: DataFrame, docs: DataFrame, levels: Column) -> DataFrame:
     return both.where(f"10 * common >= {TENTHS} * (size(c1) + size(c2) - common)").select("late", "early")
 
 
-def later(docs: DataFrame, found: DataFrame, levels: Column) -> DataFrame:
-    """(d, no): lines with an earlier similar one.  One is enough, so the earliest candidate of each line is verified
-    first, and the others only of lines that it leaves open."""
-    keys = found.select(F.explode(F.array("d1", "d2")).alias("d")).distinct().join(docs.select("k", "d").distinct(), "d")
-    keys = few(table(keys.select("d", "k"), "keys"))
-    side = lambda i: keys.select(F.col("d").alias(f"d{i}"), F.col("k").alias(f"k{i}"))
-    x1, x2 = (F.struct(F.col(f"k{i}").alias("k"), F.col(f"d{i}").alias("d"), F.col(f"no{i}").alias("no")) for i in (1, 2))
-    pairs_ = table(found.join(side(1), "d1").join(side(2), "d2").select(F.greatest(x1, x2).alias("late"), F.least(x1, x2).alias("early")), "ordered")
-    first = table(verified(table(pairs_.groupBy("late").agg(F.min("early").alias("early")), "first"), docs, levels).select("late"), "similar")
-    release(docs.sparkSession)
-    rest = table(pairs_.join(few(first), "late", "left_anti"), "rest")
-    return first.unionByName(verified(rest, docs, levels).select("late").distinct()).select("late.d", "late.no")
-
-
 def removed(docs: DataFrame) -> DataFrame:
     """(d, nos): the lines of each document that go, by number from 0."""
     levels = rarity(docs)
-    found = table(pairs(docs, levels), "pairs")
+    firsts = table(classes(docs, levels), "classes")
     release(docs.sparkSession)
-    similar = later(docs, found, levels)
-    similar = table(similar, "similar")
+    late = lambda found: table(verified(table(found, "pairs"), docs, levels).select("late").distinct(), "similar")
+    decided = late(first_checks(firsts))
+    others = late(pairs(firsts, decided))
     release(docs.sparkSession)
-    every = table(lines(docs).select("k", "d", "no", F.xxhash64("line").alias("class")), "lines")
-    first = every.groupBy("class").agg(F.min(F.struct("k", "d", "no")).alias("f"))
-    copies = every.join(first, "class").where(F.struct("k", "d", "no") > F.col("f")).select("d", "no")
+    repeated = table(firsts.where("copies > 1").select("class", F.struct("k", "d", "no").alias("f")), "repeated")
+    every = lines(docs).select("k", "d", "no", F.xxhash64("line").alias("class"))
+    copies = every.join(few(repeated), "class").where(F.struct("k", "d", "no") > F.col("f")).select("d", "no")
+    similar = decided.unionByName(others).select("late.d", "late.no")
     return table(copies.unionByName(similar).groupBy("d").agg(F.collect_set("no").alias("nos")), "gone")
 
 
