@@ -11,8 +11,8 @@ has a Jaccard similarity of THRESHOLD or more with it, judged on the input; line
    decided by as many checks as there are lines.
 4. Prefixes join on the code and a class of length, the shorter line by the 2/18 of it that can hold the first common
    word, the longer one by its whole prefix; length and positional filter (a pair must be possible if this is its first
-   common word) and a parity bitmap of 64 or 128 bins, whose differing bits can't outnumber the differing words, and
-   pairs whose later line is decided, drop out in the join's condition.
+   common word) and a parity bitmap, whose differing bits can't outnumber the differing words, and pairs whose later line
+   is decided, drop out in the join's condition.
 5. Surviving pairs are verified on their whole sets; the later line of each goes, and every later copy of a line.
 
 Edge cases: null and empty texts have no lines with words; a null key comes before all others; rows of one key are
@@ -72,83 +72,90 @@ def half(codes: Column) -> Column:
     return F.aggregate(codes, F.lit(0).cast("bigint"), lambda a, c: F.when(F.shiftright(c, 30).bitwiseAND(1) == 1, flipped(a, c)).otherwise(a))
 
 
-def base(docs: DataFrame, key: str, text: str) -> DataFrame:
+def base(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(k, d, text, *keep): the order of rows, a hash that tells rows of one key apart, and the text.
+
+    k is the key; where a key comes with several texts, k is the rank of key and hash."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("k"), F.xxhash64(F.col(key), body).alias("d"), body.alias("text"))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("k"), F.xxhash64(F.col(key), body).alias("d"), body.alias("text"), *keep)
+    places = rows.select("k", "d").distinct()
+    if not places.groupBy("k").count().where("count > 1").limit(1).count():
+        return rows
+    ranks = table(places.orderBy("k", "d").withColumn("rank", F.monotonically_increasing_id()), "ranks")
+    return rows.join(ranks, ["k", "d"]).drop("k").withColumnRenamed("rank", "k")
 
 
 def lines(rows: DataFrame) -> DataFrame:
-    return rows.select("k", "d", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.btrim("line", F.lit("\t\x0b\x0c\r\n ")) != "")
+    return rows.select("k", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.btrim("line", F.lit("\t\x0b\x0c\r\n ")) != "")
 
 
 def classes(docs: DataFrame, levels: Column) -> DataFrame:
-    """(class, copies, k, d, no, n, m, h, prefix, ends): the first line of each class of equal lines, its bitmaps, its prefix, and the
-    neighbouring codes by which it finds its first check."""
+    """(class, copies, k, no, n, m, h, prefix, ends): the first line of each class of equal lines, its bitmaps, its
+    prefix, and the neighbouring codes by which it finds its first check."""
     n, t = F.size("codes"), TENTHS
     head = n - F.ceil(n * t / 10 - 1e-9).cast("int") + 1
-    each = lines(docs).select("k", "d", "no", F.xxhash64("line").alias("class"), coded(F.col("line"), levels).alias("codes"))
-    some = F.slice("codes", F.greatest(head - 1, F.lit(1)), F.lit(5))
-    x = F.struct("k", "d", "no", n.alias("n"), bitmap(F.col("codes")).alias("m"), F.when(n > WIDE, half(F.col("codes"))).otherwise(0).alias("h"), F.slice("codes", 1, head).alias("prefix"), some.alias("ends"))
+    each = lines(docs).select("k", "no", F.xxhash64("line").alias("class"), coded(F.col("line"), levels).alias("codes"))
+    ends = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: F.xxhash64(F.get("codes", head - 1 + i), F.get("codes", head + i)))
+    x = F.struct("k", "no", n.alias("n"), bitmap(F.col("codes")).alias("m"), F.when(n > WIDE, half(F.col("codes"))).otherwise(0).alias("h"), F.slice("codes", 1, head).alias("prefix"), ends.alias("ends"))
     return each.select("class", x.alias("x")).groupBy("class").agg(F.min("x").alias("x"), F.count("*").alias("copies")).select("class", "copies", "x.*")
 
 
-def possible(a: str, b: str) -> str:
-    """Whether the sets of two sides with columns n, m, h can be similar, by their lengths and bitmaps."""
-    t, total = TENTHS, f"({a}.n + {b}.n)"
-    differ = f"bit_count({a}.m ^ {b}.m)"
-    halves = f"bit_count({a}.h ^ {b}.h) + bit_count({a}.m ^ {a}.h ^ {b}.m ^ {b}.h)"
-    return f"10 * least({a}.n, {b}.n) >= {t} * greatest({a}.n, {b}.n) and {10 + t} * ({differ}) <= {10 - t} * {total} and (least({a}.n, {b}.n) <= {WIDE} or {10 + t} * ({halves}) <= {10 - t} * {total})"
+def places(late: str, early: str) -> list[Column]:
+    return [F.struct(F.col(f"{s}.k").alias("k"), F.col(f"{s}.no").cast("int").alias("no")).alias(name) for s, name in ((late, "late"), (early, "early"))]
 
 
 def first_checks(firsts: DataFrame) -> DataFrame:
     """(late, early) places: each class with the first one that holds the same neighbouring codes, if they can be similar."""
-    after = F.slice("ends", 2, F.greatest(F.size("ends") - 1, F.lit(1)))
-    keys = firsts.select("k", "d", "no", "n", "m", "h", F.explode(F.arrays_zip(F.col("ends").alias("a"), after.alias("b"))).alias("e")).where("e.b is not null or n < 3")
-    keys = keys.select(F.xxhash64("e.a", "e.b").alias("code"), "k", "d", "no", "n", "m", "h")
-    least = keys.groupBy("code").agg(F.min(F.struct("k", "d", "no", "n", "m", "h")).alias("f")).select("code", "f.*")
-    found = keys.alias("a").join(least.alias("b"), F.expr(f"a.code = b.code and (a.k > b.k or (a.k = b.k and (a.d > b.d or (a.d = b.d and a.no > b.no)))) and {possible('a', 'b')}"))
-    return found.select(*(F.struct(*(F.col(f"{s}.{c}") for c in ("k", "d", "no"))).alias(name) for s, name in (("a", "late"), ("b", "early")))).distinct()
+    t, total = TENTHS, "(a.n + b.n)"
+    keys = firsts.select(F.explode("ends").alias("code"), "k", "no", "n", "m")
+    least = keys.groupBy("code").agg(F.min(F.struct("k", "no", "n", "m")).alias("f"), F.count("*").alias("held")).where("held > 1").select("code", "f.*")
+    on = f"a.code = b.code and (a.k > b.k or (a.k = b.k and a.no > b.no)) and 10 * least(a.n, b.n) >= {t} * greatest(a.n, b.n) and {10 + t} * bit_count(a.m ^ b.m) <= {10 - t} * {total}"
+    return keys.alias("a").join(least.alias("b"), F.expr(on)).select(*places("a", "b")).distinct()
 
 
 def pairs(firsts: DataFrame, decided: DataFrame) -> DataFrame:
     """(late, early) places of two classes that pass all filters, the later of them not in ``decided``."""
     t = TENTHS
-    step = -log(t / 10)
-    grade = lambda n: F.floor(F.log(n.cast("double")) / step + 1e-9).cast("long")
-    every = firsts.join(few(decided.select("late.k", "late.d", "late.no").withColumn("done", F.lit(True))), ["k", "d", "no"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    size = F.least(F.col("n"), F.lit(MOST))
-    rest = ["k", "d", "m", "h", F.col("no").cast("long").bitwiseOR(F.when(F.col("done"), F.lit(1 << 32)).otherwise(F.lit(0))).alias("no"), size.cast("long").alias("n")]
-    rows = every.select(*rest, "prefix")
-    short = rows.select("k", "d", "m", "h", "no", "n", F.posexplode(F.slice("prefix", 1, F.when(F.col("n") == MOST, F.size("prefix")).otherwise((F.col("n") - F.ceil(F.col("n") * 2 * t / (10 + t) - 1e-9) + 1).cast("int")))).alias("pos", "code"), grade(F.col("n")).alias("g"))
-    long = rows.select("k", "d", "m", "h", "no", "n", F.posexplode("prefix").alias("pos", "code"))
-    long = long.withColumn("g", F.explode(F.sequence(grade(F.ceil(F.col("n") * t / 10 - 1e-9)), grade(F.col("n")))))
-    packed = lambda df: df.select(F.xxhash64("code", "g").alias("code"), "k", "d", "m", "h", F.expr("shiftleft(no, 30) | shiftleft(n, 14) | least(pos, 16383)").alias("p"))
-    a, b = packed(long), packed(short)
+    step = -2 * log(t / 10)
+    grade = lambda n: F.floor(F.log(n.cast("double")) / step + 1e-9).cast("int")
+    every = firsts.join(few(decided.select("late.k", "late.no").withColumn("done", F.lit(1))), ["k", "no"], "left")
+    rows = every.select("k", "m", F.col("no").cast("long").bitwiseOR(F.coalesce("done", F.lit(0)).cast("long") * (1 << 32)).alias("no"), F.least("n", F.lit(MOST)).alias("n"), "prefix")
+    head = F.when(F.col("n") == MOST, F.size("prefix")).otherwise((F.col("n") - F.ceil(F.col("n") * 2 * t / (10 + t) - 1e-9) + 1).cast("int"))
+    long = rows.select("k", "m", "no", "n", F.posexplode("prefix").alias("pos", "code"), grade(F.col("n")).alias("g"))
+    short = rows.select("k", "m", "no", "n", F.posexplode(F.slice("prefix", 1, head)).alias("pos", "code"))
+    short = short.withColumn("g", F.explode(F.sequence(grade(F.col("n")), grade(F.col("n") * 10 / t))))  # of the sets that are no more than 10 / t as long
+    packed = lambda df: df.select(F.hash("code", "g").alias("code"), "k", "m", F.expr("shiftleft(no, 30) | shiftleft(cast(n as bigint), 14) | least(pos, 16383)").alias("p"))
     n = {s: f"(shiftright({s}.p, 14) & 65535)" for s in "ab"}
     no = {s: f"(shiftright({s}.p, 30) & 4294967295)" for s in "ab"}
     left = {s: f"({n[s]} - ({s}.p & 16383))" for s in "ab"}
-    done = {s: f"(shiftright({s}.p, 62) & 1) = 1" for s in "ab"}  # noqa: F541
-    total = f"({n['a']} + {n['b']})"
-    a_late = f"(a.k > b.k or (a.k = b.k and (a.d > b.d or (a.d = b.d and {no['a']} > {no['b']}))))"
-    differ = "bit_count(a.m ^ b.m)"
-    halves = "bit_count(a.h ^ b.h) + bit_count(a.m ^ a.h ^ b.m ^ b.h)"
+    done = {s: f"(shiftright({s}.p, 62) & 1) = 1" for s in "ab"}
+    total, a_late = f"({n['a']} + {n['b']})", f"(a.k > b.k or (a.k = b.k and {no['a']} > {no['b']}))"
     # with inter >= t / (10 + t) * total: what differs is total - 2 inter, and what is left from the common word on must hold inter
     on = (
         f"a.code = b.code and {n['b']} <= {n['a']} and ({n['b']} < {n['a']} or {a_late}) and 10 * {n['b']} >= {t} * {n['a']}"
-        f" and {10 + t} * {differ} <= {10 - t} * {total} and ({n['b']} <= {WIDE} or {n['a']} = {MOST} or {10 + t} * ({halves}) <= {10 - t} * {total})"
+        f" and {10 + t} * bit_count(a.m ^ b.m) <= {10 - t} * {total}"
         f" and ({10 + t} * least({left['a']}, {left['b']}) >= {t} * {total} or {n['a']} = {MOST})"
         f" and not (case when {a_late} then {done['a']} else {done['b']} end)"
     )
-    place = {s: F.struct(F.col(f"{s}.k").alias("k"), F.col(f"{s}.d").alias("d"), F.expr(f"cast({no[s]} as int)").alias("no")) for s in "ab"}
-    met = a.alias("a").join(b.alias("b"), F.expr(on)).select(place["a"].alias("x"), place["b"].alias("y"))
-    return met.select(F.greatest("x", "y").alias("late"), F.least("x", "y").alias("early")).distinct()
+    met = packed(long).alias("a").join(packed(short).alias("b"), F.expr(on))
+    met = met.select("a.k", F.expr(f"cast({no['a']} as int)").alias("no"), F.col("b.k").alias("k2"), F.expr(f"cast({no['b']} as int)").alias("no2")).distinct()
+    x, y = F.struct("k", "no"), F.struct(F.col("k2").alias("k"), F.col("no2").alias("no"))
+    return met.select(F.greatest(x, y).alias("late"), F.least(x, y).alias("early"))
+
+
+def possible(found: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Those of the pairs that a bitmap of 128 bins lets pass, where both lines have one."""
+    maps = lambda side, s: firsts.where(f"n > {WIDE}").select(F.struct("k", F.col("no").cast("int").alias("no")).alias(side), F.struct("n", "m", "h").alias(s))
+    both = found.join(maps("late", "a"), "late", "left").join(maps("early", "b"), "early", "left")
+    halves = "bit_count(a.h ^ b.h) + bit_count(a.m ^ a.h ^ b.m ^ b.h)"
+    return both.where(f"a is null or b is null or {10 + TENTHS} * ({halves}) <= {10 - TENTHS} * (a.n + b.n)").select("late", "early")
 
 
 def verified(pairs_: DataFrame, docs: DataFrame, levels: Column) -> DataFrame:
-    """(late, early) of the pairs whose whole sets are similar; places are structs (k, d, no)."""
-    places = pairs_.select(F.explode(F.array("late", "early")).alias("x")).select("x.d", "x.no").groupBy("d").agg(F.collect_set("no").alias("nos"))
-    sets = docs.join(few(table(places, "places")), "d").withColumn("all", F.split("text", "\n")).select("k", "d", F.explode("nos").alias("no"), "all").select(F.struct("k", "d", "no").alias("x"), coded(F.get("all", F.col("no")), levels).alias("codes"))
-    if docs.groupBy("d").count().where("count > 1").limit(1).count():  # repeated rows, whose sets are the same
+    """(late, early) of the pairs whose whole sets are similar; places are structs (k, no)."""
+    places_ = pairs_.select(F.explode(F.array("late", "early")).alias("x")).select("x.k", "x.no").groupBy("k").agg(F.collect_set("no").alias("nos"))
+    sets = docs.join(few(table(places_, "places")), "k").withColumn("all", F.split("text", "\n")).select("k", F.explode("nos").alias("no"), "all").select(F.struct("k", "no").alias("x"), coded(F.get("all", F.col("no")), levels).alias("codes"))
+    if docs.groupBy("k").count().where("count > 1").limit(1).count():  # repeated rows, whose sets are the same
         sets = sets.dropDuplicates(["x"])
     sets = table(sets, "linesets")
     both = pairs_.join(sets.select(F.col("x").alias("late"), F.col("codes").alias("c1")), "late").join(sets.select(F.col("x").alias("early"), F.col("codes").alias("c2")), "early").withColumn("common", F.size(F.array_intersect("c1", "c2")))
@@ -156,25 +163,29 @@ def verified(pairs_: DataFrame, docs: DataFrame, levels: Column) -> DataFrame:
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """(d, nos): the lines of each document that go, by number from 0."""
+    """(k, nos): the lines of each row of :func:`base` that go, by number from 0."""
     levels = rarity(docs)
     firsts = table(classes(docs, levels), "classes")
     release(docs.sparkSession)
     late = lambda found: table(verified(table(found, "pairs"), docs, levels).select("late").distinct(), "similar")
     decided = late(first_checks(firsts))
-    others = late(pairs(firsts, decided))
+    others = late(possible(table(pairs(firsts, decided), "met"), firsts))
     release(docs.sparkSession)
-    repeated = table(firsts.where("copies > 1").select("class", F.struct("k", "d", "no").alias("f")), "repeated")
-    every = lines(docs).select("k", "d", "no", F.xxhash64("line").alias("class"))
-    copies = every.join(few(repeated), "class").where(F.struct("k", "d", "no") > F.col("f")).select("d", "no")
-    similar = decided.unionByName(others).select("late.d", "late.no")
-    return table(copies.unionByName(similar).groupBy("d").agg(F.collect_set("no").alias("nos")), "gone")
+    repeated = table(firsts.where("copies > 1").select("class", F.struct("k", "no").alias("f")), "repeated")
+    every = lines(docs).select("k", "no", F.xxhash64("line").alias("class"))
+    copies = every.join(few(repeated), "class").where(F.struct("k", "no") > F.col("f")).select("k", "no")
+    similar = decided.unionByName(others).select("late.k", "late.no")
+    return table(copies.unionByName(similar).groupBy("k").agg(F.collect_set("no").alias("nos")), "gone")
+
+
+def kept(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows with ``kept``, the text without the lines that go, and ``nos``, null where none goes."""
+    text = F.when(F.col("nos").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("nos", i)), "\n"))
+    return rows.join(few(gone), "k", "left").withColumn("kept", text)
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, kept, n_lines, n_removed): each row's text without the lines that go, the others joined by line feeds."""
-    rows = base(docs, key, text)
-    gone = few(removed(rows))
-    out = rows.join(gone, "d", "left").withColumn("all", F.split("text", "\n"))
-    kept = F.when(F.col("nos").isNull(), F.col("text")).otherwise(F.array_join(F.filter("all", lambda x, i: ~F.array_contains("nos", i)), "\n"))
-    return out.select(F.col("id").alias(key), kept.alias("kept"), F.size("all").cast("long").alias("n_lines"), F.coalesce(F.size("nos"), F.lit(0)).cast("long").alias("n_removed"))
+    rows = base(docs.select(F.struct(F.col(key).cast("long").alias(key)).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text")), "_key", "_text", ("_row",))
+    out = kept(rows, removed(rows))
+    return out.select(f"_row.{key}", "kept", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.coalesce(F.size("nos"), F.lit(0)).cast("long").alias("n_removed"))

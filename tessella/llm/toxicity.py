@@ -42,6 +42,7 @@ DECAY = 0.75
 STEMS = range(4, 9)  # characters of the stems that are tried, the mark included
 LEAST_G = 28.0  # a stem's or word's G statistic: beyond chance among ten million of them
 ODDS = 3.0  # times as often in toxic texts as in clean ones
+SHY = 0.01  # a unit is the width of the machine's margin on one side
 CLASSES = 32
 MARK = 31  # the class that stands before a word
 STEP = 1024  # words compared at once
@@ -86,7 +87,7 @@ def padded(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 
 def codes(c: np.ndarray) -> Iterator[tuple[np.ndarray, np.float32]]:
     """For each pair of offsets: (rows x places) subsequence codes, 0 where there is none, and the weight."""
-    live = c > 0
+    live, c = c > 0, c.astype(np.int32, copy=False)
     for a, b, w in OFFSETS:
         n = c.shape[1] - b
         if n <= 0:
@@ -213,11 +214,6 @@ def inserted(counts: Counter, rng: np.random.Generator) -> Counter:
 STRIP = re.compile(rb"^[^A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff]+$")
 
 
-def alike(own: set[bytes]) -> tuple:
-    """What near-equal texts share more often than not: the four least hashes of their longer words."""
-    return tuple(sorted(hash_of(w) for w in own if len(w) >= 5)[:4])
-
-
 def hash_of(w: bytes) -> int:
     h = 0xCBF29CE484222325
     for c in w:
@@ -234,58 +230,83 @@ def g_test(p: np.ndarray, n: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return out * np.sign(p / n1 - n / n0)
 
 
-def witnesses(sets: list[set[bytes]], labels: np.ndarray) -> dict[bytes, bytes]:
-    """Words that speak for toxicity, each with its stem (a mark is b"^")."""
-    group_of: dict[tuple, int] = {}
-    group = np.array([group_of.setdefault((int(y), *(alike(s) or (i,))), len(group_of)) for i, (s, y) in enumerate(zip(sets, labels, strict=True))])
-    toxic = np.zeros(len(group_of), bool)
-    toxic[group] = labels == 1
+@dataclass(frozen=True)
+class Sentences:
+    """Labelled texts as sets of word numbers."""
+
+    words: list[bytes]  # by number, ascending
+    sets: list[np.ndarray]  # word numbers of each text, ascending
+    labels: np.ndarray
+
+    @staticmethod
+    def of(texts: list[str], labels: np.ndarray) -> "Sentences":
+        number: dict[bytes, int] = {}
+        sets = [np.array(sorted({number.setdefault(w, len(number)) for w in words_of(t)}), np.int32) for t in texts]
+        words_ = sorted(number)
+        place = np.empty(len(words_), np.int32)
+        place[[number[w] for w in words_]] = np.arange(len(words_), dtype=np.int32)
+        return Sentences(words_, [np.sort(place[s]) for s in sets], labels)
+
+    def some(self, which: np.ndarray) -> "Sentences":
+        return Sentences(self.words, [s for s, x in zip(self.sets, which, strict=True) if x], self.labels[which])
+
+    def groups(self) -> np.ndarray:
+        """A number for each group of texts that share the four least hashes of their longer words, as near-equal ones do more often than not."""
+        h = np.array([hash_of(w) if len(w) >= 5 else 2**64 - 1 for w in self.words], np.uint64)
+        known: dict[tuple, int] = {}
+        return np.array([known.setdefault((int(y), *np.sort(h[s])[:4].tolist()) if len(s) else (i,), len(known)) for i, (s, y) in enumerate(zip(self.sets, self.labels, strict=True))])
+
+    def counts(self, label: int) -> np.ndarray:
+        """Texts of that label that hold each word."""
+        return np.bincount(np.concatenate([np.zeros(0, np.int32), *(s for s, y in zip(self.sets, self.labels, strict=True) if y == label)]), minlength=len(self.words))
+
+
+def stems(w: bytes) -> set[bytes]:
+    m = b"^" + w
+    return {m[i : i + k] for k in STEMS for i in range(len(m) - k + 1)} | {m}
+
+
+def witnesses(of: Sentences) -> dict[int, bytes]:
+    """Words that speak for toxicity, by number, each with its stem (a mark is b"^")."""
+    group = of.groups()
+    toxic = np.zeros(int(group.max(initial=-1)) + 1, bool)
+    toxic[group] = of.labels == 1
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    index: dict[bytes, set[int]] = defaultdict(set)
-    for s, g in zip(sets, group.tolist(), strict=True):
-        for w in s:
-            index[w].add(g)
-    vocabulary = sorted(index)
-    pos = {w: sum(1 for g in index[w] if toxic[g]) for w in vocabulary}
-    speaks = lambda p, n: p * n0 >= ODDS * n * n1
-    stems = lambda w: {m[i : i + k] for m in (b"^" + w,) for k in STEMS for i in range(len(m) - k + 1)} | {b"^" + w}
+    pair = np.unique(np.concatenate([s.astype(np.int64) * len(toxic) + g for s, g in zip(of.sets, group.tolist(), strict=True)]))
+    word, holder = pair // len(toxic), pair % len(toxic)
+    first = np.searchsorted(word, np.arange(len(of.words) + 1))
+    pos = np.bincount(word, weights=toxic[holder], minlength=len(of.words))
+    neg = np.diff(first) - pos
+    speaks = pos * n0 >= np.maximum(ODDS * neg * n1, 1e-9)
     tried: Counter = Counter()
-    for w in vocabulary:
-        if pos[w] >= 2 and speaks(pos[w], len(index[w]) - pos[w]):
-            for s in stems(w):
-                tried[s] += pos[w]
+    for i in np.flatnonzero(speaks & (pos >= 2)).tolist():
+        for s in stems(of.words[i]):
+            tried[s] += pos[i]
     tried = Counter({s: n for s, n in tried.items() if n >= 6})
-    carry: dict[bytes, list[bytes]] = defaultdict(list)
+    carry: dict[bytes, list[int]] = defaultdict(list)
     against: Counter = Counter()
-    for w in vocabulary:
-        for s in stems(w) & tried.keys():
-            carry[s].append(w)
-            against[s] += len(index[w]) - pos[w]
-    carry = {s: ws for s, ws in carry.items() if speaks(tried[s], against[s])}
-    found: dict[bytes, bytes] = {}
+    for i in np.flatnonzero(np.diff(first)).tolist():
+        for s in stems(of.words[i]) & tried.keys():
+            carry[s].append(i)
+            against[s] += neg[i]
+    found: dict[int, bytes] = {}
 
     def strength(s: bytes) -> float:
-        groups = set().union(*(index[w] for w in carry[s] if w not in found))
-        p = sum(1 for g in groups if toxic[g])
+        groups = np.unique(np.concatenate([np.zeros(0, np.int64), *(holder[first[i] : first[i + 1]] for i in carry[s] if i not in found)]))
+        p = int(toxic[groups].sum())
         n = len(groups) - p
-        return float(g_test(np.array(p), np.array(n), n1, n0)) if p and speaks(p, n) else 0.0
+        return float(g_test(np.array(p), np.array(n), n1, n0)) if p and p * n0 >= ODDS * n * n1 else 0.0
 
-    values = {s: strength(s) for s in sorted(carry)}
+    values = {s: strength(s) for s in sorted(carry) if tried[s] * n0 >= ODDS * against[s] * n1}
     while values:
         s = max(values, key=lambda s: (values[s], len(s), s))
+        if values[s] < LEAST_G:
+            break
         now = strength(s)
-        if now < values[s] and now < max(values.values()):
-            values[s] = now  # words that it shares with another stem are gone
-            if now >= LEAST_G:
-                continue
-        if now < LEAST_G:
-            del values[s]
-            if max(values.values(), default=0.0) < LEAST_G:
-                break
+        if now < values[s]:  # words that it shares with another stem are gone
+            values[s] = now
             continue
-        for w in carry[s]:
-            if w not in found and (pos[w] and speaks(pos[w], len(index[w]) - pos[w])):
-                found[w] = s
+        found |= {i: s for i in carry[s] if i not in found and speaks[i]}
         del values[s]
     return found
 
@@ -295,47 +316,47 @@ def words_of(text: str) -> set[bytes]:
 
 
 def border(values: np.ndarray, labels: np.ndarray) -> float:
-    """The value that parts the labels best, each label counting alike; the middle of those that do so equally well."""
+    """The value that parts the labels best, each label counting alike, less SHY for each unit that it lies off the machine's own."""
     order = np.argsort(values, kind="stable")
     v, y = values[order], labels[order]
     right = np.concatenate([[0], np.cumsum(y == 0)]) / max(1, (y == 0).sum()) + 1 - np.concatenate([[0], np.cumsum(y == 1)]) / max(1, (y == 1).sum())
     edges = np.concatenate([[v[0] - 1], (v[1:] + v[:-1]) / 2, [v[-1] + 1]])
     right[1:-1][v[1:] == v[:-1]] = -1
-    best = np.flatnonzero(right >= right.max() - 1e-12)
-    return float(edges[best[len(best) // 2]])
+    return float(edges[np.argmax(right - SHY * np.abs(edges))])
 
 
-def fit(texts: list[str], labels: np.ndarray, seed: int = 3) -> Model:
+def fit(texts: list[str], labels: np.ndarray) -> Model:
     """texts: labelled documents, of which a quarter, by group of near-equal texts, sets the border."""
-    sets = [words_of(t) for t in texts]
-    aside = np.array([hash_of(repr(alike(s)).encode()) % 4 == 0 for s in sets], bool)
-    model = machine([s for s, x in zip(sets, aside, strict=True) if not x], labels[~aside])
+    of = Sentences.of(texts, labels)
+    aside = np.array([hash_of(b"%d" % g) % 4 == 0 for g in of.groups()], bool)
+    model = machine(of.some(~aside))
     if model.weights is None or len(set(labels[aside].tolist())) < 2:
         return model
+    del of
     scorer = Scorer(model)
     raw = [t.encode() for t, x in zip(texts, aside, strict=True) if x]
     values = np.concatenate([scorer.values(np.frombuffer(b"".join(raw[i : i + 64]), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw[i : i + 64]])]).astype(np.int64)) for i in range(0, len(raw), 64)])
     return Model(model.weights, model.bias - border(values, labels[aside]), model.slope)
 
 
-def machine(sets: list[set[bytes]], labels: np.ndarray, m: int = 400, rounds: int = 5, seed: int = 3) -> Model:
+def machine(of: Sentences, m: int = 400, rounds: int = 5, seed: int = 3) -> Model:
     none = Model(None, -8.0, 1.0)
-    if len(set(labels.tolist())) < 2:
+    if len(set(of.labels.tolist())) < 2:
         return none
-    stem_of = witnesses(sets, labels)
-    pos, neg = Counter(), Counter()
-    for s, y in zip(sets, labels, strict=True):
-        (pos if y else neg).update(s)
+    pos, neg = of.counts(1), of.counts(0)
+    stem_at = witnesses(of)
+    stem_of = {of.words[i]: s for i, s in stem_at.items()}
     rng = np.random.default_rng(seed)
-    pool = sorted(w for w in neg if w not in stem_of)
-    counts = Counter({w: float(pos[w]) for w in stem_of})
+    often = [of.words[i] for i in np.lexsort((np.arange(len(neg)), -neg)).tolist() if neg[i] and i not in stem_at]
+    pool = sorted(often)
+    counts = Counter({of.words[i]: float(pos[i]) for i in stem_at})
     if not counts or not pool:
         return none
+    carriers = sorted(counts, key=lambda w: (-counts[w], w))[: m // 4]
     counts.update(inserted(counts, rng))
     plus = sorted(counts)
-    stems = sorted({s.removeprefix(b"^") for s in stem_of.values()})
-    carriers = [w for w, _ in sorted(stem_of.items(), key=lambda x: (-pos[x[0]], x[0]))][: m // 4]
-    clean = [w for w, _ in sorted(neg.items(), key=lambda x: (-x[1], x[0])) if w not in stem_of][: m // 4]
+    parts = sorted({s.removeprefix(b"^") for s in stem_of.values()})
+    clean = often[: m // 4]
 
     def at_start(ws: list[bytes]) -> np.ndarray:
         c, word = padded(*laid(ws))
@@ -343,7 +364,7 @@ def machine(sets: list[set[bytes]], labels: np.ndarray, m: int = 400, rounds: in
 
     def strongest(ws: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
         """Each word's strongest fragment and its value."""
-        value, out = np.empty(len(ws), np.float32), np.empty((len(ws), LOCAL + REACH), np.int32)
+        value, out = np.empty(len(ws), np.float32), np.empty((len(ws), LOCAL + REACH), np.uint8)
         for lo in range(0, len(ws), STEP):
             c, word = padded(*laid(ws[lo : lo + STEP]))
             row = np.searchsorted(word, np.arange(min(STEP, len(ws) - lo)))
@@ -353,15 +374,14 @@ def machine(sets: list[set[bytes]], labels: np.ndarray, m: int = 400, rounds: in
         return value, out
 
     def begin(w: bytes) -> int:
-        s = stem_of.get(w, b"^")
-        return max(0, (b"^" + w).find(s))
+        return max(0, (b"^" + w).find(stem_of.get(w, b"^")))
 
     c, word = padded(*laid(plus))
     x_plus = fragments(c, np.searchsorted(word, np.arange(len(plus))), np.array([begin(w) for w in plus]))
     some = [pool[i] for i in rng.permutation(len(pool))[:4000]]
     x_minus = np.unique(at_start(sorted({*some, *clean})), axis=0)
-    marks = np.unique(at_start([*dict.fromkeys([*stems[: m // 4], *carriers, *clean])]), axis=0)
-    model, hard = none, np.zeros((0, LOCAL + REACH), np.int32)
+    marks = np.unique(at_start([*dict.fromkeys([*parts[: m // 4], *carriers, *clean])]), axis=0)
+    model, hard = none, np.zeros((0, LOCAL + REACH), np.uint8)
     for _ in range(rounds):
         land = Landmarks.of(np.unique(np.concatenate([marks, hard]), axis=0))
         k = land.kernel(np.unique(np.concatenate([marks, hard]), axis=0)).astype(np.float64)
