@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe, decontam, linededup, neardup, toxicity
-from tessella.llm._session import fold, table
+from tessella.llm._session import few, fold, table
 from tessella.llm.queries import bpe_vocabulary, read
 from tessella.operators.relational import dedup_first
 
@@ -25,12 +25,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated lines; a document of which nothing but white space is left goes."""
-    gone = linededup.removed(linededup.base(docs, "doc_id", "text")).withColumnsRenamed({"d": "_line_d", "nos": "_line_nos"})
-    marked = docs.withColumn("_line_d", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).join(linededup.few(gone), "_line_d", "left")
-    none = F.col("_line_nos").isNull()
-    text = F.when(none, F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_line_nos", i)), "\n"))
-    kept = marked.withColumn("text", text).where(none | F.col("text").rlike(r"[^\x09-\x0D\x20]"))
-    return kept.withColumn("n_chars", F.when(none, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_key"), F.col("text").alias("_text"))
+    rows = linededup.base(packed, "_key", "_text", ("_row",))
+    out = linededup.kept(rows, linededup.removed(rows))
+    none = F.col("nos").isNull()
+    out = out.where(none | F.col("kept").rlike(r"[^\x09-\x0D\x20]"))
+    changed = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return out.select(*(F.when(none, F.col(f"_row.{c}")).otherwise(changed[c]).alias(c) if c in changed else F.col(f"_row.{c}").alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
         return drop_repeated_ids(docs)
     found = table(neardup.near_duplicates(docs, hundredths=80).where("not kept").select("doc_id").distinct(), "duplicates")
-    return docs.join(linededup.few(found), "doc_id", "left_anti")
+    return docs.join(few(found), "doc_id", "left_anti")
 
 
 def drop_repeated_ids(docs: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def drop_repeated_ids(docs: DataFrame) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     found = table(decontam.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
-    return docs.join(linededup.few(found), "doc_id", "left_anti")
+    return docs.join(few(found), "doc_id", "left_anti")
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
