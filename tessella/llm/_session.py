@@ -32,6 +32,16 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 BROADCAST_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The same; Python workers get it in batches of at most BATCH_BYTES (or one row), unless the session sets another size."""
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCHES, "0").rstrip("bB") or 0) in (0, (1 << 31) - 1):
+        conf.set(BATCHES, BATCH_BYTES)
+    return df
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -74,13 +84,6 @@ def sample_ids(df: DataFrame, key: str, group: str, per_group: int, seed: int) -
     )
 
 
-def pieces(text: Column, n: int, size: int) -> Column:
-    """At most n parts of ``size`` characters spread evenly over the whole text (a text that is shorter stays whole)."""
-    text = F.coalesce(text, F.lit(""))
-    room = F.length(text) - size
-    return F.when(room <= 0, F.array(text)).otherwise(F.transform(F.sequence(F.lit(0), F.least(F.lit(n - 1), F.ceil(room / size).cast("int"))), lambda i: F.substring(text, (i * room / F.greatest(F.lit(1), F.least(F.lit(n - 1), F.ceil(room / size).cast("int")))).cast("int") + 1, F.lit(size))))
-
-
 def extended(df: DataFrame, keep: tuple[str, ...], ddl: str) -> T.StructType:
     """The schema of the columns ``keep`` followed by those of ``ddl``."""
     return T.StructType([*df.select(*keep).schema.fields, *T.StructType.fromDDL(ddl).fields])

@@ -6,13 +6,15 @@ of at most ``SLICE_BYTES`` (or one text), so memory is bounded by the longest si
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 U64 = np.uint64
 
 #: White space of the word rule: space and 0x09-0x0D.
@@ -50,7 +52,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse modulo 2**64 for i < n; grown on demand, kept for the worker's life."""
     if not _powers or len(_powers[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = -(-n >> 16) << 16
         out = []
         for b in (BASE, BASE_INV):
             p = np.full(size, b, U64)
@@ -89,6 +91,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, side="right")) - 1)
             yield batch.slice(lo, hi - lo), buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
             lo = hi
+    handed_back()
+
+
+def handed_back() -> None:
+    """Returns what this worker has freed to the machine: it may wait for its next task beside other workers."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _libc()) is not None:
+        trim(0)
+
+
+@cache
+def _libc() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # no GNU C library
+        return None
 
 
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

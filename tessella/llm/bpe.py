@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import extended
+from ._session import bounded, extended
 from ._text import slices
 
 CACHE_ENTRIES = 300_000
@@ -137,7 +137,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tup
                 tail = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32))), pa.array(decoded, pa.binary())]
             yield pa.RecordBatch.from_arrays([*head, *tail], names=out_schema.names)
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, out_schema)
+    return bounded(df.select(*keep, F.col(text).alias("_text"))).mapInArrow(run, out_schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -150,4 +150,4 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", keep: tuple
             out = [c.decode(struct.pack(f"<{len(x or ())}I", *(x or ()))) for x in rows.column(rows.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(keep))), pa.array(out, pa.binary())], names=schema.names)
 
-    return df.select(*keep, F.col(ids).alias("_ids")).mapInArrow(run, schema)
+    return bounded(df.select(*keep, F.col(ids).alias("_ids"))).mapInArrow(run, schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import table
+from ._session import bounded, table
 from ._text import mix, slices, span_hashes, words
 
 BLOCK = 16
@@ -48,7 +48,7 @@ def hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
             raw = h.tobytes()
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([raw[4 * a : 4 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())], names=["id", "w"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_text")).mapInArrow(run, "id long, w binary")
+    return bounded(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_text"))).mapInArrow(run, "id long, w binary")
 
 
 SIGN = np.ones(256, bool)
@@ -283,7 +283,7 @@ def search(ids: DataFrame, items: list[tuple[int, str]], idf: np.ndarray, p: np.
                 cols = list(zip(*best_of.values(), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:5]), *(pa.array(c, pa.int64()) for c in cols[5:7])], names=["id", "item_id", "cosine", "common", "answer", "start", "stop"])
 
-    return ids.select("id", "w").mapInArrow(run, schema)
+    return bounded(ids.select("id", "w")).mapInArrow(run, schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", whole: float = 0.65, part: float = 0.5, answer: float = 0.85) -> DataFrame:

@@ -5,7 +5,8 @@ A text is cut into paragraphs (lines, and their sentences).  Each has a 64-bit d
 cell of each, which adds 1 to its count and is XORed into its value.  The difference of two sketches is a sketch of the
 differing digests, which peeling recovers: a cell of count 1 or -1 whose value passes its check is a digest, and is taken
 out of its three cells.  C is the smallest power of two at which a text's own sketch peels; sketches of different C
-are compared at the smaller one (tables fold in half by addition), and larger ones are tried while peeling fails.
+are compared at the smaller one (tables fold in half by addition), and larger ones are tried while peeling fails.  Two
+paragraphs of one digest in a text never peel: after DOUBLINGS larger sizes its sorted digests stand in for the sketch.
 Likeness is 1 for equal multisets of paragraphs, 0 for disjoint ones (shared over all).
 
 Edge cases: null and empty texts have the empty sketch, like each other with 1; equal texts have equal fingerprints;
@@ -23,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import extended
+from ._session import bounded, extended
 from ._text import BYTE_VALUES, U64, mix, powers, slices, stream
 
 LOW = U64((1 << 48) - 1)
 SEEDS = stream(3, 41)
 LEAST = 4
+DOUBLINGS = 6
 ROUNDS = 200  # of peeling, far more than sketches that peel need; then it has failed
 
 
@@ -77,6 +79,11 @@ class Sketches:
         self.base = np.concatenate([[0], np.cumsum(3 * self.size)])
         self.count = np.zeros(self.base[-1], np.int64)
         self.value = np.zeros(self.base[-1], U64)
+        self.plain: dict[int, np.ndarray] = {}  # sorted digests of texts whose sketches are empty because they do not peel
+
+    def digests(self, i: int) -> np.ndarray:
+        """Sorted digests of a text."""
+        return self.plain[i] if i in self.plain else np.sort(self.take(np.array([i]), self.size[i : i + 1]).peel()[1])
 
     def cells(self, doc: np.ndarray, digest: np.ndarray) -> list[np.ndarray]:
         c = self.size[doc]
@@ -138,60 +145,88 @@ def build(digests: np.ndarray, first: np.ndarray) -> Sketches:
     size = np.maximum(LEAST, 1 << np.ceil(np.log2(np.maximum(1, n / 2))).astype(np.int64))
     doc = np.repeat(np.arange(len(n)), n)
     todo = np.arange(len(n))
-    while len(todo):
+    for _ in range(DOUBLINGS + 1):
         on = np.isin(doc, todo)
         trial = Sketches(size[todo])
         trial.add(np.searchsorted(todo, doc[on]), digests[on])
         _, _, ok = trial.peel()
         todo = todo[~ok]
+        if not len(todo):
+            break
         size[todo] *= 2
+    size[todo] = LEAST
     out = Sketches(size)
-    out.add(doc, digests)
+    on = ~np.isin(doc, todo)
+    out.add(doc[on], digests[on])
+    out.plain = {i: np.sort(digests[first[i] : first[i + 1]]) for i in todo.tolist()}
     return out
 
 
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """What two sorted multisets share."""
+    values = np.unique(np.concatenate([x, y]))
+    count = lambda z: np.searchsorted(z, values, side="right") - np.searchsorted(z, values)
+    return int(np.minimum(count(x), count(y)).sum())
+
+
 def likeness(s: Sketches, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Shared over all paragraphs of the texts a[i] and b[i], from their sketches."""
     out = np.empty(len(a))
     size = np.minimum(s.size[a], s.size[b])
-    todo = np.arange(len(a))
-    x, y = s.take(a, size), s.take(b, size)
+    plain = np.isin(a, [*s.plain]) | np.isin(b, [*s.plain])
+
+    def exact(some: np.ndarray) -> None:
+        for i in some.tolist():
+            both = common(s.digests(int(a[i])), s.digests(int(b[i])))
+            out[i] = both / max(1, int(n[a[i]] + n[b[i]]) - both) if n[a[i]] + n[b[i]] else 1.0
+
+    exact(np.flatnonzero(plain))
+    todo = np.flatnonzero(~plain)
+    size = size[todo]
+    x, y = s.take(a[todo], size), s.take(b[todo], size)
     x.count -= y.count
     x.value ^= y.value
-    while True:
+    for turn in range(DOUBLINGS + 1):
         doc, _, ok = x.peel()
         d = np.bincount(doc, minlength=len(todo))
         total = n[a[todo]] + n[b[todo]]
         out[todo[ok]] = ((total - d) / np.maximum(1, total + d))[ok]
         out[todo[ok & (total == 0)]] = 1.0
-        if ok.all():
-            return out
-        # The next size: each side's digests are all recovered from its own sketch and entered again.
         todo, size = todo[~ok], size[~ok] * 2
+        if not len(todo) or turn == DOUBLINGS:
+            break
+        # The next size: each side's digests are all recovered from its own sketch and entered again.
         x = Sketches(size)
         for side, sign in ((a, 1), (b, -1)):
             own = s.take(side[todo], s.size[side[todo]])
             doc, digest, _ = own.peel()
             x.add(doc, digest, sign)
+    exact(todo)
+    return out
 
 
 def printed(s: Sketches, n: np.ndarray) -> list[str]:
-    """Paragraphs, cells a table, and the cells (count modulo 256, value) in base 64."""
+    """Paragraphs, cells a table, and the cells (count modulo 256, value) in base 64; of sorted digests 0 cells and those."""
     out = []
     count, value = (s.count & 255).astype(np.uint8).tobytes(), s.value.astype("<u8").tobytes()
     for i, (lo, hi) in enumerate(zip(s.base[:-1].tolist(), s.base[1:].tolist(), strict=True)):
+        if i in s.plain:
+            out.append(f"{n[i]}:0:{base64.b64encode(s.plain[i].astype('<u8').tobytes()).decode()}")
+            continue
         out.append(f"{n[i]}:{s.size[i]}:{base64.b64encode(count[lo:hi] + value[8 * lo : 8 * hi]).decode()}" if n[i] else "0:0:")
     return out
 
 
 def parsed(said: str) -> tuple[Sketches, np.ndarray]:
     n, size, cells = said.split(":")
-    s = Sketches(np.array([int(size) or LEAST]))
-    if int(n):
-        raw = base64.b64decode(cells)
+    s = Sketches(np.array([int(size or 0) or LEAST]))
+    raw = base64.b64decode(cells)
+    if int(n) and int(size):
         m = 3 * int(size)
         s.count = np.frombuffer(raw[:m], np.int8).astype(np.int64)
         s.value = np.frombuffer(raw[m:], "<u8").astype(U64)
+    elif int(n):
+        s.plain[0] = np.frombuffer(raw, "<u8").astype(U64)
     return s, np.array([int(n)])
 
 
@@ -200,6 +235,7 @@ def compare(a: str, b: str) -> float:
     (s, n), (t, m) = parsed(a), parsed(b)
     both = Sketches(np.array([s.size[0], t.size[0]]))
     both.count, both.value = np.concatenate([s.count, t.count]), np.concatenate([s.value, t.value])
+    both.plain = {i: x.plain[0] for i, x in enumerate((s, t)) if x.plain}
     return float(likeness(both, np.concatenate([n, m]), np.array([0]), np.array([1]))[0])
 
 
@@ -212,7 +248,7 @@ def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
             digests, first = paragraphs([(t or "").encode() for t in rows.column(rows.num_columns - 1).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(keep))), pa.array(printed(build(digests, first), np.diff(first)))], names=schema.names)
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return bounded(df.select(*keep, F.col(text).alias("_text"))).mapInArrow(run, schema)
 
 
 NO_KEY = -(1 << 63)
@@ -250,7 +286,7 @@ def successors(docs: DataFrame, key: str, text: str) -> DataFrame:
                 more = batch.take(pa.array(head))
                 yield pa.RecordBatch.from_arrays([*more.columns, pa.array(before[np.searchsorted(first, kk[head])]), pa.array(np.ones(len(head), bool))], names=names)
 
-    dealt = rows.mapInArrow(deal, extended(rows, ("_k", "_key", "_text"), "_b int, _after boolean"))
+    dealt = bounded(rows).mapInArrow(deal, extended(rows, ("_k", "_key", "_text"), "_b int, _after boolean"))
     return dealt.repartitionById(parts, F.col("_b")).sortWithinPartitions("_b", "_after", "_k", F.xxhash64("_text")).select("_b", "_after", "_key", "_text")
 
 
@@ -288,4 +324,4 @@ def versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 lo = hi + (after[hi] or b[min(hi + 1, len(b) - 1)] != b[hi])
             held = (b[-1], after[-1], keys[-1], texts[-1])
 
-    return successors(docs, key, text).mapInArrow(run, schema)
+    return bounded(successors(docs, key, text)).mapInArrow(run, schema)

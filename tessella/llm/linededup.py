@@ -6,9 +6,9 @@ has a Jaccard similarity of THRESHOLD or more with it, judged on the input; line
 1. Words are counted over the whole corpus in BINS bins; a word's code is its bin's level of frequency over 56 bits of
    its hash, so that codes in ascending order run from rare to frequent.
 2. Equal lines form one class with its first place.  Each class has its prefix, |s| - ceil(t |s|) + 1 rarest codes.
-3. One match is enough to remove a line, so first each class is verified against one earlier class only, the first of
-   those that hold the same two neighbouring codes at the prefix's end: of a group of near-copies all but a few are
-   decided by as many checks as there are lines.
+3. One match is enough to remove a line, so first each class is verified against a few earlier classes only: the first
+   and the most repeated one of those that hold the same two neighbouring codes near the prefix's end.  Of a group of
+   near-copies all but a few are decided so, by a number of checks in proportion to the lines.
 4. Prefixes join on the code and a class of length, the shorter line by the 2/18 of it that can hold the first common
    word, the longer one by its whole prefix; length and positional filter (a pair must be possible if this is its first
    common word) and a parity bitmap, whose differing bits can't outnumber the differing words, and pairs whose later line
@@ -33,6 +33,7 @@ NO_KEY = -(1 << 63)
 TENTHS = 8  # the threshold in tenths
 WIDE = 64  # words over which a set has 128 bins in place of 64
 SPACES = r"[\x09-\x0D\x20]+"
+ENDS = 6  # pairs of neighbouring codes from the prefix's end on
 MOST = 65535  # sizes and positions are kept in 16 bits; those beyond pass the filters
 
 
@@ -55,7 +56,7 @@ def rarity(docs: DataFrame) -> Column:
 def coded(line: Column, levels: Column) -> Column:
     """Ascending codes of a line's distinct words."""
     hashes = F.array_distinct(F.transform(F.array_remove(split_words(F.lower(line)), ""), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(BINS - 1).cast("int")).cast("bigint"), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.coalesce(F.get(levels, h.bitwiseAND(BINS - 1).cast("int")), F.lit(0).cast("tinyint")).cast("bigint"), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))))
 
 
 def flipped(a: Column, c: Column) -> Column:
@@ -95,7 +96,7 @@ def classes(docs: DataFrame, levels: Column) -> DataFrame:
     n, t = F.size("codes"), TENTHS
     head = n - F.ceil(n * t / 10 - 1e-9).cast("int") + 1
     each = lines(docs).select("k", "no", F.xxhash64("line").alias("class"), coded(F.col("line"), levels).alias("codes"))
-    ends = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: F.xxhash64(F.get("codes", head - 1 + i), F.get("codes", head + i)))
+    ends = F.transform(F.sequence(F.lit(0), F.lit(ENDS - 1)), lambda i: F.xxhash64(F.get("codes", head - 1 + i), F.get("codes", head + i)))
     x = F.struct("k", "no", n.alias("n"), bitmap(F.col("codes")).alias("m"), F.when(n > WIDE, half(F.col("codes"))).otherwise(0).alias("h"), F.slice("codes", 1, head).alias("prefix"), ends.alias("ends"))
     return each.select("class", x.alias("x")).groupBy("class").agg(F.min("x").alias("x"), F.count("*").alias("copies")).select("class", "copies", "x.*")
 
@@ -105,12 +106,15 @@ def places(late: str, early: str) -> list[Column]:
 
 
 def first_checks(firsts: DataFrame) -> DataFrame:
-    """(late, early) places: each class with the first one that holds the same neighbouring codes, if they can be similar."""
+    """(late, early) places: each class with the first and with the most repeated one of those that hold the same
+    neighbouring codes, if it comes earlier and they can be similar."""
     t, total = TENTHS, "(a.n + b.n)"
-    keys = firsts.select(F.explode("ends").alias("code"), "k", "no", "n", "m")
-    least = keys.groupBy("code").agg(F.min(F.struct("k", "no", "n", "m")).alias("f"), F.count("*").alias("held")).where("held > 1").select("code", "f.*")
+    keys = firsts.select(F.explode("ends").alias("code"), "k", "no", "n", "m", "copies")
+    heads = keys.groupBy("code").agg(F.min(F.struct("k", "no", "n", "m")).alias("f"), F.max(F.struct("copies", "k", "no", "n", "m")).alias("r"), F.count("*").alias("held")).where("held > 1")
+    plain = F.struct(*(F.col(f"r.{c}").alias(c) for c in ("k", "no", "n", "m")))
+    heads = heads.select("code", F.explode(F.array_distinct(F.array(F.col("f"), plain))).alias("f")).select("code", "f.*")
     on = f"a.code = b.code and (a.k > b.k or (a.k = b.k and a.no > b.no)) and 10 * least(a.n, b.n) >= {t} * greatest(a.n, b.n) and {10 + t} * bit_count(a.m ^ b.m) <= {10 - t} * {total}"
-    return keys.alias("a").join(least.alias("b"), F.expr(on)).select(*places("a", "b")).distinct()
+    return keys.alias("a").join(heads.alias("b"), F.expr(on)).select(*places("a", "b")).distinct()
 
 
 def pairs(firsts: DataFrame, decided: DataFrame) -> DataFrame:

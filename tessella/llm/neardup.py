@@ -10,7 +10,8 @@ between different components of a region, the best of each class again, and in t
 be linked at all, whatever the region's size: shingles that no other set has bound what a pair can share.  A link that
 is skipped joins two classes that are connected already.
 
-At similarity s a pair shares no region with probability (1 - s**DEPTH)**TREES: under 3e-7 at 0.85.
+At similarity s a pair shares no region with probability (1 - s**DEPTH)**TREES: under 3e-7 at 0.85.  A pair of which the
+sketches agree less than SCREEN_SIGMAS under what s leads one to expect is screened out: under 2e-6 of such pairs.
 
 Edge cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a null key is in
 no component; rows of one key are one node; repeated rows are one class; an empty table gives an empty result.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._session import table
+from ._session import bounded, few, table
 from ._text import U64, distinct, mix, shingles, slices, span_hashes, stream, words
 from .components import components
 
@@ -35,7 +36,7 @@ EACH = HASHES // TREES
 STEP = 1 << 16  # pairs in one step
 SKETCH = HASHES // 2  # bytes: four bits of each minimum
 FACTORS = stream(HASHES, 101) | U64(1)
-BROADCAST_IDS = 1_000_000  # about 20 MB
+RUN = 1024  # sets whose shingles are told apart at once
 FIELDS = [("key", "<u8"), ("id", "<i8"), ("n", "<i4"), ("own", "<i4"), ("comp", "<i8"), ("tree", "u1"), ("sketch", "u1", SKETCH)]
 BEST, EVERY = np.dtype([*FIELDS, ("deep", "<u8")]), np.dtype([*FIELDS, ("keys", "<u4", TREES)])  # entries of the rounds
 EQUAL = np.array([(not x & 15) + (not x & 240) for x in range(256)], np.uint8)
@@ -81,7 +82,7 @@ def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
             sig = minima(values, at)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(at)), *sums, pa.array([x.tobytes() for x in sig], pa.binary())], names=["id", "n", "s1", "s2", "sig"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_text")).mapInArrow(run, "id long, n long, s1 long, s2 long, sig binary")
+    return bounded(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_text"))).mapInArrow(run, "id long, n long, s1 long, s2 long, sig binary")
 
 
 def deal(classes: DataFrame, every: bool, parts: int) -> DataFrame:
@@ -119,7 +120,7 @@ def deal(classes: DataFrame, every: bool, parts: int) -> DataFrame:
             cut = [*at.tolist(), len(out)]
             yield pa.RecordBatch.from_arrays([pa.array(there), pa.array([out[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["bucket", "blob"])
 
-    return classes.select("id", "n", "sig", "comp", "own").mapInArrow(run, "bucket int, blob binary")
+    return bounded(classes.select("id", "n", "sig", "comp", "own")).mapInArrow(run, "bucket int, blob binary")
 
 
 def seek(every: bool, similarity: float):
@@ -196,8 +197,8 @@ def candidates(classes: DataFrame, every: bool, similarity: float) -> DataFrame:
 
 
 def ids_of(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """Semi-join on ``id``: broadcast if the ids are at most BROADCAST_IDS, else shuffled."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    """Semi-join on ``id``."""
+    return df.join(few(ids), "id", "left_semi")
 
 
 def full_sets(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
@@ -209,21 +210,26 @@ def full_sets(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
             raw = values.tobytes()
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["id", "set"])
 
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).mapInArrow(run, "id long, set binary")
+    return bounded(docs.select(F.col(key).alias("id"), F.col(text).alias("_text"))).mapInArrow(run, "id long, set binary")
 
 
 def unshared(whole: DataFrame) -> DataFrame:
-    """(id, own): how many shingles of each set are in no other one.  Shingles meet packed by bucket, as the entries do."""
+    """(id, own): how many shingles of each set are in no other one.  Shingles meet packed by bucket, as the entries do;
+    of a shingle that is common within a run of sets only two entries go on, enough to tell that it is no set's own."""
     parts = 4 * int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pair = np.dtype([("h", "<u8"), ("id", "<i8")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for lo in range(0, rows.num_rows, 512):
-                raw = rows.column(1).slice(lo, 512).to_pylist()
+            for lo in range(0, rows.num_rows, RUN):
+                raw = rows.column(1).slice(lo, RUN).to_pylist()
                 e = np.empty(sum(len(x) for x in raw) // 8, pair)
                 e["h"] = np.frombuffer(b"".join(raw), U64)
-                e["id"] = np.repeat(rows.column(0).slice(lo, 512).to_numpy(zero_copy_only=False), [len(x) // 8 for x in raw])
+                e["id"] = np.repeat(rows.column(0).slice(lo, RUN).to_numpy(zero_copy_only=False), [len(x) // 8 for x in raw])
+                e = e[np.argsort(e["h"], kind="stable")]
+                third = np.zeros(len(e), bool)
+                third[2:] = e["h"][2:] == e["h"][:-2]
+                e = e[~third]
                 bucket = (e["h"] >> U64(24)) % U64(parts)
                 order = np.argsort(bucket, kind="stable")
                 e, bucket = e[order], bucket[order].astype(np.int32)
@@ -257,7 +263,7 @@ def confirmed(pairs: DataFrame, whole: DataFrame, hundredths: int) -> DataFrame:
             yield rows.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     sides = pairs.select("a", "b").join(whole.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    return sides.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return bounded(sides.select("a", "b", "x", "y")).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, hundredths: int = 85, best_rounds: int = 1) -> DataFrame:

@@ -4,8 +4,7 @@ P(grade <= k) = sigmoid(threshold_k - w . x): one weight vector for all grades,
 one-hot hashed features of a text's words, of its words' shapes, and a few of its length and repetition.  The expected
 grade is the sum of the tail probabilities.
 
-The fit reads a bounded sample, at most ``per_grade`` labelled texts of each grade (at most ``parts`` pieces of
-``part_chars`` characters of each); scoring reads every text whole.
+The fit reads the whole texts of a bounded sample, at most ``per_grade`` labelled rows of each grade.
 
 Edge cases: null and empty texts score by the intercept features alone; labels without a document, null grades and
 repeated rows are allowed; without two grades every probability is the share of the grade; further columns are ignored.
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import extended, pieces, sample_ids
+from ._session import bounded, extended, sample_ids
 from ._text import LOWER, segment_sum, slices, span_hashes, words
 
 BITS = 15
@@ -118,10 +117,10 @@ def fit(texts: list[str], grades: np.ndarray, steps: int = 250, l2: float = 1e-5
     return Model(w.astype(np.float32), np.cumsum(np.concatenate([t[:1], np.exp(t[1:])])), levels)
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", grade: str = "grade", per_grade: int = 1500, parts: int = 4, part_chars: int = 1500, seed: int = 17) -> Model:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", grade: str = "grade", per_grade: int = 1500, seed: int = 17) -> Model:
     """Fits on at most ``per_grade`` rows of each grade of ``labels`` (key, grade)."""
     ids = sample_ids(labels.where(F.col(grade).isNotNull() & F.col(key).isNotNull()).select(key, grade), key, grade, per_grade, seed)
-    rows = docs.select(key, F.concat_ws("\n", pieces(F.col(text), parts, part_chars)).alias("_t")).join(F.broadcast(ids), key).select("_t", grade, key).dropDuplicates([key, grade]).collect()
+    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(ids), key).select("_t", grade, key).dropDuplicates([key, grade]).collect()
     rows.sort(key=lambda r: (r[2], r[1]))
     return fit([r[0] for r in rows], np.array([int(r[1]) for r in rows]))
 
@@ -141,4 +140,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
             tail = tails[:, j] if tails.shape[1] else np.full(rows.num_rows, float(tail_at is None or m.grades[0] >= tail_at))
             yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(keep))), pa.array(expected), pa.array(tail)], names=schema.names)
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return bounded(docs.select(*keep, F.col(text).alias("_text"))).mapInArrow(run, schema)

@@ -1,8 +1,8 @@
 """Incremental secret scans over a blob ledger, in DataFrame functions only.
 
 Every version of every path is content-addressed by the SHA-256 of its text.  The ledger holds the (blob, rule, rule
-version) pairs that were scanned already; only the others are scanned, each blob once, and their findings and those kept
-beside the ledger join back to all paths that hold the blob.  Spans are code points, end exclusive; matches are leftmost and do not overlap within a rule.
+version) pairs that were scanned already; texts meet the other pairs first, so that only those are scanned, each blob
+once, and their findings and those kept beside the ledger join back to all paths that hold the blob.  Spans are code points, end exclusive; matches are leftmost and do not overlap within a rule.
 
 Edge cases: a null text is an empty one; equal texts share one blob; repeated keys, null keys and further columns
 are allowed (paths keep every row); an empty table gives empty results.
@@ -11,11 +11,12 @@ are allowed (paths keep every row); an empty table gives empty results.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._session import table
+from ._session import few, table
 
 
 @dataclass(frozen=True)
@@ -56,6 +57,7 @@ class Scan:
     paths: DataFrame  #: key, blob: every row of the input
     findings: DataFrame  #: blob, rule, version, spans: of newly scanned pairs that have some, and the earlier ones of these rules
     ledger: DataFrame  #: blob, rule, version: the pairs scanned now
+    scanned: DataFrame  #: blob: the texts that the rules read now
 
 
 def scan(versions: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, earlier: DataFrame | None = None) -> Scan:
@@ -72,15 +74,31 @@ def scan(versions: DataFrame, key: str = "doc_id", text: str = "text", rules: tu
     else:
         one = one.withColumn("todo", known)
     pairs = one.select("blob", F.explode("todo").alias("x")).select("blob", "x.rule", "x.version")
-    # A representative's text is found by its key, which is spread evenly whatever the number of copies.
-    suspects = versions.select(F.xxhash64(F.col(key)).alias("rep"), body.alias("text")).where(F.expr(" or ".join(f"text rlike {_sql(r.pattern)}" for r in rules))).withColumn("blob", F.sha2("text", 256))
-    fresh = suspects.join(one.select("rep", F.col("blob").alias("_blob"), "todo"), "rep").where("blob = _blob")
-    each = fresh.select("blob", F.explode(F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), F.when(F.array_contains("todo", F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"))), spans(F.col("text"), r)).alias("spans")) for r in rules))).alias("x"))
+    # Texts meet the unseen pairs first, by the key of a representative, which is spread evenly whatever the number of copies.
+    todo = few(table(one.select("rep", "blob", "todo"), "todo"))
+    fresh = versions.select(F.xxhash64(F.col(key)).alias("rep"), body.alias("text")).join(todo, "rep").where(F.sha2("text", 256) == F.col("blob"))
+    due = {r: F.array_contains("todo", F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"))) for r in rules}
+    holds = lambda r: F.expr(f"text rlike {_sql(r.pattern)}")
+    some = fresh.where(reduce(Column.__or__, (due[r] & holds(r) for r in rules)))
+    each = some.select("blob", F.explode(F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), F.when(due[r], spans(F.col("text"), r)).alias("spans")) for r in rules))).alias("x"))
     findings = each.select("blob", "x.rule", "x.version", "x.spans").where(F.size("spans") > 0).dropDuplicates(["blob", "rule", "version"])
     if earlier is not None:
         old = earlier.select("blob", "rule", F.col("version").cast("int").alias("version"), "spans")
         findings = findings.unionByName(old.where(F.array_contains(known, F.struct("rule", "version")))).dropDuplicates(["blob", "rule", "version"])
-    return Scan(paths, findings, pairs)
+    return Scan(paths, findings, pairs, fresh.select("blob"))
+
+
+def record(found: Scan, folder: str) -> None:
+    """Adds what a scan has found to the ledger's tables in ``folder``, shared by all machines: findings first, so that a
+    run that breaks off in between is repeated rather than lost."""
+    found.findings.write.mode("append").parquet(f"{folder}/findings")
+    found.ledger.write.mode("append").parquet(f"{folder}/ledger")
+
+
+def recorded(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(ledger, findings) of all scans recorded there; a finding recorded twice counts once."""
+    found = spark.read.parquet(f"{folder}/findings").dropDuplicates(["blob", "rule", "version"])
+    return spark.read.parquet(f"{folder}/ledger").distinct(), found
 
 
 def _sql(pattern: str) -> str:

@@ -30,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import table
+from ._session import bounded, table
 from ._text import BYTE_VALUES, U64, mix, powers, slices
 
+SLICE = 2 << 20  # bytes of text whose marks go out together, a row for each bucket
 LENGTH = 100
 GRAM = 24
 SPAN = LENGTH - GRAM  # bytes that a window can reach on either side of its anchor
@@ -236,7 +237,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.hash(body).alias("sub"), F.col(key).cast("long").alias("id"), body.alias("body"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, buf, offs in slices(batches, "body"):
+        for batch, buf, offs in slices(batches, "body", SLICE):
             doc, at, gram, context, right = anchors(buf, offs)
             r = np.empty(len(doc), ANCHOR)
             r["gram"], r["context"], r["at"], r["right"] = gram, context, at, right
@@ -244,7 +245,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
             yield pa.RecordBatch.from_arrays(packed(r, (gram >> U64(20)).astype(np.int64) % parts), names=["bucket", "blob"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, buf, offs in slices(batches, "body"):
+        for batch, buf, offs in slices(batches, "body", SLICE):
             out, gram = [], []
             key, sub, todo = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
             for d in range(batch.num_rows):
@@ -263,7 +264,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
             yield pa.RecordBatch.from_arrays(packed(p, (gram >> U64(20)).astype(np.int64) % parts), names=["bucket", "blob"])
 
     schema, marked = "bucket int, blob binary", "key long, sub int, gone binary, todo binary"
-    met = rows.select("key", "sub", "body").mapInArrow(mark, schema)
+    met = bounded(rows.select("key", "sub", "body")).mapInArrow(mark, schema)
     first = table(met.groupBy("bucket").applyInArrow(meet(by_doc), schema).groupBy("bucket").applyInArrow(gather, marked), "marks")
     todo = first.where(F.octet_length("todo") > 0).select("key", "sub", F.col("todo").alias("marks"))
     contexts = rows.select("key", "sub", "body").join(todo.hint("merge"), ["key", "sub"]).select("key", "sub", "body", "marks").mapInArrow(cut, schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import extended, sample_ids
+from ._session import bounded, extended, sample_ids
 from ._text import segment_max, slices, span_hashes, words
 
 WIDTH = 24
@@ -465,4 +465,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
         for rows, buf, offs in slices(batches, "_text"):
             yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(keep))), pa.array(scorer(buf, offs), pa.float64())], names=schema.names)
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return bounded(docs.select(*keep, F.col(text).alias("_text"))).mapInArrow(run, schema)
