@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import exprs as E
 from tessella.operators.relational import assign_blocks, band_batches, band_join, row_index
-from tessella.operators.stats import jackknife_wls
+from tessella.operators.stats import jackknife_solved
 
 
 def variant_stats(geno: DataFrame) -> DataFrame:
@@ -90,26 +93,109 @@ def cell_ld_scores(weights: DataFrame, scores: DataFrame) -> DataFrame:
     return weights.join(scores.select("cell", F.col("gene").alias("feature"), "score"), "feature").groupBy("snp", "cell").agg(F.sum(F.col("w") * F.col("score")).alias("ld"))
 
 
+ENTRIES = 2_000_000  # weights and variants that one pass over the cells takes along, about 50 MB
+CELLS = 128  # cells in one product
+CHUNK = 20_000  # weights in one product
+
+
 def spatial_ldsc(weights: DataFrame, scores: DataFrame, sumstats: DataFrame, w_ld: DataFrame, n_blocks: int = 200, extra: DataFrame | None = None, order: Sequence[str] = ("snp",), position: str = "row_idx") -> DataFrame:
     """LD score regression of each cell: cell, beta, se, z, p, neg_log10_p.
 
-    sumstats: snp, z, n and a numeric ``position`` that orders SNPs for the jackknife's blocks; w_ld: snp, l2.  The heritability guess
-    is linear in the cell's LD scores, so it comes from the same aggregation as the regression's sums."""
-    base = baseline(weights)
-    rows = sumstats.join(base, "snp").join(w_ld.select("snp", F.col("l2").alias("w_ld")), "snp")
-    names = []
+    sumstats: snp, z, n and a numeric ``position`` that orders SNPs for the jackknife's blocks; w_ld: snp, l2.
+
+    No row is made for a cell and a SNP: a cell's sums over a block are matrix products of its scores with the block's
+    weights.  Blocks go along in passes of at most ENTRIES weights and variants (or one block); each pass reads the
+    cells' score vectors once.  The heritability guess is linear in the cell's LD scores, so a sum for each gene gives it."""
+    rows = sumstats.join(baseline(weights), "snp").join(w_ld.select("snp", F.col("l2").alias("w_ld")), "snp")
+    names = [] if extra is None else [c for c in extra.columns if c != "snp"]
     if extra is not None:
-        names = [c for c in extra.columns if c != "snp"]
         rows = rows.join(extra, "snp")
     n_bar = rows.agg(F.avg("n")).head()[0] or 1.0
     rows = assign_blocks(row_index(rows.drop("row_idx") if position != "row_idx" else rows.withColumnRenamed("row_idx", "_order"), "_order" if position == "row_idx" else position, list(order)), n_blocks)
-    rows = rows.withColumn("chisq", F.col("z") * F.col("z"))
-    ld = cell_ld_scores(weights.where("feature <> 'Unmapped'").join(rows.select("snp"), "snp", "left_semi"), scores)
-    cells = scores.select("cell").distinct()
-    every = cells.withColumn("_k", F.lit(1)).join(rows.withColumn("_k", F.lit(1)), "_k").drop("_k").join(ld, ["snp", "cell"], "left").withColumn("ld", F.coalesce("ld", F.lit(0.0)))
-    guess = every.groupBy("cell").agg((10000 * (F.avg("chisq") - 1) / F.avg((F.col("ld") + F.col("base")) * F.col("n"))).alias("hsq")).select("cell", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "hsq")).alias("hsq"))
-    d = every.join(guess, "cell")
-    denominator = 1 + F.col("hsq") * F.col("n") / 10000 * F.greatest(F.col("ld") + F.col("base"), F.lit(1.0))
-    d = d.withColumn("w", F.sqrt(1 / (2 * denominator * denominator * F.greatest("w_ld", F.lit(1.0)))))
-    d = d.withColumns({f"b_{c}": F.col(c) * F.col("n") / n_bar for c in ("base", "all_gene", *names)}).withColumn("one", F.lit(1.0))
-    return jackknife_wls(d, ["cell"], "block", ["ld", *(f"b_{c}" for c in ("base", "all_gene", *names)), "one"], "chisq", "w", n_bar)
+    rows = rows.select("snp", "block", "row_idx", (F.col("z") * F.col("z")).alias("chisq"), F.col("n").cast("double").alias("n"), "base", "all_gene", "w_ld", *(F.col(c).cast("double").alias(c) for c in names)).persist()
+    mapped = weights.where("feature <> 'Unmapped'").join(rows.select("snp", "block", "row_idx", "n"), "snp").persist()
+
+    by_gene = mapped.groupBy("feature").agg(F.sum(F.col("w") * F.col("n")).alias("_v"))
+    genes = sorted(by_gene.toLocalIterator(), key=lambda r: r["feature"])  # a row for each gene
+    listed = scores.sparkSession.createDataFrame([(r["feature"], i, r["_v"]) for i, r in enumerate(genes)], "gene string, g int, _v double")
+    means = rows.agg(F.avg("chisq").alias("c"), F.avg(F.col("base") * F.col("n")).alias("b"), F.count(F.lit(1)).alias("m")).head()
+    held = scores.select("cell", "gene", "score").join(F.broadcast(listed), "gene", "left")
+    known = F.col("g").isNotNull()
+    cells = held.groupBy("cell").agg(F.coalesce(F.sum(F.col("score") * F.col("_v")), F.lit(0.0)).alias("_s"), F.collect_list(F.when(known, F.struct(F.col("g").cast("int").alias("g"), F.col("score").cast("double").alias("s")))).alias("held"))
+    hsq = 10000 * (F.lit(means["c"] or 0.0) - 1) / (F.col("_s") / (means["m"] or 1) + F.lit(means["b"] or 0.0))
+    cells = cells.select("cell", F.greatest(F.lit(0.0), F.least(F.lit(1.0), hsq)).alias("hsq"), F.transform("held", lambda x: x["g"]).alias("g"), F.transform("held", lambda x: x["s"]).alias("s"))
+
+    sizes = {r["block"]: r["count"] for r in rows.groupBy("block").count().collect()}
+    for r in mapped.groupBy("block").count().collect():
+        sizes[r["block"]] += r["count"]
+    passes: list[list[int]] = []
+    for b in sorted(sizes):
+        if passes and sum(sizes[x] for x in passes[-1]) + sizes[b] <= ENTRIES:
+            passes[-1].append(b)
+        else:
+            passes.append([b])
+    k = 3 + len(names) + 1
+    tri = [(i, j) for i in range(k) for j in range(i, k)]
+    schema = f"cell {dict(scores.dtypes)['cell']}, block int, " + ", ".join([*(f"xx_{i}_{j} double" for i, j in tri), *(f"xy_{i} double" for i in range(k))])
+    cells = cells.persist()
+    parts = [_block_sums(cells, _carried(rows, mapped, [r["feature"] for r in genes], bs, ["base", "all_gene", *names], n_bar), len(genes), schema) for bs in passes]
+    if not parts:
+        parts = [cells.sparkSession.createDataFrame([], schema)]
+    return jackknife_solved(reduce(DataFrame.unionByName, parts), ["cell"], "block", k, n_bar)
+
+
+def _carried(rows: DataFrame, mapped: DataFrame, genes: list[str], blocks: list[int], fixed: list[str], n_bar: float) -> list[tuple]:
+    """(block, n, base, w_ld, chisq, fixed columns, gene, weight, first weight) arrays of each block of a pass, SNPs in order."""
+    lo, hi = blocks[0], blocks[-1]
+    snps = rows.where(F.col("block").between(lo, hi)).toPandas().sort_values("row_idx")
+    w = mapped.where(F.col("block").between(lo, hi)).select("block", "row_idx", "feature", "w").toPandas().sort_values("row_idx", kind="stable")
+    w["g"] = np.searchsorted(genes, w["feature"].to_numpy()) if len(w) else np.zeros(0, int)
+    out = []
+    for b in blocks:
+        s, e = snps[snps["block"] == b], w[w["block"] == b]
+        first = np.searchsorted(e["row_idx"].to_numpy(), np.append(s["row_idx"].to_numpy(), s["row_idx"].max() + 1))
+        f = np.stack([*(s[c].to_numpy() * s["n"].to_numpy() / n_bar for c in fixed), np.ones(len(s))], 1)
+        out.append((b, s["n"].to_numpy(), s["base"].to_numpy(), np.maximum(s["w_ld"].to_numpy(), 1.0), s["chisq"].to_numpy(), f, e["g"].to_numpy(), e["w"].to_numpy(), first))
+    return out
+
+
+def _products(score: np.ndarray, gene: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """LD scores (cells x SNPs): for each SNP the weights of its genes times the cells' scores."""
+    out = np.zeros((len(score), len(first) - 1))
+    lo = 0
+    while lo < len(first) - 1:
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + CHUNK, side="right")) - 1)
+        a, b = first[lo], first[hi]
+        if b > a:
+            some = np.flatnonzero(np.diff(first[lo : hi + 1]))
+            out[:, lo + some] = np.add.reduceat(score[:, gene[a:b]] * weight[a:b], first[lo + some] - a, axis=1)
+        lo = hi
+    return out
+
+
+def _block_sums(cells: DataFrame, carried: list[tuple], n_genes: int, schema: str) -> DataFrame:
+    """X'WX and X'Wy of each cell and block of a pass; the columns are the cell's LD score and the fixed ones."""
+    shared = cells.sparkSession.sparkContext.broadcast(carried)
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CELLS):
+                part = batch.slice(at, CELLS)
+                m = part.num_rows
+                g, s = (part.column(i) for i in (2, 3))
+                score = np.zeros((m, n_genes))
+                owner = np.repeat(np.arange(m), np.array([len(x) for x in g], int))
+                np.add.at(score, (owner, g.flatten().to_numpy(zero_copy_only=False).astype(int)), s.flatten().to_numpy(zero_copy_only=False))
+                hsq = part.column(1).to_numpy(zero_copy_only=False)[:, None]
+                for b, n, base, w_ld, y, f, gene, weight, first in shared.value:
+                    ld = _products(score, gene, weight, first)
+                    w = 1 / (2 * (1 + hsq * n / 10000 * np.maximum(ld + base, 1.0)) ** 2 * w_ld)
+                    wl, q = w * ld, f.shape[1]
+                    xx = {(0, 0): (wl * ld).sum(1)} | {(0, j + 1): c for j, c in enumerate((wl @ f).T)}
+                    xx |= {(i + 1, j + 1): w @ (f[:, i] * f[:, j]) for i in range(q) for j in range(i, q)}
+                    xy = [wl @ y, *(w @ (f * y[:, None])).T]
+                    cols = [xx[i, j] for i in range(q + 1) for j in range(i, q + 1)] + xy
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(m, b, np.int32)), *map(pa.array, cols)], names=names)
+
+    return cells.select("cell", "hsq", "g", "s").mapInArrow(run, schema)

@@ -117,11 +117,14 @@ def jackknife_wls(df: DataFrame, by: Sequence[str], block: str, xs: Sequence[str
 
     Block sums are built by aggregation; only they, a few numbers a block, reach the solver.  A singular group has nulls.
     Returns by, beta, se, z, p (one-sided), neg_log10_p; beta and se are divided by ``scale``."""
+    return jackknife_solved(jackknife_sums(df, by, block, xs, y, w), by, block, len(xs), scale)
+
+
+def jackknife_solved(sums: DataFrame, by: Sequence[str], block: str, k: int, scale: float = 1.0) -> DataFrame:
+    """The estimate of :func:`jackknife_wls` from the block sums of :func:`jackknife_sums` over k columns."""
     import numpy as np
 
-    k = len(xs)
     tri = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = jackknife_sums(df, by, block, xs, y, w)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(block)
@@ -141,7 +144,7 @@ def jackknife_wls(df: DataFrame, by: Sequence[str], block: str, xs: Sequence[str
                 pass
         return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "beta": [beta], "se": [se]})
 
-    schema = ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in by) + ", beta double, se double"
+    schema = ", ".join(f"`{c}` {dict(sums.dtypes)[c]}" for c in by) + ", beta double, se double"
     out = sums.groupBy(*by).applyInPandas(solve, schema)
     out = out.select(*by, *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("beta", "se")))
     return out.withColumn("z", F.expr("beta / nullif(se, 0)")).withColumn("p", F.expr(E.norm_sf("z"))).withColumn("neg_log10_p", F.expr(E.neg_log10("p")))
