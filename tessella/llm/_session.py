@@ -37,9 +37,9 @@ BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """The same; Python workers get it in batches of at most BATCH_BYTES (or one row), unless the session sets another size."""
+    """The same; the session's Python workers get batches of at most BATCH_BYTES (or one row) from now on."""
     conf = df.sparkSession.conf
-    if int(conf.get(BATCHES, "0").rstrip("bB") or 0) in (0, (1 << 31) - 1):
+    if int(conf.get(BATCHES).rstrip("bB")) > BATCH_BYTES:
         conf.set(BATCHES, BATCH_BYTES)
     return df
 
