@@ -32,7 +32,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 BROADCAST_BYTES = 32 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._session import bounded, table
-from ._text import mix, slices, span_hashes, words
+from ._text import handed_back, mix, slices, span_hashes, words
 
 BLOCK = 16
 DIM = 4096
@@ -76,6 +76,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray
             hi = max(lo + 1, int(np.searchsorted(total, total[lo] + CHUNK, side="right")) - 1)
             yield ids[lo:hi], np.frombuffer(b"".join(w.slice(lo, hi - lo).to_pylist()), np.uint32), total[lo : hi + 1] - total[lo]
             lo = hi
+    handed_back()
 
 
 def blocks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

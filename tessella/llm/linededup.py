@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._session import few, release, table
 
-BINS = 1 << 18
+BINS = 1 << 16
 NO_KEY = -(1 << 63)
 TENTHS = 8  # the threshold in tenths
 WIDE = 64  # words over which a set has 128 bins in place of 64

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._session import bounded, few, table
-from ._text import U64, distinct, mix, shingles, slices, span_hashes, stream, words
+from ._text import U64, distinct, handed_back, mix, shingles, slices, span_hashes, stream, words
 from .components import components
 
 HASHES, TREES, DEPTH = 128, 16, 3
@@ -183,6 +183,7 @@ def seek(every: bool, similarity: float):
             a, b, s = a[keep], b[keep], s[keep]
         each = np.unique(np.concatenate([a, b]))  # a row of its own, so that its set is at hand in later rounds
         a, b, s = np.concatenate([a, each]), np.concatenate([b, each]), np.concatenate([s, np.full(len(each), -1)])
+        handed_back()
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.int32())], names=["a", "b", "est"])
 
     return run
@@ -244,6 +245,8 @@ def unshared(whole: DataFrame) -> DataFrame:
         new = np.concatenate([[True], h[1:] != h[:-1]])
         last = np.concatenate([new[1:], [True]])
         ids, n = np.unique(e["id"][order][new & last], return_counts=True)
+        del e, order, h, new, last
+        handed_back()
         return pa.table([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["id", "own"])
 
     return whole.select("id", "set").mapInArrow(run, "bucket int, blob binary").groupBy("bucket").applyInArrow(alone, "id long, own long").groupBy("id").agg(F.sum("own").alias("own"))
@@ -261,6 +264,7 @@ def confirmed(pairs: DataFrame, whole: DataFrame, hundredths: int) -> DataFrame:
                 shared = int((both[1:] == both[:-1]).sum())
                 ok.append(100 * shared >= hundredths * (len(both) - shared))
             yield rows.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        handed_back()
 
     sides = pairs.select("a", "b").join(whole.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     return bounded(sides.select("a", "b", "x", "y")).mapInArrow(run, "a long, b long")

@@ -21,6 +21,7 @@ texts score as a clean word; without both labels, or without a witness, every te
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 from collections import Counter, defaultdict
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._session import bounded, extended, sample_ids
-from ._text import segment_max, slices, span_hashes, words
+from ._text import handed_back, segment_max, slices, span_hashes, words
 
 WIDTH = 24
 REACH = 7  # the farthest that a subsequence's last character is from its first
@@ -407,7 +408,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     ids = sample_ids(labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias(label)), key, label, per_label, seed)
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(ids), key).select(key, label, "_t").dropDuplicates([key, label]).collect()
     rows.sort(key=lambda r: (r[0], r[1]))
-    return fit([r[2] for r in rows], np.array([int(r[1] > 0) for r in rows]))
+    texts, labels_ = [r[2] for r in rows], np.array([int(r[1] > 0) for r in rows])
+    del rows
+    model = fit(texts, labels_)
+    del texts
+    gc.collect()
+    handed_back()
+    return model
 
 
 class Scorer:
