@@ -128,8 +128,9 @@ def variable_genes(ranked: DataFrame, n_samples: int, n_top: int) -> DataFrame:
 def rank_sum(expr: DataFrame, groups: DataFrame, n_genes_cells: int, top: int = 100) -> DataFrame:
     """Wilcoxon rank-sum of each group against the rest, by gene, with tie correction; zeros are values of equal rank.
 
-    expr: (cell, gene, value > 0), groups: (cell, group).  Returns group, gene, z, p, lfc, the ``top`` of each group by z."""
+    expr: (cell, gene, value > 0), groups: (cell, group).  Returns group, gene, z, p, padj, lfc, the ``top`` of each group by z; padj adjusts over all genes of the group."""
     from tessella.functions import exprs as E
+    from tessella.operators.relational import bh_fdr
 
     sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("m"))
     n = n_genes_cells
@@ -142,14 +143,40 @@ def rank_sum(expr: DataFrame, groups: DataFrame, n_genes_cells: int, top: int =
     ties = ties.select("gene", "k", (F.col("tt") + zeros * zeros * zeros - zeros).alias("tt"))
     per = some.join(tied.select("gene", "value", "rank"), ["gene", "value"]).groupBy("group", "gene").agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("e"), F.sum(F.expm1("value")).alias("s"))
     every = some.groupBy("gene").agg(F.sum(F.expm1("value")).alias("all"))
-    x = per.join(sizes, "group").join(ties, "gene").join(every, "gene")
+    labels = [r[0] for r in sizes.select("group").collect()]
+    grid = ties.withColumn("group", F.explode(F.array(*map(F.lit, labels)))) if labels else ties.join(sizes.select("group"), F.lit(False))
+    x = grid.join(F.broadcast(sizes), "group").join(per, ["group", "gene"], "left").fillna(0.0, ["r", "s"]).fillna(0, ["e"]).join(every, "gene")
     m = F.col("m")
     rank = F.col("r") + (m - F.col("e")) * (zeros + 1) / 2
     sd = F.sqrt(m * (n - m) / 12.0 * ((n + 1) - F.col("tt") / (n * (n - 1))))
     x = x.withColumn("z", (rank - m * (n + 1) / 2) / sd).withColumn("p", F.expr(E.two_sided_p("z")))
     x = x.withColumn("lfc", F.log2((F.col("s") / m + 1e-9) / ((F.col("all") - F.col("s")) / (n - m) + 1e-9)))
     best = Window.partitionBy("group").orderBy(F.desc("z"), "gene")
-    return x.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= top).select("group", "gene", "z", "p", "lfc")
+    x = bh_fdr(x, "p", ["group"]).withColumnRenamed("q", "padj")
+    return x.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= top).select("group", "gene", "z", "p", "padj", "lfc")
+
+
+def significant_genes(ranked: DataFrame, alpha: float = 0.05, lfc: float = 0.25) -> DataFrame:
+    """Rows of :func:`rank_sum` with padj < alpha and |lfc| > lfc."""
+    return ranked.where((F.col("padj") < alpha) & (F.abs("lfc") > lfc))
+
+
+def high_quality(expr: DataFrame, groups: DataFrame, n_genes: int, k: float = 1.0) -> DataFrame:
+    """(cell, high_quality): whether a cell's module score for its own group's significant genes reaches the group's threshold.
+
+    expr: normalised (cell, gene, value), groups: (cell, group).  A group without significant genes has scores 0 and keeps all."""
+    chosen = significant_genes(rank_sum(expr, groups, groups.count()))
+    sets: dict = {}
+    for r in chosen.select("group", "gene").collect():  # a hundred genes a group at most
+        sets.setdefault(r["group"], []).append(r["gene"])
+    scores = groups.join(expr.select("cell").limit(0), "cell").select("cell", "group", F.lit(0.0).alias("score"))
+    for g, genes in sorted(sets.items()):
+        own = groups.where(F.col("group") == F.lit(g))
+        scores = scores.unionByName(own.join(module_score(expr, genes, n_genes), "cell").select("cell", "group", "score"))
+    every = groups.join(scores, ["cell", "group"], "left").fillna(0.0, ["score"])
+    return every.join(F.broadcast(quality_threshold(every, "group", k=k)), "group").select("cell", (F.col("score") >= F.col("threshold")).alias("high_quality"))
+
+
 
 
 def module_score(expr: DataFrame, genes: Sequence[str], n_genes: int, bins: int = 25, controls: int = 50, seed: int = 0) -> DataFrame:

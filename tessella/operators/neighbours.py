@@ -106,8 +106,9 @@ def embedding_knn(query: DataFrame, pool: DataFrame, k: int, key: str = "vec_id"
     return out
 
 
-def fuzzy_weights(neighbours: DataFrame, key: str, k: int, steps: int = 40) -> DataFrame:
-    """Weights exp(-max(0, dist - rho) / sigma), sigma by bisection so that they sum to log2 k; normalised to 1, largest first."""
+def fuzzy_weights(neighbours: DataFrame, key: str, k: int, steps: int = 40, normalised: bool = True) -> DataFrame:
+    """Weights exp(-max(0, dist - rho) / sigma), rho the least distance over 0, sigma by bisection so that they sum to
+    log2 k; a row's own place has none.  Normalised to 1 unless asked otherwise."""
     import pandas as pd
 
     def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -118,10 +119,34 @@ def fuzzy_weights(neighbours: DataFrame, key: str, k: int, steps: int = 40) -> D
             s = (lo + hi) / 2
             lo, hi = (s, hi) if np.exp(-np.maximum(0, d - rho) / s).sum() < np.log2(k) else (lo, s)
         w = np.exp(-np.maximum(0, d - rho) / hi)
-        return pdf.assign(weight=w / w.sum())[[key, "nbr", "weight"]]
+        return pdf.assign(weight=w / w.sum() if normalised else w)[[key, "nbr", "weight"]]
 
     kind = dict(neighbours.dtypes)
-    return neighbours.select(key, "nbr", "dist").groupBy(key).applyInPandas(weigh, f"`{key}` {kind[key]}, nbr {kind['nbr']}, weight double")
+    others = neighbours.where(F.col(key) != F.col("nbr"))
+    return others.select(key, "nbr", "dist").groupBy(key).applyInPandas(weigh, f"`{key}` {kind[key]}, nbr {kind['nbr']}, weight double")
+
+
+def fuzzy_union(weights: DataFrame, k: int, key: str = "cell") -> DataFrame:
+    """The symmetric union a + b - a b of directed weights; each row's k heaviest neighbours, normalised to 1."""
+    back = weights.select(F.col("nbr").alias(key), F.col(key).alias("nbr"), F.col("weight").alias("_b"))
+    both = weights.join(back, [key, "nbr"], "full").fillna(0.0, ["weight", "_b"]).withColumn("weight", F.col("weight") + F.col("_b") - F.col("weight") * F.col("_b")).drop("_b")
+    best = top_k(both, [key], [F.desc("weight"), "nbr"], k)
+    total = F.sum("weight").over(Window.partitionBy(key))
+    return best.withColumn("weight", F.when(total > 0, F.col("weight") / total).otherwise(0.0))
+
+
+def embedding_graph(cells: DataFrame, k: int, vector: str = "emb_cell", by: str = "annotation", key: str = "cell") -> DataFrame:
+    """(key, nbr, weight): the k-NN graph of embeddings within each group, for cells that have no place."""
+    numbered = cells.select(key, by, vector, F.xxhash64(key).alias("_id"))
+    out = None
+    for (g,) in cells.select(by).distinct().orderBy(by).collect():  # a group's label each
+        own = numbered.where(F.col(by).eqNullSafe(F.lit(g))).select("_id", vector)
+        near = embedding_knn(own, own, k, "_id", vector, "euclidean").select("_id", "nbr", (-F.col("sim")).alias("dist"))
+        part = fuzzy_union(fuzzy_weights(near, "_id", k, normalised=False), k, "_id")
+        out = part if out is None else out.unionByName(part)
+    names = numbered.select("_id", key)
+    named = out.join(names, "_id").select(key, F.col("nbr").alias("_id"), "weight")
+    return named.join(names.withColumnRenamed(key, "nbr"), "_id").select(key, "nbr", "weight")
 
 
 def cross_slice_knn(cells: DataFrame, k: int, k_adjacent: int, n_adjacent: int = 1, by: Sequence[str] = ("annotation",), slice_col: str = "slice", key: str = "cell", coords: Sequence[str] = ("x", "y")) -> DataFrame:
@@ -162,7 +187,7 @@ def homogeneous(neighbours: DataFrame, cells: DataFrame, k: int, cell_threshold:
 
 def neighbour_qc(homog: DataFrame, key: str = "cell") -> DataFrame:
     """(key, n_valid, median_sim) over similarities over 0."""
-    return homog.groupBy(key).agg(F.count_if("sim > 0").alias("n_valid"), F.expr("percentile(CASE WHEN sim > 0 THEN sim END, 0.5D)").alias("median_sim"))
+    return homog.groupBy(key).agg(F.count_if(F.col("sim") > 0).alias("n_valid"), F.expr("percentile(CASE WHEN sim > 0 THEN sim END, 0.5D)").alias("median_sim"))
 
 
 def graph_edges(neighbours: DataFrame, key: str = "cell", symmetric: bool = True) -> DataFrame:

@@ -150,19 +150,26 @@ def bonferroni(df: DataFrame, p: str, by: Sequence[str], alpha: float = 0.05) ->
 
 
 def stratified_sample(df: DataFrame, by: str, key: str, n: int, seed: int = 42, at_least: int = 1, ceil: bool = True) -> DataFrame:
-    """About n rows: each stratum gives max(at_least, n * its share), rounded up (or down), by order of a seeded hash."""
+    """About n rows: each stratum gives max(at_least, n * its share) by order of a seeded hash, rounded up and then trimmed to
+    n in all, or rounded down."""
     counts = df.groupBy(by).count()
     total = df.count()
     share = F.lit(n) * F.col("count") / total
     quota = counts.withColumn("_quota", F.greatest(F.lit(at_least), (F.ceil(share) if ceil else F.floor(share)).cast("long"))).select(by, "_quota")
     most = quota.agg(F.max("_quota")).head()[0] or 0  # a constant bound, so that each map task sends on no more rows of a stratum
     w = Window.partitionBy(by).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).join(F.broadcast(quota) if quota.count() <= 100_000 else quota, by).where("_n <= _quota").drop("_n", "_quota")
+    out = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).join(F.broadcast(quota) if quota.count() <= 100_000 else quota, by).where("_n <= _quota").drop("_quota")
+    if not ceil:
+        return out.drop("_n")
+    # each stratum's first row comes before any second one, so that a trim empties none while n lasts
+    return out.orderBy(F.col("_n") > at_least, F.xxhash64(F.col(key), F.lit(seed + 1)), key).limit(n).drop("_n")
 
 
-def cumulative_position(df: DataFrame, chrom: str = "chrom", pos: str = "pos", name: str = "cum_pos") -> DataFrame:
-    """Positions shifted by the greatest positions of all earlier chromosomes; one row a chromosome is gathered."""
-    last = df.groupBy(chrom).agg(F.max(pos).alias("_last"))
+def cumulative_position(df: DataFrame, chrom: str = "chrom", pos: str = "pos", name: str = "cum_pos", order: Sequence[Order] = ()) -> DataFrame:
+    """Positions shifted by the last positions of all earlier chromosomes; one row a chromosome is gathered.
+
+    A chromosome's last position is that of its last row in ``order``, by default in order of position."""
+    last = df.groupBy(chrom).agg(F.max_by(pos, F.struct(*(F.col(o) if isinstance(o, str) else o for o in order))).alias("_last") if order else F.max(pos).alias("_last"))
     w = Window.orderBy(chrom).rowsBetween(Window.unboundedPreceding, -1)
     offset = last.withColumn("_offset", F.coalesce(F.sum("_last").over(w), F.lit(0))).select(chrom, "_offset")
     return df.join(F.broadcast(offset), chrom).withColumn(name, F.col(pos) + F.col("_offset")).drop("_offset")

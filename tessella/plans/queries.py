@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import exprs as E
@@ -75,11 +75,6 @@ def enrichment_2x2(spark, d):
     return rounded(S.enrichment(view(spark, d, "spots").withColumn("sig", F.col("p") < 0.05), "annotation", "sig"))
 
 
-@query()
-def enrichment_fisher(spark, d):
-    return S.with_fisher(S.enrichment(view(spark, d, "spots").withColumn("sig", F.col("p") < 0.05), "annotation", "sig"))
-
-
 GOOD = "INFO >= 0.9 AND FRQ BETWEEN 0 AND 1 AND least(FRQ, 1 - FRQ) > 0.01 AND P > 0 AND P <= 1 AND upper(A1) || upper(A2) IN ('AC','AG','CA','CT','GA','GT','TC','TG')"
 
 
@@ -287,18 +282,18 @@ def knn_graph(spark, d):
     return K.graph_edges(K.knn(c, c, 5, ["annotation"]))
 
 
-EDGES = """e AS (SELECT DISTINCT a.cell AS src, b.cell AS dst FROM cells a JOIN cells b ON a.slice = b.slice AND a.annotation = b.annotation AND a.cell <> b.cell),
-    f AS (SELECT src, dst FROM e UNION ALL SELECT cell, cell FROM cells), g AS (SELECT dst, count(*) AS n FROM f GROUP BY 1)"""
+EDGES = f"""r AS (SELECT a.cell, b.cell AS nbr, row_number() OVER (PARTITION BY a.cell ORDER BY {DIST}, b.cell) AS pos FROM cells a JOIN cells b ON a.annotation = b.annotation),
+    u AS (SELECT DISTINCT least(cell, nbr) AS src, greatest(cell, nbr) AS dst FROM r WHERE pos <= 5 AND cell <> nbr), f AS (SELECT src, dst FROM u UNION ALL SELECT dst, src FROM u UNION ALL SELECT cell, cell FROM cells),
+    g AS (SELECT dst, count(*) AS n FROM f GROUP BY 1)"""
 
 
 @query(f"""WITH {EDGES}, h1 AS (SELECT f.dst AS cell, sum(c.x / sqrt(gs.n * gt.n)) AS v FROM f JOIN cells c ON c.cell = f.src JOIN g gs ON gs.dst = f.src JOIN g gt ON gt.dst = f.dst GROUP BY 1),
     h2 AS (SELECT f.dst AS cell, sum(h1.v / sqrt(gs.n * gt.n)) AS v FROM f JOIN h1 ON h1.cell = f.src JOIN g gs ON gs.dst = f.src JOIN g gt ON gt.dst = f.dst GROUP BY 1)
-    SELECT cell, 1 AS hop, round(v * 0.987654321, 3) AS value FROM h1 UNION ALL SELECT cell, 2, round(v * 0.987654321, 3) FROM h2""")
+    SELECT cell, 1 AS hop, round(v, 5) AS value FROM h1 UNION ALL SELECT cell, 2, round(v, 5) FROM h2""")
 def gcn_hop(spark, d):
     c = view(spark, d, "cells")
-    e = c.alias("a").join(c.alias("b"), (F.col("a.slice") == F.col("b.slice")) & (F.col("a.annotation") == F.col("b.annotation")) & (F.col("a.cell") != F.col("b.cell"))).select(F.col("a.cell").alias("src"), F.col("b.cell").alias("dst")).distinct()
-    out = K.propagate(e, c.select("cell", F.lit("x").alias("feature"), F.col("x").alias("value")), 2)
-    return out.select("cell", "hop", F.round(F.col("value") * 0.987654321, 3).alias("value"))
+    out = K.propagate(K.graph_edges(K.knn(c, c, 5, ["annotation"])), c.select("cell", F.lit("x").alias("feature"), F.col("x").alias("value")), 2)
+    return rounded(out.select("cell", "hop", "value"), 5)
 
 
 NEAR = "SELECT a.cell, b.cell AS nbr, 1.0::DOUBLE / (1 + abs(a.cell - b.cell)) AS weight, (b.cell % 2)::INT AS slot FROM (SELECT DISTINCT cell FROM expr) a JOIN (SELECT DISTINCT cell FROM expr) b ON b.cell BETWEEN a.cell - 2 AND a.cell + 2"
@@ -359,28 +354,34 @@ def variant_stats(spark, d):
     return rounded(L.variant_stats(genotypes(spark, d)).select("snp", F.col("n_seen").cast("long").alias("n_seen"), "mean", "std", "maf"))
 
 
+VARIANTS = "v AS (SELECT snp, row_number() OVER (ORDER BY snp) - 1 AS row_idx, (row_number() OVER (ORDER BY snp) - 1) // 5 AS batch FROM (SELECT DISTINCT snp FROM geno))"
+BAND = "w AS (SELECT batch, min(row_idx) - 6 AS lo, max(row_idx) + 6 AS hi FROM v GROUP BY batch)"  # of batches of five, six variants on either side
 L2 = "SELECT a.snp AS target, b.snp AS ref, power(corr(a.dosage, b.dosage), 2) - (1 - power(corr(a.dosage, b.dosage), 2)) / (count(*) - 2) AS l2 FROM geno a JOIN geno b USING (sample) GROUP BY 1, 2"
+L2_BAND = f"SELECT l.* FROM ({L2}) l JOIN v t ON t.snp = l.target JOIN v r ON r.snp = l.ref JOIN w ON w.batch = t.batch WHERE r.row_idx >= w.lo AND r.row_idx < w.hi"
+
+
+def variants(spark, d) -> DataFrame:
+    """The brands as variants of one chromosome, in order of name."""
+    snps = view(spark, d, "geno").select("snp").distinct()
+    return snps.select("snp", F.lit("1").alias("chrom"), (F.row_number().over(Window.orderBy("snp")) - 1).cast("long").alias("row_idx")).withColumn("pos", F.col("row_idx") * 1000).withColumn("cm", F.lit(0.0))
 
 
 def l2_table(spark, d) -> DataFrame:
-    g = genotypes(spark, d)
-    names = g.select("snp")
-    # every pair of the brands: a band whose window holds them all
-    pairs = names.select(F.col("snp").alias("target"), F.lit(1).alias("_k")).join(names.select(F.col("snp").alias("ref"), F.lit(1).alias("_k")), "_k").drop("_k")
-    return L.ld_r2(g, pairs)
+    v = variants(spark, d)
+    return L.ld_r2(genotypes(spark, d), L.ld_pairs(v, v, 6, "SNP", 5))
 
 
-@query(f"SELECT target, ref, round(l2, 5) AS l2 FROM ({L2})")
+@query(f"WITH {VARIANTS}, {BAND} SELECT target, ref, round(l2, 5) AS l2 FROM ({L2_BAND})")
 def ld_r2(spark, d):
     return rounded(l2_table(spark, d), 5)
 
 
-@query(f"SELECT target AS snp, round(sum(l2), 4) AS l2 FROM ({L2}) GROUP BY 1")
+@query(f"WITH {VARIANTS}, {BAND} SELECT target AS snp, round(sum(l2), 4) AS l2 FROM ({L2_BAND}) GROUP BY 1")
 def ld_score(spark, d):
     return rounded(L.ld_scores(l2_table(spark, d)), 4)
 
 
-@query(f"SELECT target AS snp, substr(ref, 1, 7) AS feature, round(sum(l2), 4) AS w FROM ({L2}) GROUP BY 1, 2")
+@query(f"WITH {VARIANTS}, {BAND} SELECT target AS snp, substr(ref, 1, 7) AS feature, round(sum(l2), 4) AS w FROM ({L2_BAND}) GROUP BY 1, 2")
 def ld_weight_matmul(spark, d):
     m = view(spark, d, "geno").select("snp").distinct().select("snp", F.substring("snp", 1, 7).alias("feature"), F.lit(1.0).alias("weight"))
     return rounded(L.ld_weights(l2_table(spark, d), m), 4)
@@ -428,9 +429,11 @@ def bonferroni(spark, d):
     return rounded(R.bonferroni(view(spark, d, "spots"), "p", ["annotation"]), 10)
 
 
-@query("WITH t AS (SELECT count(*) AS n FROM spots) SELECT annotation, greatest(1, ceil(200 * count(*) / max(t.n)::DOUBLE))::BIGINT AS n FROM spots, t GROUP BY 1")
+@query("SELECT annotation, least(count(*), 40) AS n FROM (SELECT annotation, row_number() OVER (PARTITION BY annotation) AS k FROM spots) WHERE k <= 40 GROUP BY 1")
 def stratified_sample_counts(spark, d):
-    return R.stratified_sample(view(spark, d, "spots"), "annotation", "spot", 200).groupBy("annotation").agg(F.count(F.lit(1)).alias("n"))
+    """Strata of equal size, forty rows each of two hundred."""
+    s = view(spark, d, "spots").withColumn("_k", F.row_number().over(Window.partitionBy("annotation").orderBy("spot"))).where("_k <= 40")
+    return R.stratified_sample(s, "annotation", "spot", 200).groupBy("annotation").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT gene, round(corr(value, cell::DOUBLE), 6) AS pcc FROM expr GROUP BY gene")
@@ -511,16 +514,6 @@ def align_fill(spark, d):
     return R.align_fill(view(spark, d, "points"), w, "snp")
 
 
-@query("""WITH g AS (SELECT gene, count(*) AS n, median(value) AS variance, count(*) FILTER (WHERE value > 40) AS times FROM expr WHERE true GROUP BY gene) SELECT gene, times::BIGINT AS times, round(variance, 6) AS variance FROM g""")
-def hvg_consensus(spark, d):
-    e = view(spark, d, "expr").select("gene", F.col("value").alias("variance"), (F.col("value") > 40).alias("highly_variable"))
-    per = e.groupBy("gene").count()
-    n = per.count()
-    same = e.join(per, "gene")  # each gene has as many samples as rows of its own
-    out = same.groupBy("gene").agg(F.expr("percentile(variance, 0.5D)").alias("variance"), F.sum(F.col("highly_variable").cast("int")).alias("times"))
-    return out.orderBy(F.desc_nulls_last("times"), F.desc_nulls_last("variance"), "gene").limit(n).select("gene", "times", F.round("variance", 6).alias("variance"))
-
-
 @query("WITH t AS (SELECT cell, sum(value) AS t FROM expr GROUP BY 1) SELECT cell, gene, round(ln(1 + value * 10000 / t), 6) AS value FROM expr JOIN t USING (cell)")
 def lognorm(spark, d):
     return rounded(X.normalise(view(spark, d, "expr")))
@@ -534,12 +527,6 @@ def gene_dispersion(spark, d):
     return out.select("gene", F.round("mean", 4).alias("mean"), F.round("dispersion", 3).alias("dispersion"))
 
 
-@query()
-def gene_variance(spark, d):
-    e = view(spark, d, "expr")
-    return rounded(X.gene_variance(e, e.select("cell").distinct().count()))
-
-
 @query(f"""WITH n AS (SELECT count(DISTINCT cell) AS n FROM expr), x AS (SELECT gene, cell % 3 AS grp, value, rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OVER (PARTITION BY gene, value) - 1) / 2.0::DOUBLE AS k, count(*) OVER (PARTITION BY gene) AS e FROM expr),
     m AS (SELECT cell % 3 AS grp, count(DISTINCT cell) AS m FROM expr GROUP BY 1), tie AS (SELECT gene, sum(power(t, 3) - t) AS tt FROM (SELECT gene, value, count(*)::DOUBLE AS t FROM expr GROUP BY 1, 2) GROUP BY 1),
     s AS (SELECT x.gene, x.grp, sum(n - e + k) + (max(m) - count(*)) * (max(n) - max(e) + 1) / 2.0::DOUBLE AS r, max(m) AS m, max(n)::DOUBLE AS n, max(tt) + power((max(n) - max(e))::DOUBLE, 3) - (max(n) - max(e)) AS tt FROM x JOIN m ON m.grp = x.grp JOIN tie ON tie.gene = x.gene, n GROUP BY 1, 2)
@@ -550,12 +537,6 @@ def rank_sum(spark, d):
     return rounded(X.rank_sum(e, g, g.count()).select("group", "gene", "z"), 5)
 
 
-@query()
-def module_score(spark, d):
-    e = view(spark, d, "expr")
-    return rounded(X.module_score(e, [r[0] for r in e.select("gene").distinct().orderBy("gene").limit(5).collect()], 25, bins=5))
-
-
 @query("SELECT annotation, round(greatest(0, quantile_cont(value, 0.5) - (quantile_cont(value, 0.75) - quantile_cont(value, 0.25))), 6) AS threshold FROM spots GROUP BY 1")
 def quality_threshold(spark, d):
     return rounded(X.quality_threshold(view(spark, d, "spots"), "annotation", "value"))
@@ -607,13 +588,6 @@ def median_nearest_distance(spark, d):
     return K.knn(c, c, 2, ["annotation"]).where(F.col("cell") != F.col("nbr")).groupBy("annotation").agg(F.round(F.expr("percentile(dist, 0.5D)"), 5).alias("median_distance"))
 
 
-@query()
-def homogeneous_topk(spark, d):
-    e = view(spark, d, "embeddings").select(F.col("vec_id").alias("cell"), F.col("embedding").alias("emb_cell"), F.col("embedding").alias("emb_niche"), F.col("label").cast("string").alias("annotation"), (F.col("vec_id") % 97).cast("double").alias("x"), (F.col("vec_id") % 89).cast("double").alias("y"))
-    near = K.knn(e, e, 12, ["annotation"]).withColumn("slot", F.lit(0))
-    return rounded(K.homogeneous(near, e, 5))
-
-
 @query()
 def embedding_pca(spark, d):
     return K.principal_components(view(spark, d, "embeddings"), "embedding", 2).select("vec_id", F.expr("transform(pca, x -> round(abs(x), 5))").alias("pca"))

@@ -135,7 +135,7 @@ def read_mapping(spark: SparkSession, path: str, sep: str | None = None) -> Data
     sep = sep or max("\t,; ", key=first.count)
     df = read_delimited(spark, path, sep)
     snp, feature = ("SNP", "Feature") if {"SNP", "Feature"} <= set(df.columns) else df.columns[:2]
-    df = df.select(F.col(snp).alias("snp"), F.col(feature).alias("feature"), F.monotonically_increasing_id().alias("_at"))
+    df = df.select(F.col(snp).alias("snp"), F.col(feature).alias("feature"), F.struct(F.input_file_name(), F.input_file_block_start(), F.monotonically_increasing_id()).alias("_at"))
     return df.groupBy("snp").agg(F.max_by("feature", "_at").alias("feature"))
 
 
@@ -204,6 +204,7 @@ def trait_manifest(name: str | None = None, path: str | None = None, config: dic
 
 
 def read_sumstats(spark: SparkSession, path: str) -> DataFrame:
-    """(snp, z, n), first of repeated SNPs in order of the rows' values; rows without Z or N go."""
-    df = read_whitespace(spark, path)
-    return df.select(F.col("SNP").alias("snp"), F.col("Z").cast("double").alias("z"), F.col("N").cast("double").alias("n")).dropna().groupBy("snp").agg(F.min(F.struct("z", "n")).alias("r")).select("snp", "r.z", "r.n")
+    """(snp, z, n), the first of repeated SNPs in order of file and row; rows without Z or N go."""
+    df = read_whitespace(spark, path).withColumn("_at", F.struct(F.input_file_name(), F.input_file_block_start(), F.monotonically_increasing_id()))
+    rows = df.select(F.col("SNP").alias("snp"), F.col("Z").cast("double").alias("z"), F.col("N").cast("double").alias("n"), "_at").dropna()
+    return rows.groupBy("snp").agg(F.min_by(F.struct("z", "n"), "_at").alias("r")).select("snp", "r.z", "r.n")

@@ -186,3 +186,42 @@ def test_propagation_keeps_constants_on_regular_graphs(spark):
     edges = spark.createDataFrame([(i, (i + d) % n) for i in range(n) for d in (1, n - 1)], "src long, dst long")
     x = spark.createDataFrame([(i, "f", 2.0) for i in range(n)], "cell long, feature string, value double")
     assert {round(r["value"], 9) for r in neighbours.propagate(edges, x, 3).collect()} == {2.0}
+
+
+def test_regression_of_cells_equals_plain_numpy(spark, monkeypatch):
+    """Block by block against weighted least squares over all SNPs, with an extra annotation and a gene without weights."""
+    from tessella.operators import ldscores
+
+    monkeypatch.setattr(ldscores, "ENTRIES", 300)  # several passes
+    monkeypatch.setattr(ldscores, "CHUNK", 40)
+    monkeypatch.setattr(ldscores, "CELLS", 2)
+    rng = np.random.default_rng(7)
+    n, genes, cells, b = 203, 9, 5, 10
+    w = rng.exponential(size=(n, genes)) * (rng.random((n, genes)) < 0.3)
+    un = rng.exponential(size=n)
+    score = rng.exponential(size=(cells, genes + 1)) * (rng.random((cells, genes + 1)) < 0.7)
+    z, size, l2, extra = rng.normal(size=n) * 1.4, rng.uniform(2e4, 6e4, n), 0.5 + rng.exponential(size=n), rng.random(n)
+    frame = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    weights = frame([(f"s{i:03}", f"g{j}", float(w[i, j])) for i in range(n) for j in range(genes) if w[i, j]] + [(f"s{i:03}", "Unmapped", float(un[i])) for i in range(n)], "snp string, feature string, w double")
+    scores = frame([(c, f"g{j}", float(score[c, j])) for c in range(cells) for j in range(genes + 1) if score[c, j]], "cell long, gene string, score double")
+    table = frame([(f"s{i:03}", float(z[i]), float(size[i]), i) for i in range(n)], "snp string, z double, n double, row_idx long")
+    got = {r["cell"]: r for r in ldscores.spatial_ldsc(weights, scores, table, frame([(f"s{i:03}", float(l2[i])) for i in range(n)], "snp string, l2 double"), b, frame([(f"s{i:03}", float(extra[i])) for i in range(n)], "snp string, e double")).collect()}
+    m = n // b * b
+    n_bar = size.mean()
+    base, every, y = (un + w.sum(1))[:m], w.sum(1)[:m], (z * z)[:m]
+    block = np.arange(m) // (m // b)
+    for c in range(cells):
+        ld = (w @ score[c, :genes])[:m]
+        hsq = min(1.0, max(0.0, 10000 * (y.mean() - 1) / ((ld + base) * size[:m]).mean()))
+        wt = np.sqrt(1 / (2 * (1 + hsq * size[:m] / 10000 * np.maximum(ld + base, 1)) ** 2 * np.maximum(l2[:m], 1)))
+        x = np.stack([ld, *(v * size[:m] / n_bar for v in (base, every, extra[:m])), np.ones(m)], 1) * wt[:, None]
+        yw = y * wt
+        full = np.linalg.solve(x.T @ x, x.T @ yw)
+        pseudo = []
+        for k in range(b):
+            on = block != k
+            pseudo.append(b * full - (b - 1) * np.linalg.solve(x[on].T @ x[on], x[on].T @ yw[on]))
+        pseudo = np.array(pseudo)[:, 0]
+        assert got[c]["beta"] == pytest.approx(pseudo.mean() / n_bar, rel=1e-6)
+        assert got[c]["se"] == pytest.approx(np.sqrt(pseudo.var(ddof=1) / b) / n_bar, rel=1e-6)
+    assert ldscores.spatial_ldsc(weights.limit(0), scores, table.limit(0), weights.limit(0).selectExpr("snp", "w AS l2"), b).count() == 0

@@ -41,11 +41,71 @@ def test_all_steps(spark, tissue):
     assert any("window.REGIONS = " in r[0] for r in spark.read.text(str(tissue / "out/report/regions")).collect())
 
 
+def small(tissue, out, **more):
+    given = dict(expr=str(tissue / "expr"), cells=str(tissue / "cells"), weights=str(tissue / "weights"), w_ld=str(tissue / "w_ld"), sumstats={"height": str(tissue / "trait")}, n_variable_genes=20, n_components=5, spatial_neighbours=12, homogeneous_neighbours=5, n_blocks=20, min_cells=5, min_genes=5)
+    return workflow.Config(project=str(tissue / out), **{**given, **more})
+
+
+@pytest.fixture(scope="module")
+def single_cells(spark, tissue):
+    """Cells of three kinds without places, with embeddings of their own and two samples."""
+    rng = np.random.default_rng(99)
+    centre = rng.normal(size=(3, 6)) * 3
+    rows = [(f"c{i}", "ABC"[i % 3], "sampleA" if i < 25 else "sampleB", i, (centre[i % 3] + rng.normal(size=6) * 0.5).tolist()) for i in range(60)]
+    spark.createDataFrame(rows, "cell string, annotation string, sample string, row long, X_own array<double>").write.parquet(str(tissue / "single"))
+    return str(tissue / "single")
+
+
+def test_single_cells_without_places(spark, tissue, single_cells):
+    c = small(tissue, "scrna", cells=single_cells, dataset="scrna", by_sample=True)
+    workflow.run(spark, c)
+    latent = spark.read.parquet(c.at("latent"))
+    assert "emb_niche" not in latent.columns and latent.count() == 60
+    assert spark.read.parquet(c.at("ldsc/trait=height")).count() == 60
+    assert {r["annotation"] for r in spark.read.parquet(c.at("cauchy")).collect()} == {"A", "B", "C"}
+    by_sample = spark.read.parquet(c.at("cauchy_by_sample")).collect()
+    assert {(r["annotation"], r["sample"]) for r in by_sample} == {(a, s) for a in "ABC" for s in ("sampleA", "sampleB")}
+
+
+def test_own_embeddings(spark, tissue, single_cells):
+    c = small(tissue, "own", cells=single_cells, dataset="scrna", own_embeddings=True, emb_cell="X_own", stop="latent_to_gene")
+    workflow.run(spark, c)
+    latent = spark.read.parquet(c.at("latent"))
+    assert latent.where("emb_cell = X_own").count() == 60
+    assert spark.read.parquet(c.at("gss")).select("cell").distinct().count() > 50
+
+
+@pytest.mark.parametrize("more, cells", [({}, 60), ({"sample": "sampleA"}, 25), ({"cells_to": 25}, 25), ({"sample": "sampleB", "cells_from": 5, "cells_to": 15}, 10)])
+def test_own_scores_of_a_sample_or_a_range(spark, tissue, single_cells, more, cells):
+    rng = np.random.default_rng(20)
+    path = str(tissue / "scores")
+    spark.createDataFrame([(f"c{i}", f"G{j}", float(rng.uniform())) for i in range(60) for j in range(40)], "cell string, gene string, score double").write.mode("overwrite").parquet(path)
+    c = small(tissue, "scores_" + "_".join(map(str, more.values())), cells=single_cells, own_scores=path, start="spatial_ldsc", stop="cauchy", **more)
+    workflow.run(spark, c)
+    got = {r["cell"] for r in spark.read.parquet(c.at("ldsc/trait=height")).collect()}
+    assert len(got) == cells
+    if more == {"cells_to": 25}:
+        assert got == {f"c{i}" for i in range(25)}
+
+
+def test_high_quality_pool(spark, tissue):
+    c = small(tissue, "quality", high_quality=True, stop="latent_to_gene")
+    workflow.run(spark, c)
+    latent = spark.read.parquet(c.at("latent"))
+    kept = latent.where("high_quality").count()
+    assert 0 < kept < 60 and latent.count() == 60
+    assert spark.read.parquet(c.at("gss")).select("cell").distinct().count() > 50
+
+
 def test_settings():
     with pytest.raises(ValueError):
         workflow.Config("x", start="report", stop="cauchy")
     with pytest.raises(ValueError):
         workflow.Config("x", homogeneous_neighbours=50, spatial_neighbours=20)
+    with pytest.raises(ValueError):
+        workflow.Config("x", dataset="bulk")
+    with pytest.raises(ValueError):
+        workflow.Config("x", cells_from=9, cells_to=3)
 
 
 def test_format_sumstats(spark, tmp_path):
