@@ -222,6 +222,62 @@ def test_dense_group_of_near_copies(spark, make_docs):
     assert got == {i: root(i) for i in range(150)}
 
 
+@pytest.mark.parametrize("kind", ["one group", "two groups and a link", "a chain"])
+def test_large_groups_of_near_copies(spark, make_docs, kind):
+    """Thousands of near-copies against all pairs: every component, and candidates of which there are far fewer than pairs."""
+    rng = np.random.default_rng(11)
+    m, n = 3000, 70
+
+    def copies(base, many, most, tag):
+        out = []
+        for i in range(many):
+            w = list(base)
+            for j in rng.choice(n, rng.integers(0, most + 1), replace=False):
+                w[j] = f"{tag}{i}_{j}"
+            out.append(w)
+        return out
+
+    base = [f"b{i}" for i in range(n)]
+    if kind == "one group":
+        docs = copies(base, m, 4, "x")
+    elif kind == "two groups and a link":
+        far = [w if i not in (20, 35, 50) else f"f{i}" for i, w in enumerate(base)]  # 15 of 66 shingles differ: under the border
+        bridge = [w if i not in (20, 35) else f"f{i}" for i, w in enumerate(base)]
+        docs = [*copies(base, m // 2, 1, "x"), *copies(far, m // 2, 1, "y"), bridge]
+    else:
+        docs, w = [], list(base)
+        for i in range(m):
+            w = list(w)
+            w[(i * 7) % n] = f"c{i}"
+            docs.append(w)
+    ids = rng.permutation(len(docs))
+    rows = [(int(i), " ".join(w)) for i, w in zip(ids, docs, strict=True)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(make_docs(rows)).select("doc_id", "component_id").collect()}
+    number: dict = {}
+    sets = [sorted({number.setdefault(tuple(w[j : j + 5]), len(number)) for j in range(n - 4)}) for w in docs]
+    holders = defaultdict(list)
+    for d, s in enumerate(sets):
+        for x in s:
+            holders[x].append(d)
+    up = list(range(len(docs)))
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    size = np.array([len(s) for s in sets])
+    for d, s in enumerate(sets):
+        shared = np.bincount(np.concatenate([np.array(holders[x]) for x in s]), minlength=len(docs))[:d]
+        for e in np.flatnonzero(100 * shared >= 85 * (size[:d] + size[d] - shared)).tolist():
+            up[root(d)] = root(e)
+    least: dict = {}
+    for d in range(len(docs)):
+        least[root(d)] = min(least.get(root(d), 1 << 60), int(ids[d]))
+    assert got == {int(ids[d]): least[root(d)] for d in range(len(docs))}
+
+
 @pytest.mark.parametrize("members, differs, by", [(3000, 3, 1 << 15), (10, 2, 256)])
 def test_last_round_keeps_each_link(spark, members, differs, by):
     """Two groups in one region, large or small, and one link; of the first tree's values its ends differ in one."""
