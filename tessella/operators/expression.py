@@ -144,7 +144,7 @@ def rank_sum(expr: DataFrame, groups: DataFrame, n_genes_cells: int, top: int =
     per = some.join(tied.select("gene", "value", "rank"), ["gene", "value"]).groupBy("group", "gene").agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("e"), F.sum(F.expm1("value")).alias("s"))
     every = some.groupBy("gene").agg(F.sum(F.expm1("value")).alias("all"))
     labels = [r[0] for r in sizes.select("group").collect()]
-    grid = ties.withColumn("group", F.explode(F.array(*map(F.lit, labels)))) if labels else ties.join(sizes.select("group"), F.lit(False))
+    grid = ties.withColumn("group", F.explode(F.array(*map(F.lit, labels))).cast(dict(sizes.dtypes)["group"])) if labels else ties.join(sizes.select("group"), F.lit(False))
     x = grid.join(F.broadcast(sizes), "group").join(per, ["group", "gene"], "left").fillna(0.0, ["r", "s"]).fillna(0, ["e"]).join(every, "gene")
     m = F.col("m")
     rank = F.col("r") + (m - F.col("e")) * (zeros + 1) / 2
