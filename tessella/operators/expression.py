@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.relational import bh_fdr, quantiles
+
 
 def filter_cells(cells: DataFrame, annotation: str = "annotation", min_cells: int = 1, min_genes: int = 20, n_genes: str = "n_genes") -> DataFrame:
     """Cells with an annotation, in groups of at least ``min_cells`` annotated cells, with at least ``min_genes`` genes."""
@@ -130,7 +132,6 @@ def rank_sum(expr: DataFrame, groups: DataFrame, n_genes_cells: int, top: int =
 
     expr: (cell, gene, value > 0), groups: (cell, group).  Returns group, gene, z, p, padj, lfc, the ``top`` of each group by z; padj adjusts over all genes of the group."""
     from tessella.functions import exprs as E
-    from tessella.operators.relational import bh_fdr
 
     sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("m"))
     n = n_genes_cells
@@ -195,5 +196,5 @@ def module_score(expr: DataFrame, genes: Sequence[str], n_genes: int, bins: int
 
 def quality_threshold(scores: DataFrame, label: str, score: str = "score", k: float = 1.0) -> DataFrame:
     """(label, threshold): max(0, median - k * IQR) of each label's scores."""
-    q = scores.groupBy(label).agg(F.expr(f"percentile({score}, array(0.25D, 0.5D, 0.75D))").alias("q"))
+    q = quantiles(scores, score, [label], (0.25, 0.5, 0.75), "q")
     return q.select(label, F.greatest(F.lit(0.0), F.col("q")[1] - k * (F.col("q")[2] - F.col("q")[0])).alias("threshold"))

@@ -99,6 +99,45 @@ def band_join(targets: DataFrame, variants: DataFrame, batches: DataFrame, bin_s
     return v.join(spans, [chrom, "_bin"]).where((F.col(pos) >= F.col("lo")) & (F.col(pos) <= F.col("hi"))).drop("_bin")
 
 
+IN_MEMORY = 1_000_000  # rows of a group whose quantiles one task's memory holds
+NARROW = 20_000  # rows of a group of which all are ranked
+MARGIN = 0.0005  # on either side of a quantile, five times the sketch's error
+
+
+def in_memory(df: DataFrame, by: Sequence[str]) -> bool:
+    """Whether a task's memory holds any group's values."""
+    return (df.groupBy(*by).count().agg(F.max("count")).head()[0] or 0) <= IN_MEMORY
+
+
+def quantiles(df: DataFrame, value: str, by: Sequence[str], ps: Sequence[float], name: str = "_q") -> DataFrame:
+    """(by, name): exact quantiles of each group, interpolated between neighbours; nulls don't count.
+
+    Where a group may not fit in a task's memory, a sketch brackets each quantile, a count of what is below the bracket and
+    the ranks of the distinct values inside it give the exact neighbours."""
+    keys = list(by)
+    rows = df.where(F.col(value).isNotNull()).select(*(keys or [F.lit(1).alias("_all")]), F.col(value).cast("double").alias("_v"))
+    group = keys or ["_all"]
+    if in_memory(rows, group):
+        q = F.expr(f"percentile(_v, array({', '.join(f'{float(p)!r}D' for p in ps)}))").alias(name)
+        return rows.groupBy(*keys).agg(q)
+    n = len(ps)
+    asked = [x for p in ps for x in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+    whole = F.col("_n") <= NARROW
+    marks = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", asked, 10_000).alias("_a"))
+    marks = marks.select(*group, "_n", *(F.when(whole, F.lit(sign * float("inf"))).otherwise(F.col("_a")[2 * i + j]).alias(f"_{side}{i}") for i in range(n) for j, (side, sign) in enumerate((("lo", -1), ("hi", 1)))))
+    near = rows.join(marks, group)
+    below = near.groupBy(*group).agg(F.first("_n").alias("_n"), *(F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_b{i}") for i in range(n)))
+    inside = near.select(*group, "_v", F.explode(F.array(*(F.when(F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")), F.lit(i)) for i in range(n)))).alias("_i")).where("_i IS NOT NULL")
+    w = Window.partitionBy(*group, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.groupBy(*group, "_i", "_v").count().withColumn("_to", F.sum("count").over(w)).join(below, group)
+    at = [F.lit(float(p)) * (F.col("_n") - 1) for p in ps]
+    holds = lambda i, x: (F.col("_i") == i) & (x >= F.col(f"_b{i}") + F.col("_to") - F.col("count")) & (x < F.col(f"_b{i}") + F.col("_to"))
+    ends = [F.max(F.when(holds(i, f(at[i])), F.col("_v"))).alias(f"_{side}{i}") for i in range(n) for side, f in (("l", F.floor), ("h", F.ceil))]
+    found = ranked.groupBy(*group).agg(F.first("_n").alias("_n"), *ends)
+    pick = [F.when(F.col(f"_l{i}") == F.col(f"_h{i}"), F.col(f"_l{i}")).otherwise((F.ceil(at[i]) - at[i]) * F.col(f"_l{i}") + (at[i] - F.floor(at[i])) * F.col(f"_h{i}")) for i in range(n)]
+    return found.select(*keys, F.array(*pick).alias(name))
+
+
 def nway_join(tables: dict[str, DataFrame], key: str, value: str) -> DataFrame:
     """Inner join of many (key, value) tables, a column each: a union and one aggregation in place of a chain of joins."""
     names = list(tables)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import exprs as E
+from tessella.operators.relational import in_memory, quantiles
 
 
 def acat(p: str, w: str | None = None, strict: bool = False) -> Column:
@@ -28,15 +29,15 @@ def acat(p: str, w: str | None = None, strict: bool = False) -> Column:
 
 def iqr_trim(df: DataFrame, value: str, by: Sequence[str], k: float = 3.0) -> DataFrame:
     """Rows with value < median + k * (q75 - q25) of their group, strictly: a constant group is emptied."""
-    q = df.groupBy(*by).agg(F.expr(f"percentile({value}, array(0.25D, 0.5D, 0.75D))").alias("_q"))
+    q = quantiles(df, value, by, (0.25, 0.5, 0.75))
     return df.join(q, list(by)).where(F.col(value) < F.col("_q")[1] + k * (F.col("_q")[2] - F.col("_q")[0])).drop("_q")
 
 
 def mad_trim(df: DataFrame, value: str, by: Sequence[str], threshold: float = 3.5) -> DataFrame:
     """Rows with |0.6745 (x - median) / MAD| <= threshold; a group of MAD 0 is kept whole."""
-    m = df.groupBy(*by).agg(F.expr(f"percentile({value}, 0.5D)").alias("_m"))
+    m = quantiles(df, value, by, (0.5,)).select(*by, F.col("_q")[0].alias("_m"))
     near = df.join(m, list(by)).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
-    mad = near.groupBy(*by).agg(F.expr("percentile(_d, 0.5D)").alias("_mad"))
+    mad = quantiles(near, "_d", by, (0.5,)).select(*by, F.col("_q")[0].alias("_mad"))
     return near.join(mad, list(by)).where((F.col("_mad") == 0) | (0.6745 * F.col("_d") / F.col("_mad") <= threshold)).drop("_m", "_d", "_mad")
 
 
@@ -46,23 +47,25 @@ def region_summary(df: DataFrame, x: str, by: Sequence[str], background: Sequenc
     The significance bar divides alpha by the untrimmed rows of the background (all, or the same sample).  A region that
     the trim empties has 1, 1 and 0."""
     counts = df.groupBy(*background).agg(F.count(F.lit(1)).alias("_n")) if background else df.agg(F.count(F.lit(1)).alias("_n"))
-    regions = df.groupBy(*by).agg(F.expr(f"percentile({x}, array(0.25D, 0.5D, 0.75D))").alias("_q"))
+    regions = quantiles(df, x, by, (0.25, 0.5, 0.75))
     regions = regions.join(counts, list(background)) if background else regions.withColumn("_n", counts.scalar())
     keep = F.col(x) < F.col("_q")[1] + k * (F.col("_q")[2] - F.col("_q")[0])
     rows = df.join(regions, list(by)).select(*by, "_n", F.when(keep, F.expr(E.from_neg_log10(x))).alias("_p"), F.when(keep, F.col(x)).alias("_x"))
-    return rows.groupBy(*by).agg(
-        acat("_p").alias("p_cauchy"),
-        F.coalesce(F.expr("percentile(_p, 0.5D)"), F.lit(1.0)).alias("p_median"),
-        F.coalesce(F.expr("percentile(_x, 0.95D)"), F.lit(0.0)).alias("top_95_quantile"),
-        F.count_if(F.col("_p") < F.lit(alpha) / F.col("_n")).alias("sig_spots"),
-        F.count("_p").alias("total_spots"),
-    )
+    sums = [acat("_p").alias("p_cauchy"), F.count_if(F.col("_p") < F.lit(alpha) / F.col("_n")).alias("sig_spots"), F.count("_p").alias("total_spots")]
+    if in_memory(df, by):
+        out = rows.groupBy(*by).agg(*sums, F.expr("percentile(_p, 0.5D)").alias("p_median"), F.expr("percentile(_x, 0.95D)").alias("top_95_quantile"))
+    else:
+        middle = quantiles(rows, "_p", by, (0.5,)).select(*by, F.col("_q")[0].alias("p_median"))
+        high = quantiles(rows, "_x", by, (0.95,)).select(*by, F.col("_q")[0].alias("top_95_quantile"))
+        out = rows.groupBy(*by).agg(*sums).join(middle, list(by), "left").join(high, list(by), "left")
+    return out.fillna({"p_median": 1.0, "top_95_quantile": 0.0}).select(*by, "p_cauchy", "p_median", "top_95_quantile", "sig_spots", "total_spots")
 
 
 def lambda_gc(df: DataFrame, z: str, median: float = 0.4559364) -> DataFrame:
     """Genomic control factor, mean, median and greatest chi-square, and how many exceed 29."""
     c = df.select((F.col(z) * F.col(z)).alias("c"))
-    return c.agg((F.expr("percentile(c, 0.5D)") / median).alias("lambda_gc"), F.avg("c").alias("mean_chi2"), F.expr("percentile(c, 0.5D)").alias("median_chi2"), F.max("c").alias("max_chi2"), F.count_if(F.col("c") > 29).alias("n_over_29"))
+    middle = F.lit(quantiles(c, "c", (), (0.5,)).head()["_q"][0] if c.limit(1).count() else None).cast("double")
+    return c.agg((middle / median).alias("lambda_gc"), F.avg("c").alias("mean_chi2"), middle.alias("median_chi2"), F.max("c").alias("max_chi2"), F.count_if(F.col("c") > 29).alias("n_over_29"))
 
 
 def enrichment(df: DataFrame, region: str, significant: str) -> DataFrame:

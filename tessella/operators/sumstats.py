@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import exprs as E
-from tessella.operators.relational import dedup_first
+from tessella.operators.relational import dedup_first, quantiles
 
 # Header spellings and the columns that they stand for.
 SYNONYMS = {
@@ -93,8 +93,8 @@ def allele_filter(df: DataFrame, a1: str = "A1", a2: str = "A2") -> DataFrame:
 
 def n_filter(df: DataFrame, column: str = "N", quantile: float = 0.9, divisor: float = 1.5) -> DataFrame:
     """N at least its quantile over the divisor."""
-    bar = df.agg(F.expr(f"percentile({column}, {quantile}D)") / divisor)
-    return df.where(F.col(column) >= bar.scalar())
+    found = quantiles(df, column, (), (quantile,)).head()
+    return df.where(F.col(column) >= F.lit(found["_q"][0] / divisor if found and found["_q"] else None).cast("double"))
 
 
 def chisq_cap(df: DataFrame, z: str = "Z", n: str = "N", most: float | None = None) -> DataFrame:
