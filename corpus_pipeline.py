@@ -16,7 +16,9 @@ from tessella.operators.relational import dedup_first
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose toxicity score is under 0.5; the score is learned from the labels of the training folds."""
+    """Rows whose toxicity score is under 0.5; the score is learned from the labels of the training folds.
+
+    Null and empty texts score as clean words and stay; repeated rows and ties score alike; without labels all stay."""
     labels = read(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0)
     model = toxicity.train(docs, labels)
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")  # whatever else the rows hold, no name can clash
@@ -24,7 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated lines; a document of which nothing but white space is left goes."""
+    """Texts without their repeated lines; a document of which nothing but white space is left goes.
+
+    Null texts, and texts that lose no line, stay as they are; a null doc_id comes before all others."""
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_key"), F.col("text").alias("_text"))
     rows = linededup.base(packed, "_key", "_text", ("_row",))
     out = linededup.kept(rows, linededup.removed(rows))
@@ -35,7 +39,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of the least doc_id of each group of near-duplicates; of rows of equal doc_id and text, one."""
+    """The row of the least doc_id of each group of near-duplicates; of rows of equal doc_id and text, one.
+
+    Texts without words, and rows of a null doc_id, are linked with nothing and stay."""
     if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
         return drop_repeated_ids(docs)
     found = table(neardup.near_duplicates(docs, hundredths=80).where("not kept").select("doc_id").distinct(), "duplicates")
@@ -53,13 +59,16 @@ def drop_repeated_ids(docs: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = table(decontam.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
-    return docs.join(few(found), "doc_id", "left_anti")
+    """Documents that hold no benchmark item.  Rows are judged by their own text, whatever their doc_id, null or shared;
+    null and empty texts hold nothing and stay; without items all stay."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_key"), F.col("text").alias("_text"))
+    found = decontam.contaminated(rows, read(spark, sf_dir, "benchmark"), key="_key", text="_text")
+    found = table(found.select("_key").distinct(), "contaminated")
+    return rows.join(few(found), "_key", "left_anti").select("_row.*")
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, and the digest of their decoding, which equals the text's."""
+    """Token ids, and the digest of their decoding, which equals the text's; null and empty texts have no ids."""
     out = bpe.encode(docs, *bpe_vocabulary(), keep=("doc_id", "lang", "source"))
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
