@@ -12,11 +12,13 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which every executor sees; a temporary one only where it is unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``, which every executor sees; a temporary one only where it is unset on a single machine, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         at = tempfile.mkdtemp(prefix="tessella-")
         spark.sparkContext.setCheckpointDir(at)
         spark.conf.set("spark.checkpoint.dir", at)
