@@ -54,6 +54,16 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if held <= BROADCAST_BYTES else df
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`table` has written and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/tessella/" in folder:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that a written table has replaced, which else stay until the driver collects its garbage."""
     gc.collect()

@@ -26,7 +26,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._session import few, release, table
+from ._session import few, forget, release, table
 
 BINS = 1 << 16
 NO_KEY = -(1 << 63)
@@ -96,7 +96,7 @@ def classes(docs: DataFrame, levels: Column) -> DataFrame:
     n, t = F.size("codes"), TENTHS
     head = n - F.ceil(n * t / 10 - 1e-9).cast("int") + 1
     each = lines(docs).select("k", "no", F.xxhash64("line").alias("class"), coded(F.col("line"), levels).alias("codes"))
-    ends = F.transform(F.sequence(F.lit(0), F.lit(ENDS - 1)), lambda i: F.xxhash64(F.get("codes", head - 1 + i), F.get("codes", head + i)))
+    ends = F.transform(F.sequence(F.lit(0), F.lit(ENDS - 1)), lambda i: F.hash(F.get("codes", head - 1 + i), F.get("codes", head + i)))
     x = F.struct("k", "no", n.alias("n"), bitmap(F.col("codes")).alias("m"), F.when(n > WIDE, half(F.col("codes"))).otherwise(0).alias("h"), F.slice("codes", 1, head).alias("prefix"), ends.alias("ends"))
     return each.select("class", x.alias("x")).groupBy("class").agg(F.min("x").alias("x"), F.count("*").alias("copies")).select("class", "copies", "x.*")
 
@@ -105,11 +105,16 @@ def places(late: str, early: str) -> list[Column]:
     return [F.struct(F.col(f"{s}.k").alias("k"), F.col(f"{s}.no").cast("int").alias("no")).alias(name) for s, name in ((late, "late"), (early, "early"))]
 
 
-def first_checks(firsts: DataFrame) -> DataFrame:
+def met_at_ends(firsts: DataFrame) -> DataFrame:
+    """(code, k, no, n, m, copies): the classes by neighbouring codes that at least two of them hold."""
+    keys = firsts.select(F.explode("ends").alias("code"), "k", "no", "n", "m", "copies")
+    return keys.join(keys.groupBy("code").agg(F.count("*").alias("held")).where("held > 1").select("code"), "code")
+
+
+def first_checks(keys: DataFrame) -> DataFrame:
     """(late, early) places: each class with the first and with the most repeated one of those that hold the same
     neighbouring codes, if it comes earlier and they can be similar."""
     t, total = TENTHS, "(a.n + b.n)"
-    keys = firsts.select(F.explode("ends").alias("code"), "k", "no", "n", "m", "copies")
     heads = keys.groupBy("code").agg(F.min(F.struct("k", "no", "n", "m")).alias("f"), F.max(F.struct("copies", "k", "no", "n", "m")).alias("r"), F.count("*").alias("held")).where("held > 1")
     plain = F.struct(*(F.col(f"r.{c}").alias(c) for c in ("k", "no", "n", "m")))
     heads = heads.select("code", F.explode(F.array_distinct(F.array(F.col("f"), plain))).alias("f")).select("code", "f.*")
@@ -123,12 +128,12 @@ def pairs(firsts: DataFrame, decided: DataFrame) -> DataFrame:
     step = -2 * log(t / 10)
     grade = lambda n: F.floor(F.log(n.cast("double")) / step + 1e-9).cast("int")
     every = firsts.join(few(decided.select("late.k", "late.no").withColumn("done", F.lit(1))), ["k", "no"], "left")
-    rows = every.select("k", "m", F.col("no").cast("long").bitwiseOR(F.coalesce("done", F.lit(0)).cast("long") * (1 << 32)).alias("no"), F.least("n", F.lit(MOST)).alias("n"), "prefix")
+    rows = every.select("k", "m", "h", F.col("no").cast("long").bitwiseOR(F.coalesce("done", F.lit(0)).cast("long") * (1 << 32)).alias("no"), F.least("n", F.lit(MOST)).alias("n"), "prefix")
     head = F.when(F.col("n") == MOST, F.size("prefix")).otherwise((F.col("n") - F.ceil(F.col("n") * 2 * t / (10 + t) - 1e-9) + 1).cast("int"))
-    long = rows.select("k", "m", "no", "n", F.posexplode("prefix").alias("pos", "code"), grade(F.col("n")).alias("g"))
-    short = rows.select("k", "m", "no", "n", F.posexplode(F.slice("prefix", 1, head)).alias("pos", "code"))
+    long = rows.select("k", "m", "h", "no", "n", F.posexplode("prefix").alias("pos", "code"), grade(F.col("n")).alias("g"))
+    short = rows.select("k", "m", "h", "no", "n", F.posexplode(F.slice("prefix", 1, head)).alias("pos", "code"))
     short = short.withColumn("g", F.explode(F.sequence(grade(F.col("n")), grade(F.col("n") * 10 / t))))  # of the sets that are no more than 10 / t as long
-    packed = lambda df: df.select(F.hash("code", "g").alias("code"), "k", "m", F.expr("shiftleft(no, 30) | shiftleft(cast(n as bigint), 14) | least(pos, 16383)").alias("p"))
+    packed = lambda df: df.select(F.hash("code", "g").alias("code"), "k", "m", "h", F.expr("shiftleft(no, 30) | shiftleft(cast(n as bigint), 14) | least(pos, 16383)").alias("p"))
     n = {s: f"(shiftright({s}.p, 14) & 65535)" for s in "ab"}
     no = {s: f"(shiftright({s}.p, 30) & 4294967295)" for s in "ab"}
     left = {s: f"({n[s]} - ({s}.p & 16383))" for s in "ab"}
@@ -138,6 +143,7 @@ def pairs(firsts: DataFrame, decided: DataFrame) -> DataFrame:
     on = (
         f"a.code = b.code and {n['b']} <= {n['a']} and ({n['b']} < {n['a']} or {a_late}) and 10 * {n['b']} >= {t} * {n['a']}"
         f" and {10 + t} * bit_count(a.m ^ b.m) <= {10 - t} * {total}"
+        f" and ({n['b']} <= {WIDE} or {10 + t} * (bit_count(a.h ^ b.h) + bit_count(a.m ^ a.h ^ b.m ^ b.h)) <= {10 - t} * {total})"
         f" and ({10 + t} * least({left['a']}, {left['b']}) >= {t} * {total} or {n['a']} = {MOST})"
         f" and not (case when {a_late} then {done['a']} else {done['b']} end)"
     )
@@ -147,23 +153,18 @@ def pairs(firsts: DataFrame, decided: DataFrame) -> DataFrame:
     return met.select(F.greatest(x, y).alias("late"), F.least(x, y).alias("early"))
 
 
-def possible(found: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Those of the pairs that a bitmap of 128 bins lets pass, where both lines have one."""
-    maps = lambda side, s: firsts.where(f"n > {WIDE}").select(F.struct("k", F.col("no").cast("int").alias("no")).alias(side), F.struct("n", "m", "h").alias(s))
-    both = found.join(maps("late", "a"), "late", "left").join(maps("early", "b"), "early", "left")
-    halves = "bit_count(a.h ^ b.h) + bit_count(a.m ^ a.h ^ b.m ^ b.h)"
-    return both.where(f"a is null or b is null or {10 + TENTHS} * ({halves}) <= {10 - TENTHS} * (a.n + b.n)").select("late", "early")
-
-
 def verified(pairs_: DataFrame, docs: DataFrame, levels: Column) -> DataFrame:
-    """(late, early) of the pairs whose whole sets are similar; places are structs (k, no)."""
-    places_ = pairs_.select(F.explode(F.array("late", "early")).alias("x")).select("x.k", "x.no").groupBy("k").agg(F.collect_set("no").alias("nos"))
-    sets = docs.join(few(table(places_, "places")), "k").withColumn("all", F.split("text", "\n")).select("k", F.explode("nos").alias("no"), "all").select(F.struct("k", "no").alias("x"), coded(F.get("all", F.col("no")), levels).alias("codes"))
+    """(late): the later places of the pairs whose whole sets are similar; places are structs (k, no)."""
+    places_ = pairs_.select("late.k", "late.no").unionByName(pairs_.select("early.k", "early.no")).groupBy("k").agg(F.collect_set("no").alias("nos"))
+    places_ = table(places_, "places")
+    sets = docs.join(few(places_), "k").withColumn("all", F.split("text", "\n")).select("k", F.explode("nos").alias("no"), "all").select(F.struct("k", "no").alias("x"), coded(F.get("all", F.col("no")), levels).alias("codes"))
     if docs.groupBy("k").count().where("count > 1").limit(1).count():  # repeated rows, whose sets are the same
         sets = sets.dropDuplicates(["x"])
     sets = table(sets, "linesets")
     both = pairs_.join(sets.select(F.col("x").alias("late"), F.col("codes").alias("c1")), "late").join(sets.select(F.col("x").alias("early"), F.col("codes").alias("c2")), "early").withColumn("common", F.size(F.array_intersect("c1", "c2")))
-    return both.where(f"10 * common >= {TENTHS} * (size(c1) + size(c2) - common)").select("late", "early")
+    late = table(both.where(f"10 * common >= {TENTHS} * (size(c1) + size(c2) - common)").select("late").distinct(), "similar")
+    forget(places_, sets, pairs_)
+    return late
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -171,15 +172,19 @@ def removed(docs: DataFrame) -> DataFrame:
     levels = rarity(docs)
     firsts = table(classes(docs, levels), "classes")
     release(docs.sparkSession)
-    late = lambda found: table(verified(table(found, "pairs"), docs, levels).select("late").distinct(), "similar")
-    decided = late(first_checks(firsts))
-    others = late(possible(table(pairs(firsts, decided), "met"), firsts))
+    keys = table(met_at_ends(firsts), "ends")
+    decided = verified(table(first_checks(keys), "pairs"), docs, levels)
+    forget(keys)
+    release(docs.sparkSession)
+    others = verified(table(pairs(firsts, decided), "pairs"), docs, levels)
     release(docs.sparkSession)
     repeated = table(firsts.where("copies > 1").select("class", F.struct("k", "no").alias("f")), "repeated")
     every = lines(docs).select("k", "no", F.xxhash64("line").alias("class"))
     copies = every.join(few(repeated), "class").where(F.struct("k", "no") > F.col("f")).select("k", "no")
     similar = decided.unionByName(others).select("late.k", "late.no")
-    return table(copies.unionByName(similar).groupBy("k").agg(F.collect_set("no").alias("nos")), "gone")
+    gone = table(copies.unionByName(similar).groupBy("k").agg(F.collect_set("no").alias("nos")), "gone")
+    forget(firsts, decided, others, repeated)
+    return gone
 
 
 def kept(rows: DataFrame, gone: DataFrame) -> DataFrame:
