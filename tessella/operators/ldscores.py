@@ -58,12 +58,44 @@ def ld_pairs(targets: DataFrame, variants: DataFrame, wind: float = 1.0, unit: s
     return named.join(near.select("chrom", "batch", "ref"), ["chrom", "batch"]).select("target", "ref")
 
 
+BLOCK = 128  # variants whose dosages travel together
+
+
 def ld_r2(geno: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(target, ref, l2): unbiased squared correlation of standardised dosages."""
-    std = geno.select("snp", F.expr(E.standardised("dosages")).alias("g"))
-    both = pairs.join(std.select(F.col("snp").alias("target"), F.col("g").alias("_a")), "target").join(std.select(F.col("snp").alias("ref"), F.col("g").alias("_b")), "ref")
-    r = F.expr("aggregate(zip_with(_a, _b, (x, y) -> x * y), 0D, (s, x) -> s + x) / size(_a)")
-    return both.withColumn("_r", r).select("target", "ref", F.expr(E.unbiased_r2("_r", "size(_a)")).alias("l2"))
+    """(target, ref, l2): unbiased squared correlation of standardised dosages.
+
+    With chrom and row_idx, blocks of consecutive variants meet, once for each two blocks that share a pair, and a matrix
+    product gives all correlations of the two; without them each pair brings its own dosages."""
+    std = geno.select("snp", *(c for c in ("chrom", "row_idx") if c in geno.columns), F.expr(E.standardised("dosages")).alias("g"))
+    if not {"chrom", "row_idx"} <= set(geno.columns):
+        both = pairs.join(std.select(F.col("snp").alias("target"), F.col("g").alias("_a")), "target").join(std.select(F.col("snp").alias("ref"), F.col("g").alias("_b")), "ref")
+        r = F.expr("aggregate(zip_with(_a, _b, (x, y) -> x * y), 0D, (s, x) -> s + x) / size(_a)")
+        return both.withColumn("_r", r).select("target", "ref", F.expr(E.unbiased_r2("_r", "size(_a)")).alias("l2"))
+    std = std.withColumn("_k", F.concat_ws(":", "chrom", F.expr(f"cast(row_idx div {BLOCK} as long)"))).withColumn("_i", F.expr(f"cast(row_idx % {BLOCK} as int)"))
+    packs = std.groupBy("_k").agg(F.collect_list(F.struct("_i", "g")).alias("m"))
+    place = lambda side: std.select(F.col("snp").alias(side), F.col("_k").alias(f"_k_{side}"), F.col("_i").alias(f"_i_{side}"))
+    met = pairs.join(place("target"), "target").join(place("ref"), "ref")
+    asked = met.groupBy("_k_target", "_k_ref").agg(F.collect_list(F.struct("target", "ref", "_i_target", "_i_ref")).alias("asked"))  # BLOCK squared at most
+    side = lambda s: packs.select(F.col("_k").alias(f"_k_{s}"), F.col("m").alias(f"m_{s}"))
+    rows = asked.join(side("target"), "_k_target").join(side("ref"), "_k_ref").select("asked", "m_target", "m_ref")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                wanted = batch.column(0)[row].values
+                matrices = []
+                for c in (1, 2):
+                    x = batch.column(c)[row].values
+                    g = x.field(1)
+                    m = np.zeros((BLOCK, len(g[0])))
+                    m[x.field(0).to_numpy(zero_copy_only=False)] = g.flatten().to_numpy(zero_copy_only=False).reshape(len(g), -1)
+                    matrices.append(m)
+                n = matrices[0].shape[1]
+                r = matrices[0] @ matrices[1].T / n
+                r = r[wanted.field(2).to_numpy(zero_copy_only=False), wanted.field(3).to_numpy(zero_copy_only=False)]
+                yield pa.RecordBatch.from_arrays([wanted.field(0), wanted.field(1), pa.array(r * r - (1 - r * r) / (n - 2))], names=["target", "ref", "l2"])
+
+    return rows.mapInArrow(run, "target string, ref string, l2 double")
 
 
 def ld_weights(l2: DataFrame, mapping: DataFrame) -> DataFrame:

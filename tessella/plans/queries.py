@@ -368,7 +368,7 @@ def variants(spark, d) -> DataFrame:
 
 def l2_table(spark, d) -> DataFrame:
     v = variants(spark, d)
-    return L.ld_r2(genotypes(spark, d), L.ld_pairs(v, v, 6, "SNP", 5))
+    return L.ld_r2(genotypes(spark, d).join(v.select("snp", "chrom", "row_idx"), "snp"), L.ld_pairs(v, v, 6, "SNP", 5))
 
 
 @query(f"WITH {VARIANTS}, {BAND} SELECT target, ref, round(l2, 5) AS l2 FROM ({L2_BAND})")

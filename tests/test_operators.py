@@ -255,3 +255,18 @@ def test_quantiles_of_groups_beyond_memory(spark, monkeypatch, narrow):
     monkeypatch.setattr(relational, "IN_MEMORY", 1 << 40)
     small = sorted(map(tuple, stats.region_summary(spots, "x", ["g"]).collect()))
     assert [x[0] for x in large] == [x[0] for x in small] and np.allclose([x[1:] for x in large], [x[1:] for x in small])
+
+
+def test_blocks_of_variants_give_the_pairs_correlations(spark, monkeypatch):
+    monkeypatch.setattr(ldscores, "BLOCK", 4)
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 3, (30, 40)).astype(float)
+    x[rng.random(x.shape) < 0.05] = np.nan
+    x[7] = 1.0
+    geno = spark.createDataFrame([(f"v{i:02}", "1" if i < 18 else "2", i if i < 18 else i - 18, [None if np.isnan(v) else float(v) for v in x[i]]) for i in range(30)], "snp string, chrom string, row_idx long, dosages array<double>")
+    pairs = [(f"v{i:02}", f"v{j:02}") for i in range(30) for j in range(30) if abs(i - j) < 6 and (i < 18) == (j < 18)]
+    asked = spark.createDataFrame(pairs, "target string, ref string")
+    got = {(r[0], r[1]): r[2] for r in ldscores.ld_r2(geno, asked).collect()}
+    want = {(r[0], r[1]): r[2] for r in ldscores.ld_r2(geno.drop("chrom", "row_idx"), asked).collect()}
+    assert got.keys() == want.keys() == set(pairs)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
