@@ -107,7 +107,34 @@ def chromosome(x: str) -> str:
 
 
 def chrom_number(x: str) -> str:
-    return f"CAST(regexp_replace({x}, '[^0-9]', '', 'g') AS INT)"
+    """The digits of a chromosome's name as a number (Spark SQL)."""
+    return f"CAST(regexp_replace({x}, '[^0-9]', '') AS INT)"
+
+
+def log_gamma(x: str) -> str:
+    """ln of the gamma function for x > 0, by Stirling's series at x + 8."""
+    z = f"({x} + {num(8)})"
+    low = " * ".join(f"({x} + {num(i)})" for i in range(8))
+    terms = ((1, 12), (-1, 360), (1, 1260), (-1, 1680), (1, 1188))
+    series = " + ".join(f"{num(a)} / ({num(b)} * power({z}, {num(2 * k + 1)}))" for k, (a, b) in enumerate(terms))
+    return f"(({z} - {num(0.5)}) * ln({z}) - {z} + {num(0.5)} * ln({num(2)} * pi()) + {series} - ln({low}))"
+
+
+def nb_log_likelihood(x: str, mu: str, theta: str, eps: float = 1e-8) -> str:
+    """Negative binomial with mean mu and inverse dispersion theta."""
+    both = f"ln({theta} + {mu} + {num(eps)})"
+    return f"({theta} * (ln({theta} + {num(eps)}) - {both}) + {x} * (ln({mu} + {num(eps)}) - {both}) + {log_gamma(f'({x} + {theta})')} - {log_gamma(theta)} - {log_gamma(f'({x} + {num(1)})')})"
+
+
+def softplus(x: str) -> str:
+    return f"(greatest({x}, {num(0)}) + ln({num(1)} + exp(-abs({x}))))"
+
+
+def zinb_log_likelihood(x: str, mu: str, theta: str, pi: str, eps: float = 1e-8) -> str:
+    """Zero-inflated negative binomial; pi is the logit of a dropout."""
+    zero = f"(-({pi}) + {theta} * (ln({theta} + {num(eps)}) - ln({theta} + {mu} + {num(eps)})))"
+    dropped = softplus(f"(-({pi}))")
+    return f"(CASE WHEN {x} < {num(eps)} THEN {softplus(zero)} - {dropped} ELSE {nb_log_likelihood(x, mu, theta, eps)} - ({pi}) - {dropped} END)"
 
 
 def tss(start: str, end: str, strand: str) -> str:

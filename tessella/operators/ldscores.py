@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -125,19 +125,21 @@ def cell_ld_scores(weights: DataFrame, scores: DataFrame) -> DataFrame:
     return weights.join(scores.select("cell", F.col("gene").alias("feature"), "score"), "feature").groupBy("snp", "cell").agg(F.sum(F.col("w") * F.col("score")).alias("ld"))
 
 
+#: (cells x genes scores, gene of each weight, weight, first weight of each SNP) to cells x SNPs
+Products = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 ENTRIES = 2_000_000  # weights and variants that one pass over the cells takes along, about 50 MB
 CELLS = 128  # cells in one product
 CHUNK = 20_000  # weights in one product
 
 
-def spatial_ldsc(weights: DataFrame, scores: DataFrame, sumstats: DataFrame, w_ld: DataFrame, n_blocks: int = 200, extra: DataFrame | None = None, order: Sequence[str] = ("snp",), position: str = "row_idx") -> DataFrame:
+def spatial_ldsc(weights: DataFrame, scores: DataFrame, sumstats: DataFrame, w_ld: DataFrame, n_blocks: int = 200, extra: DataFrame | None = None, order: Sequence[str] = ("snp",), position: str = "row_idx", products: Products | None = None) -> DataFrame:
     """LD score regression of each cell: cell, beta, se, z, p, neg_log10_p.
 
     sumstats: snp, z, n and a numeric ``position`` that orders SNPs for the jackknife's blocks; w_ld: snp, l2.
 
     No row is made for a cell and a SNP: a cell's sums over a block are matrix products of its scores with the block's
     weights.  Blocks go along in passes of at most ENTRIES weights and variants (or one block); each pass reads the
-    cells' score vectors once.  The heritability guess is linear in the cell's LD scores, so a sum for each gene gives it."""
+    cells' score vectors once (``products`` may replace the function that makes a block's LD scores).  The heritability guess is linear in the cell's LD scores, so a sum for each gene gives it."""
     rows = sumstats.join(baseline(weights), "snp").join(w_ld.select("snp", F.col("l2").alias("w_ld")), "snp")
     names = [] if extra is None else [c for c in extra.columns if c != "snp"]
     if extra is not None:
@@ -170,7 +172,7 @@ def spatial_ldsc(weights: DataFrame, scores: DataFrame, sumstats: DataFrame, w_l
     tri = [(i, j) for i in range(k) for j in range(i, k)]
     schema = f"cell {dict(scores.dtypes)['cell']}, block int, " + ", ".join([*(f"xx_{i}_{j} double" for i, j in tri), *(f"xy_{i} double" for i in range(k))])
     cells = cells.persist()
-    parts = [_block_sums(cells, _carried(rows, mapped, [r["feature"] for r in genes], bs, ["base", "all_gene", *names], n_bar), len(genes), schema) for bs in passes]
+    parts = [_block_sums(cells, _carried(rows, mapped, [r["feature"] for r in genes], bs, ["base", "all_gene", *names], n_bar), len(genes), schema, products or cell_products) for bs in passes]
     if not parts:
         parts = [cells.sparkSession.createDataFrame([], schema)]
     return jackknife_solved(reduce(DataFrame.unionByName, parts), ["cell"], "block", k, n_bar)
@@ -191,7 +193,7 @@ def _carried(rows: DataFrame, mapped: DataFrame, genes: list[str], blocks: list[
     return out
 
 
-def _products(score: np.ndarray, gene: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
+def cell_products(score: np.ndarray, gene: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
     """LD scores (cells x SNPs): for each SNP the weights of its genes times the cells' scores."""
     out = np.zeros((len(score), len(first) - 1))
     lo = 0
@@ -205,7 +207,7 @@ def _products(score: np.ndarray, gene: np.ndarray, weight: np.ndarray, first: np
     return out
 
 
-def _block_sums(cells: DataFrame, carried: list[tuple], n_genes: int, schema: str) -> DataFrame:
+def _block_sums(cells: DataFrame, carried: list[tuple], n_genes: int, schema: str, products: Products) -> DataFrame:
     """X'WX and X'Wy of each cell and block of a pass; the columns are the cell's LD score and the fixed ones."""
     shared = cells.sparkSession.sparkContext.broadcast(carried)
     names = [x.split()[0] for x in schema.split(", ")]
@@ -221,7 +223,7 @@ def _block_sums(cells: DataFrame, carried: list[tuple], n_genes: int, schema: st
                 np.add.at(score, (owner, g.flatten().to_numpy(zero_copy_only=False).astype(int)), s.flatten().to_numpy(zero_copy_only=False))
                 hsq = part.column(1).to_numpy(zero_copy_only=False)[:, None]
                 for b, n, base, w_ld, y, f, gene, weight, first in shared.value:
-                    ld = _products(score, gene, weight, first)
+                    ld = products(score, gene, weight, first)
                     w = 1 / (2 * (1 + hsq * n / 10000 * np.maximum(ld + base, 1.0)) ** 2 * w_ld)
                     wl, q = w * ld, f.shape[1]
                     xx = {(0, 0): (wl * ld).sum(1)} | {(0, j + 1): c for j, c in enumerate((wl @ f).T)}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import exprs as E
+from tessella.functions.register import register
 from tessella.operators import expression as X
 from tessella.operators import ldscores as L
 from tessella.operators import neighbours as K
@@ -181,7 +182,7 @@ def common_columns(spark, d):
 @query("SELECT cell, round(y, 4) AS a, round(z, 4) AS b, round(x, 4) AS last, c AS number FROM (SELECT cell, x, y, n_genes::DOUBLE AS z, slice::INT AS c FROM cells)")
 def axis_and_number(spark, d):
     c = view(spark, d, "cells").withColumn("at", F.array("x", "y", F.col("n_genes").cast("double"))).withColumn("name", F.concat(F.lit("chr"), "slice"))
-    c = c.select("cell", F.expr(E.z_last("at", "0")).alias("at"), F.expr("CAST(regexp_replace(name, '[^0-9]', '') AS INT)").alias("number"))
+    c = c.select("cell", F.expr(E.z_last("at", "0")).alias("at"), F.expr(E.chrom_number("name")).alias("number"))
     return rounded(c.select("cell", F.col("at")[0].alias("a"), F.col("at")[1].alias("b"), F.col("at")[2].alias("last"), "number"), 4)
 
 
@@ -228,3 +229,21 @@ def homolog_file(spark, d):
     at = folder(spark, "homologs")
     view(spark, d, "part").selectExpr("p_brand AS mouse", "concat('H', p_size % 3) AS human").distinct().write.option("sep", "\t").option("header", True).csv(at)
     return readers.read_homologs(spark, at)[0]
+
+
+@query("""WITH e AS (SELECT cell, gene, value AS x, 0.5 + cell % 20 AS mu, 0.1::DOUBLE + cell % 7 AS theta, (cell % 9 - 4) / 2.0::DOUBLE AS pi FROM expr UNION ALL SELECT cell, 'none', 0, 0.5 + cell % 20, 0.1::DOUBLE + cell % 7, (cell % 9 - 4) / 2.0::DOUBLE FROM (SELECT DISTINCT cell FROM expr)),
+    n AS (SELECT *, theta * (ln(theta + 1e-8) - ln(theta + mu + 1e-8)) AS z, x * (ln(mu + 1e-8) - ln(theta + mu + 1e-8)) + lgamma(x + theta) - lgamma(theta) - lgamma(x + 1) AS r, greatest(-pi, 0) + ln(1 + exp(-abs(pi))) AS d FROM e)
+    SELECT cell, gene, round(z + r, 6) AS nb, round(CASE WHEN x < 1e-8 THEN greatest(z - pi, 0) + ln(1 + exp(-abs(z - pi))) - d ELSE z + r - pi - d END, 6) AS zinb FROM n""")
+def count_likelihoods(spark, d):
+    e = view(spark, d, "expr")
+    e = e.unionByName(e.select("cell", F.lit("none").alias("gene"), F.lit(0.0).alias("value")).distinct())
+    e = e.selectExpr("cell", "gene", "value AS x", "CAST(0.5 + cell % 20 AS DOUBLE) AS mu", "0.1D + cell % 7 AS theta", "(cell % 9 - 4) / 2D AS pi")
+    return rounded(e.selectExpr("cell", "gene", f"{E.nb_log_likelihood('x', 'mu', 'theta')} AS nb", f"{E.zinb_log_likelihood('x', 'mu', 'theta', 'pi')} AS zinb"))
+
+
+@query("""SELECT annotation, round(atan2(1.0::DOUBLE, avg(tan((0.5::DOUBLE - p) * pi()))) / pi(), 6) AS p, round(lgamma(count(*) + 0.5), 5) AS g FROM spots GROUP BY annotation""")
+def registered_functions(spark, d):
+    """SQL functions of the session, called by name."""
+    register(spark)
+    g = view(spark, d, "spots").groupBy("annotation").agg(F.collect_list("p").alias("ps"), F.count(F.lit(1)).alias("n"))
+    return g.selectExpr("annotation", "round(cauchy_combination(ps), 6) AS p", "round(log_gamma(n + 0.5D), 5) AS g")

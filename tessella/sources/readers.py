@@ -208,3 +208,8 @@ def read_sumstats(spark: SparkSession, path: str) -> DataFrame:
     df = read_whitespace(spark, path).withColumn("_at", F.struct(F.input_file_name(), F.input_file_block_start(), F.monotonically_increasing_id()))
     rows = df.select(F.col("SNP").alias("snp"), F.col("Z").cast("double").alias("z"), F.col("N").cast("double").alias("n"), "_at").dropna()
     return rows.groupBy("snp").agg(F.min_by(F.struct("z", "n"), "_at").alias("r")).select("snp", "r.z", "r.n")
+
+
+def unique_in_order(items: Sequence[str]) -> list[str]:
+    """Items without repeats, in order of their first place."""
+    return list(dict.fromkeys(items))

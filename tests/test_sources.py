@@ -102,3 +102,7 @@ def test_streaming_sums_equal_batch(spark, tmp_path):
     q.awaitTermination(60)
     got = {r["gene"]: (round(r["g_mean"], 9), round(r["frac"], 9)) for r in incremental.merged_stats(spark.read.parquet(str(tmp_path / "sums"))).collect()}
     assert got == {r["gene"]: (round(r["g_mean"], 9), round(r["frac"], 9)) for r in expression.gene_stats(ranks).collect()}
+
+
+def test_lists_without_repeats():
+    assert readers.unique_in_order(["b", "a", "b", "c", "a"]) == ["b", "a", "c"]
