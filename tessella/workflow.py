@@ -19,7 +19,7 @@ from tessella.operators import ldscores as L
 from tessella.operators import neighbours as K
 from tessella.operators import relational as R
 from tessella.operators import stats as S
-from tessella.sources import sinks
+from tessella.sources import readers, sinks
 
 STEPS = ("find_latent", "latent_to_gene", "spatial_ldsc", "cauchy", "report")
 
@@ -33,6 +33,7 @@ class Config:
     w_ld: str = ""
     sumstats: Mapping[str, str] = field(default_factory=dict)
     extra: str = ""
+    homologs: str = ""
     dataset: str = "spatial"
     emb_cell: str = "emb_cell"
     emb_niche: str = "emb_niche"
@@ -81,12 +82,39 @@ def dense(expr: DataFrame, genes: Sequence[str], name: str) -> DataFrame:
     return some.select("cell", F.transform(F.sequence(F.lit(0), F.lit(len(genes) - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias(name))
 
 
+def variable(expr: DataFrame, cells: DataFrame, n: int) -> list[str]:
+    """The n genes of most variance; of several samples those that vary highly in most of them, by median variance."""
+
+    def of(some: DataFrame, among: DataFrame) -> DataFrame:
+        m = among.count()
+        out = X.gene_variance(some, m) if X.looks_like_counts(some) else X.gene_dispersion(some, m).withColumnRenamed("dispersion", "variance")
+        return out.select("gene", "variance")
+
+    samples = [r[0] for r in cells.select("sample").distinct().orderBy("sample").collect()] if "sample" in cells.columns else []
+    if len(samples) < 2:
+        return [r[0] for r in of(expr, cells).orderBy(F.desc_nulls_last("variance"), "gene").limit(n).collect()]
+    every = None
+    for s in samples:
+        among = cells.where(F.col("sample").eqNullSafe(F.lit(s)))
+        one = of(expr.join(among.select("cell"), "cell", "left_semi"), among)
+        top = one.orderBy(F.desc_nulls_last("variance"), "gene").limit(n).select("gene", F.lit(True).alias("highly_variable"))
+        one = one.join(F.broadcast(top), "gene", "left").fillna(False, ["highly_variable"])
+        every = one if every is None else every.unionByName(one)
+    return [r[0] for r in X.variable_genes(every, len(samples), n).collect()]
+
+
+def expression(spark: SparkSession, c: Config) -> DataFrame:
+    """(cell, gene, value), by human symbols if a list of homologs is given."""
+    expr = spark.read.parquet(c.expr)
+    return readers.rename_homologs(expr, readers.read_homologs(spark, c.homologs)[0]).select("cell", "gene", "value") if c.homologs else expr
+
+
 def find_latent(spark: SparkSession, c: Config) -> DataFrame:
     """Cell and niche embeddings: principal components of normalised expression, and of its propagation over the k-NN graph;
     the table's own ones if asked for.  Single cells without places have no niche."""
 
     def make() -> DataFrame:
-        expr = spark.read.parquet(c.expr)
+        expr = expression(spark, c)
         cells = X.filter_cells(spark.read.parquet(c.cells).drop("n_genes").join(X.genes_per_cell(expr), "cell"), min_cells=c.min_cells, min_genes=c.min_genes)
         kept = X.drop_genes(expr.join(cells.select("cell"), "cell", "left_semi"))
         if c.high_quality:
@@ -96,9 +124,7 @@ def find_latent(spark: SparkSession, c: Config) -> DataFrame:
         if c.own_embeddings:
             own = {"emb_cell": F.col(c.emb_cell)} | ({"emb_niche": F.col(c.emb_niche)} if c.emb_niche in cells.columns else {})
             return cells.withColumns(own)
-        n = cells.count()
-        variance = X.gene_variance(kept, n) if X.looks_like_counts(kept) else X.gene_dispersion(kept, n).withColumnRenamed("dispersion", "variance")
-        genes = [r[0] for r in variance.orderBy(F.desc_nulls_last("variance"), "gene").limit(c.n_variable_genes).collect()]
+        genes = variable(kept, cells, c.n_variable_genes)
         value = dense(X.normalise(kept), genes, "v")
         k = min(c.n_components, len(genes))
         own = K.principal_components(value, "v", k, "emb_cell").select("cell", "emb_cell")
@@ -119,7 +145,7 @@ def latent_to_gene(spark: SparkSession, c: Config) -> DataFrame:
 
     def make() -> DataFrame:
         cells = spark.read.parquet(c.at("latent"))
-        expr = spark.read.parquet(c.expr).join(cells.select("cell"), "cell", "left_semi")
+        expr = expression(spark, c).join(cells.select("cell"), "cell", "left_semi")
         ranks = sinks.once(spark, c.at("ranks"), lambda: X.log_ranks(expr, expr.select("gene").distinct().count()))
         stats = sinks.once(spark, c.at("gene_stats"), lambda: X.gene_stats(ranks))
         niche = "emb_niche" if "emb_niche" in cells.columns else None

@@ -67,6 +67,19 @@ def test_single_cells_without_places(spark, tissue, single_cells):
     assert {(r["annotation"], r["sample"]) for r in by_sample} == {(a, s) for a in "ABC" for s in ("sampleA", "sampleB")}
 
 
+def test_homologs_and_genes_of_several_samples(spark, tissue, single_cells):
+    path = tissue / "homologs.tsv"
+    path.write_text("mouse\thuman\n" + "".join(f"G{j}\tH{j}\n" for j in range(30)))
+    c = small(tissue, "homologs", cells=single_cells, homologs=str(path))
+    expr = workflow.expression(spark, c)
+    assert {r[0] for r in expr.select("gene").distinct().collect()} == {f"H{j}" for j in range(30)}
+    cells = spark.read.parquet(single_cells)
+    genes = workflow.variable(expr, cells, 10)
+    assert len(genes) == len(set(genes)) == 10
+    first = workflow.variable(expr, cells.where("sample = 'sampleA'"), 10)
+    assert len(set(first) & set(genes)) >= 3
+
+
 def test_own_embeddings(spark, tissue, single_cells):
     c = small(tissue, "own", cells=single_cells, dataset="scrna", own_embeddings=True, emb_cell="X_own", stop="latent_to_gene")
     workflow.run(spark, c)
