@@ -21,6 +21,7 @@ ordered by a hash of key and text, and equal such rows keep the same lines; an e
 
 from __future__ import annotations
 
+from functools import reduce
 from math import log
 
 from pyspark.sql import Column, DataFrame
@@ -31,9 +32,10 @@ from ._session import few, forget, release, table
 BINS = 1 << 16
 NO_KEY = -(1 << 63)
 TENTHS = 8  # the threshold in tenths
-WIDE = 64  # words over which a set has 128 bins in place of 64
+WIDE = 16  # words over which a set has 128 bins in place of 64
 SPACES = r"[\x09-\x0D\x20]+"
 ENDS = 6  # pairs of neighbouring codes from the prefix's end on
+PASSES = 2  # of the join of prefixes, each over its share of the codes, so that half of the rows are on disk at once
 MOST = 65535  # sizes and positions are kept in 16 bits; those beyond pass the filters
 
 
@@ -122,8 +124,8 @@ def first_checks(keys: DataFrame) -> DataFrame:
     return keys.alias("a").join(heads.alias("b"), F.expr(on)).select(*places("a", "b")).distinct()
 
 
-def pairs(firsts: DataFrame, decided: DataFrame) -> DataFrame:
-    """(late, early) places of two classes that pass all filters, the later of them not in ``decided``."""
+def pairs(firsts: DataFrame, decided: DataFrame, turn: int) -> DataFrame:
+    """(late, early) places of two classes that pass all filters in one of PASSES, the later of them not in ``decided``."""
     t = TENTHS
     step = -2 * log(t / 10)
     grade = lambda n: F.floor(F.log(n.cast("double")) / step + 1e-9).cast("int")
@@ -133,7 +135,7 @@ def pairs(firsts: DataFrame, decided: DataFrame) -> DataFrame:
     long = rows.select("k", "m", "h", "no", "n", F.posexplode("prefix").alias("pos", "code"), grade(F.col("n")).alias("g"))
     short = rows.select("k", "m", "h", "no", "n", F.posexplode(F.slice("prefix", 1, head)).alias("pos", "code"))
     short = short.withColumn("g", F.explode(F.sequence(grade(F.col("n")), grade(F.col("n") * 10 / t))))  # of the sets that are no more than 10 / t as long
-    packed = lambda df: df.select(F.hash("code", "g").alias("code"), "k", "m", "h", F.expr("shiftleft(no, 30) | shiftleft(cast(n as bigint), 14) | least(pos, 16383)").alias("p"))
+    packed = lambda df: df.select(F.hash("code", "g").alias("code"), "k", "m", "h", F.expr("shiftleft(no, 30) | shiftleft(cast(n as bigint), 14) | least(pos, 16383)").alias("p")).where(F.pmod("code", F.lit(PASSES)) == turn)
     n = {s: f"(shiftright({s}.p, 14) & 65535)" for s in "ab"}
     no = {s: f"(shiftright({s}.p, 30) & 4294967295)" for s in "ab"}
     left = {s: f"({n[s]} - ({s}.p & 16383))" for s in "ab"}
@@ -176,7 +178,12 @@ def removed(docs: DataFrame) -> DataFrame:
     decided = verified(table(first_checks(keys), "pairs"), docs, levels)
     forget(keys)
     release(docs.sparkSession)
-    others = verified(table(pairs(firsts, decided), "pairs"), docs, levels)
+    met = []
+    for turn in range(PASSES):
+        met.append(table(pairs(firsts, decided, turn), "pairs"))
+        release(docs.sparkSession)
+    others = verified(table(reduce(DataFrame.unionByName, met).distinct(), "pairs"), docs, levels)
+    forget(*met)
     release(docs.sparkSession)
     repeated = table(firsts.where("copies > 1").select("class", F.struct("k", "no").alias("f")), "repeated")
     every = lines(docs).select("k", "no", F.xxhash64("line").alias("class"))
