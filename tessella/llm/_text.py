@@ -7,6 +7,7 @@ of at most ``SLICE_BYTES`` (or one text), so memory is bounded by the longest si
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -94,6 +95,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
     handed_back()
 
 
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def settle(owner: str, let_go: Callable[[], None] | None = None) -> None:
+    """To be called where an operator's work begins in a worker, which Spark uses again for other operators: what those
+    keep there for their own tasks goes.  let_go: drops what this one keeps."""
+    others = [f for name, f in _kept.items() if name != owner]
+    _kept.clear()
+    if let_go is not None:
+        _kept[owner] = let_go
+    if others:
+        for f in others:
+            f()
+        gc.collect()
+        handed_back()
+
+
 def handed_back() -> None:
     """Returns what this worker has freed to the machine: it may wait for its next task beside other workers."""
     pa.default_memory_pool().release_unused()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._session import bounded, extended
-from ._text import slices
+from ._text import settle, slices
 
 CACHE_ENTRIES = 300_000
 
@@ -126,6 +126,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        settle("bpe", codec.cache_clear)
         c = codec(path, pattern)
         for rows, _, _ in slices(batches, "_text"):
             ids = [c.encode(t or "") for t in rows.column(rows.num_columns - 1).to_pylist()]
@@ -145,6 +146,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", keep: tuple
     schema = extended(df, keep, "decoded binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("bpe", codec.cache_clear)
         c = codec(path, pattern)
         for rows in batches:
             out = [c.decode(struct.pack(f"<{len(x or ())}I", *(x or ()))) for x in rows.column(rows.num_columns - 1).to_pylist()]

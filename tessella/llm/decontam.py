@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._session import bounded, table
-from ._text import handed_back, mix, slices, span_hashes, words
+from ._text import handed_back, mix, settle, slices, span_hashes, words
 
 BLOCK = 16
 DIM = 4096
@@ -43,6 +43,7 @@ def hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, w): packed 32-bit hashes of the lower-cased words, signs at their ends left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("decontam")
         for rows, buf, offs in slices(batches, "_text"):
             h, first = word_ids(buf, offs)
             raw = h.tobytes()

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._session import bounded, few, table
-from ._text import U64, distinct, handed_back, mix, shingles, slices, span_hashes, stream, words
+from ._text import U64, distinct, handed_back, mix, settle, shingles, slices, span_hashes, stream, words
 from .components import components
 
 HASHES, TREES, DEPTH = 128, 16, 3
@@ -73,6 +73,7 @@ def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """(id, n, s1, s2, sig): the set's size, two sums over it that stand for its content, and its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("neardup")
         for rows, buf, offs in slices(batches, "_text"):
             values, at = sets(buf, offs, k)
             sums = []
@@ -206,6 +207,7 @@ def full_sets(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """(id, set): sorted distinct shingle hashes as packed 64-bit values; one row an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("neardup")
         for rows, buf, offs in slices(batches, "_text"):
             values, at = sets(buf, offs, k)
             raw = values.tobytes()

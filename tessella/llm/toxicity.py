@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._session import bounded, extended, sample_ids
-from ._text import handed_back, segment_max, slices, span_hashes, words
+from ._text import handed_back, segment_max, settle, slices, span_hashes, words
 
 WIDTH = 24
 REACH = 7  # the farthest that a subsequence's last character is from its first
@@ -429,6 +429,10 @@ class Scorer:
             cls.latest = name, cls(model)
         return cls.latest[1]
 
+    @classmethod
+    def forget(cls) -> None:
+        cls.latest = None
+
     def __init__(self, model: Model):
         self.model, self.keys, self.vals = model, np.zeros(0, np.uint64), np.zeros(0)
 
@@ -468,6 +472,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("toxicity", Scorer.forget)
         scorer = Scorer.of(name, shared.value)
         for rows, buf, offs in slices(batches, "_text"):
             yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(keep))), pa.array(scorer(buf, offs), pa.float64())], names=schema.names)
