@@ -133,20 +133,21 @@ def rank_sum(expr: DataFrame, groups: DataFrame, n_genes_cells: int, top: int =
     expr: (cell, gene, value > 0), groups: (cell, group).  Returns group, gene, z, p, padj, lfc, the ``top`` of each group by z; padj adjusts over all genes of the group."""
     from tessella.functions import exprs as E
 
-    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("m"))
-    n = n_genes_cells
-    some = expr.where("value > 0").join(groups, "cell")
-    tied = some.groupBy("gene", "value").agg(F.count(F.lit(1)).alias("t"))
-    w = Window.partitionBy("gene").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    tied = tied.withColumn("to", F.sum("t").over(w)).withColumn("k", F.sum("t").over(Window.partitionBy("gene"))).withColumn("rank", n - F.col("k") + F.col("to") - (F.col("t") - 1) / 2)
-    ties = tied.groupBy("gene").agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double").alias("tt"), F.first("k").alias("k"))
+    n, kind = float(n_genes_cells), dict(groups.dtypes)["group"]
+    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("m")).where("group IS NOT NULL").collect()  # a row a group
+    labels, members = ([r[i] for r in sizes] for i in range(2))
+    # equal values of a gene in a group cost one row; a range frame ends with the last of the equal values of all groups
+    some = expr.where("value > 0").join(groups, "cell").groupBy("gene", "value", "group").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("gene").orderBy("value").rangeBetween(Window.unboundedPreceding, 0))
+    tied = some.withColumn("to", upto).withColumn("t", F.sum("c").over(Window.partitionBy("gene", "value"))).withColumn("k", F.sum("c").over(Window.partitionBy("gene")))
+    c, t = F.col("c"), F.col("t")
+    sums = F.struct(F.sum(c * (n - F.col("k") + F.col("to") - (t - 1) / 2)).alias("r"), F.sum(c).alias("e"), F.sum(c * F.expm1("value")).alias("s"), F.sum(c * (t * t - 1)).alias("tt"), F.first("k").alias("k"))
+    per = tied.groupBy("gene", "group").agg(sums.alias("x"))
+    ties = per.groupBy("gene").agg(F.first("x.k").alias("k"), F.sum("x.tt").alias("tt"), F.sum("x.s").alias("all"), F.map_from_entries(F.collect_list(F.when(F.col("group").isNotNull(), F.struct("group", "x")))).alias("per"))
     zeros = n - F.col("k")
-    ties = ties.select("gene", "k", (F.col("tt") + zeros * zeros * zeros - zeros).alias("tt"))
-    per = some.join(tied.select("gene", "value", "rank"), ["gene", "value"]).groupBy("group", "gene").agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("e"), F.sum(F.expm1("value")).alias("s"))
-    every = some.groupBy("gene").agg(F.sum(F.expm1("value")).alias("all"))
-    labels = [r[0] for r in sizes.select("group").collect()]
-    grid = ties.withColumn("group", F.explode(F.array(*map(F.lit, labels))).cast(dict(sizes.dtypes)["group"])) if labels else ties.join(sizes.select("group"), F.lit(False))
-    x = grid.join(F.broadcast(sizes), "group").join(per, ["group", "gene"], "left").fillna(0.0, ["r", "s"]).fillna(0, ["e"]).join(every, "gene")
+    every = F.arrays_zip(F.array(*map(F.lit, labels)).cast(f"array<{kind}>").alias("group"), F.array(*(F.lit(float(m)) for m in members)).cast("array<double>").alias("m"))
+    x = ties.withColumn("tt", F.col("tt") + zeros * zeros * zeros - zeros).withColumn("of", F.explode(every)).withColumn("x", F.col("per")[F.col("of.group")])
+    x = x.select("of.group", "gene", "of.m", "k", "tt", "all", *(F.coalesce(f"x.{name}", F.lit(0.0)).alias(name) for name in ("r", "e", "s")))
     m = F.col("m")
     rank = F.col("r") + (m - F.col("e")) * (zeros + 1) / 2
     sd = F.sqrt(m * (n - m) / 12.0 * ((n + 1) - F.col("tt") / (n * (n - 1))))

@@ -1,5 +1,6 @@
 """Invariants and branches of the operators on small tables."""
 
+import datetime as dt
 import math
 from statistics import NormalDist
 
@@ -121,6 +122,30 @@ def test_jackknife_equals_numpy(spark):
     assert singular["beta"] is None or math.isfinite(singular["beta"])
 
 
+@pytest.mark.parametrize(("kind", "names"), [("string", ["A", "B"]), ("bigint", [5, 7]), ("tinyint", [1, 2]), ("date", [dt.date(2024, 1, 1), dt.date(2024, 1, 2)])])
+def test_rank_sum_keeps_the_groups_type(spark, kind, names):
+    groups = spark.createDataFrame([(i, names[i % 2]) for i in range(8)], f"cell long, group {kind}")
+    expr = spark.createDataFrame([(i, "g", float(1 + i + 10 * (i % 2))) for i in range(8)], "cell long, gene string, value double")
+    got = expression.rank_sum(expr, groups, 8)
+    assert dict(got.dtypes)["group"] == kind
+    z = {r["group"]: r["z"] for r in got.collect()}
+    assert z[names[1]] == pytest.approx(8 / math.sqrt(12)) and z[names[0]] == pytest.approx(-8 / math.sqrt(12))
+
+
+def test_rank_sum_of_more_cells_than_a_cube_holds(spark):
+    n, some = 9_000_000, 40
+    groups = spark.range(n).select(F.col("id").alias("cell"), (F.col("id") % 3).alias("group"))
+    expr = groups.where(F.col("cell") < some).select("cell", F.lit("g").alias("gene"), (F.col("cell") % 4 + 1).cast("double").alias("value"))
+    expr = expr.unionByName(groups.where(F.col("group") == 1).select("cell", F.lit("h").alias("gene"), F.lit(2.0).alias("value")))
+    got = {(r["gene"], r["group"]): r["z"] for r in expression.rank_sum(expr, groups, n).collect()}
+    m, k = n // 3, n // 3  # gene h: all of group 1, and no other cell, hold one value
+    tt = (k**3 - k) + ((n - k) ** 3 - (n - k))
+    sd = math.sqrt(m * (n - m) / 12 * ((n + 1) - tt / (n * (n - 1))))
+    assert got["h", 1] == pytest.approx((m * (n - k + (k + 1) / 2) - m * (n + 1) / 2) / sd)
+    assert got["h", 0] == pytest.approx((m * (n - k + 1) / 2 - m * (n + 1) / 2) / sd)
+    assert len(got) == 6 and all(math.isfinite(z) for z in got.values())
+
+
 def test_nearest_neighbours_with_ties(spark):
     rng = np.random.default_rng(1)
     rows = [(i, f"s{i % 3}", float(x), float(y)) for i, (x, y) in enumerate(rng.integers(0, 12, (150, 2)))] + [(200, "tiny", 0.0, 0.0)]
