@@ -3,60 +3,242 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions import exprs as E
 from tessella.operators.relational import top_k
 
 
-def knn(query: DataFrame, pool: DataFrame, k: int, by: Sequence[str] = (), key: str = "cell", coords: Sequence[str] = ("x", "y"), cells_per_tile: int = 16, most_rounds: int = 40) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
+    """The rows as written to spark.checkpoint.dir, where it is set, so that later uses don't make them again."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
+def _parts(n: int, extents: Sequence[float], size: int) -> int:
+    """Into how many parts the first of ``extents`` is cut, a power of two, so that n points make near-square leaves of ``size``."""
+    free = [i for i, e in enumerate(extents) if e > 0]
+    while free:
+        w = float(np.exp((sum(np.log(extents[i]) for i in free) - np.log(max(1.0, n / size))) / len(free)))
+        if all(extents[i] >= w for i in free):
+            break
+        free = [i for i in free if extents[i] >= w]
+    return 2 ** round(float(np.log2(extents[0] / w))) if 0 in free else 1
+
+
+def _leaf_of(g: np.ndarray, at: Sequence[np.ndarray], cuts: dict) -> np.ndarray:
+    """The leaf of each point: dimension by dimension, node l of a group becomes l * width + part."""
+    leaf = np.zeros(len(g), np.int64)
+    for i, c in enumerate(at):
+        order = np.lexsort((leaf, g))
+        starts = np.flatnonzero(np.r_[True, (np.diff(g[order]) != 0) | (np.diff(leaf[order]) != 0)]) if len(g) else []
+        part, width = np.zeros(len(g), np.int64), cuts.get(("width", i), 1)
+        for a, b in zip(starts, [*starts[1:], len(g)]):
+            rows = order[a:b]
+            cut = cuts.get((i, int(g[rows[0]]), int(leaf[rows[0]])))
+            if cut is not None:
+                part[rows] = np.searchsorted(cut, c[rows], "right")
+        leaf = leaf * width + part
+    return leaf
+
+
+def _leaves(places: DataFrame, by: Sequence[str], coords: Sequence[str], size: int):
+    """(a function that adds ``_g`` and ``_leaf`` to a table, {group: (leaves, counts, least, greatest coordinates)}).
+
+    Groups of more than 2 * size points are cut by quantiles into leaves of about ``size``, one dimension after the other, each
+    node by its own count and extents; what is gathered is a row for each node and a box for each leaf.  Other groups are one leaf."""
+    spark, cols, d = places.sparkSession, list(by), len(coords)
+    big = places.groupBy(*cols).count().where(F.col("count") > 2 * size).select(*cols).collect()
+    if not big:
+        return (lambda df: df.withColumns({"_g": F.lit(-1), "_leaf": F.lit(0).cast("long")})), {}
+    cuts: dict = {}
+
+    def shared(rows: list, kind: T.StructType | str) -> DataFrame:
+        df = spark.createDataFrame(rows, kind)
+        return F.broadcast(df) if len(rows) <= 100_000 else df
+
+    if cols:
+        names = shared([(*r, i) for i, r in enumerate(big)], places.select(*cols, F.lit(0).alias("_g")).schema)
+
+    def tagged(df: DataFrame) -> DataFrame:
+        known = dict(cuts)
+
+        @F.pandas_udf("long")
+        def leaf(g: pd.Series, *at: pd.Series) -> pd.Series:
+            return pd.Series(_leaf_of(g.to_numpy(), [c.to_numpy(np.float64) for c in at], known))
+
+        out = df.join(names, cols, "left").withColumn("_g", F.coalesce("_g", F.lit(-1))) if cols else df.withColumn("_g", F.lit(0))
+        return out.withColumn("_leaf", leaf("_g", *(F.col(c).cast("double") for c in coords)) if known else F.lit(0).cast("long"))
+
+    for i in range(d):
+        rows = tagged(places).where("_g >= 0")
+        spread = [x for c in coords[i:] for x in (F.percentile_approx(c, [0.05, 0.95], 1000), F.array(F.min(c), F.max(c)))]
+        parts: dict = {}
+        for g, leaf, n, *s in rows.groupBy("_g", "_leaf").agg(F.count(F.lit(1)), *spread).collect():
+            extents = [(q[1] - q[0]) or (m[1] - m[0]) for q, m in zip(s[::2], s[1::2])]
+            parts.setdefault(_parts(n, [float(e) for e in extents], size), []).append((g, leaf))
+        cuts["width", i] = max(parts)
+        found = {}
+        for p, nodes in parts.items():
+            if p > 1:
+                own = rows.join(shared(nodes, "_g int, _leaf long"), ["_g", "_leaf"], "left_semi")
+                for g, leaf, q in own.groupBy("_g", "_leaf").agg(F.percentile_approx(coords[i], [j / p for j in range(1, p)], max(1000, 10 * p))).collect():
+                    found[i, g, leaf] = np.array(q, np.float64)
+        cuts |= found
+    boxes: dict = {}
+    limits = [f(F.col(c).cast("double")) for f in (F.min, F.max) for c in coords]
+    for g, *box in tagged(places).where("_g >= 0").groupBy("_g", "_leaf").agg(F.count(F.lit(1)), *limits).collect():
+        boxes.setdefault(g, []).append(box)
+    arrays = {g: np.array(b, np.float64) for g, b in boxes.items()}
+    return tagged, {g: (a[:, 0].astype(np.int64), a[:, 1], a[:, 2 : 2 + d], a[:, 2 + d :]) for g, a in arrays.items()}
+
+
+def _gaps(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: bool = False) -> np.ndarray:
+    """Least (or greatest) distances of points from boxes, by the same steps as distances, so rounding can't turn their order."""
+    total = np.zeros((len(x), len(lo)))
+    for i in range(x.shape[1]):
+        a, b = lo[None, :, i] - x[:, None, i], x[:, None, i] - hi[None, :, i]
+        e = np.maximum(np.abs(a), np.abs(b)) if most else np.maximum(0.0, np.maximum(a, b))
+        total += e * e
+    return np.sqrt(total)
+
+
+def _visits(x: np.ndarray, far: np.ndarray, k: int, leaf: int, boxes: tuple | None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(reach, leaves): the other leaves that may hold one of a point's k nearest, as the k-th of its own is ``far`` away."""
+    if boxes is None:
+        return far, [np.zeros(0, np.int64)] * len(x)
+    leaves, counts, lo, hi = boxes
+    far = far.copy()
+    for i in np.flatnonzero(np.isinf(far)):  # fewer than k in its own leaf: so many boxes that they hold k
+        most = _gaps(x[i : i + 1], lo, hi, True)[0]
+        order = np.argsort(most)
+        enough = np.searchsorted(np.cumsum(counts[order]), k)
+        far[i] = most[order[enough]] if enough < len(order) else np.inf
+    low, high = x.min(0), x.max(0)
+    near = (np.sqrt((np.maximum(0.0, np.maximum(lo - high, low - hi)) ** 2).sum(1)) * (1 - 1e-9) <= far.max()) & (leaves != leaf)
+    lo, hi, leaves, out = lo[near], hi[near], leaves[near], []
+    step = max(1, (1 << 19) // max(1, len(leaves)))
+    for a in range(0, len(x), step):
+        out += [leaves[row] for row in _gaps(x[a : a + step], lo, hi) <= far[a : a + step, None]]
+    return far, out
+
+
+def _nearest(x: np.ndarray, pool: np.ndarray, k: int, reach: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, dist) of the k nearest of ``pool`` within reach, in order of row, distance and place."""
+    found = []
+    step = max(1, (1 << 19) // max(1, len(pool)))
+    for a in range(0, len(x), step):
+        at = x[a : a + step]
+        dist = np.zeros((len(at), len(pool)))
+        for i in range(x.shape[1]):
+            e = at[:, None, i] - pool[None, :, i]
+            dist += e * e
+        np.sqrt(dist, dist)
+        bar = np.partition(dist, k - 1, 1)[:, k - 1] if len(pool) > k else np.full(len(at), np.inf)
+        if reach is not None:
+            bar = np.minimum(bar, reach[a : a + step])
+        r, c = np.nonzero(dist <= bar[:, None])
+        v = dist[r, c]
+        order = np.lexsort((c, v, r))
+        r, c, v = r[order], c[order], v[order]
+        n = np.bincount(r, minlength=len(at))
+        keep = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n) < k
+        found.append((r[keep] + a, c[keep], v[keep]))
+    return tuple(np.concatenate(z) for z in zip(*found))  # type: ignore[return-value]
+
+
+def _search(k: int, n_by: int, d: int, boxes: dict | None):
+    """A function over batches of (by, _g, _leaf, _asked, _reach, key, nbr, coordinates), sorted by all up to _asked and then by nbr.
+
+    The pool rows of a leaf come first and are held; the queries after them are answered a few at a time.  With ``boxes``
+    the reach and the leaves to visit are found, without them the reach is given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, waiting, ready = None, [], [], 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            new[0] = True
+            for i in (*range(n_by), n_by + 1):
+                new[1:] |= pc.not_equal(batch.column(i).slice(1), batch.column(i).slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            asked = batch.column(n_by + 2).to_numpy(zero_copy_only=False)
+            x = np.stack([batch.column(n_by + 6 + i).to_numpy(zero_copy_only=False) for i in range(d)], 1)
+            starts = np.flatnonzero(new)
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), n]):
+                leaf = tuple(batch.column(i)[a].as_py() for i in (*range(n_by), n_by + 1))
+                if leaf != here:
+                    here, held = leaf, []
+                mid = a + int(np.searchsorted(asked[a:b], 1))
+                if mid > a:
+                    held.append((x[a:mid], batch.column(n_by + 5).slice(a, mid - a)))
+                if mid == b:
+                    continue
+                if len(held) > 1:
+                    held = [(np.concatenate([h[0] for h in held]), pa.concat_arrays([h[1] for h in held]))]
+                pool, names = held[0] if held else (np.zeros((0, d)), batch.column(n_by + 5).slice(0, 0))
+                own, m = batch.slice(mid, b - mid), b - mid
+                reach = None if boxes is not None else own.column(n_by + 3).to_numpy(zero_copy_only=False)
+                r, c, v = _nearest(x[mid:b], pool, k, reach)
+                ends = np.cumsum(np.bincount(r, minlength=m))
+                visits: list = [np.zeros(0, np.int64)] * m
+                if boxes is not None:
+                    reach = np.full(m, np.inf)
+                    full = np.diff(ends, prepend=0) == k
+                    reach[full] = v[ends[full] - 1]
+                    reach, visits = _visits(x[mid:b], reach, k, leaf[-1], boxes.get(own.column(n_by)[0].as_py()))
+                offsets = lambda e: pa.array(np.r_[0, e].astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets(ends), names.take(pa.array(c))), pa.ListArray.from_arrays(offsets(ends), pa.array(v)), pa.ListArray.from_arrays(offsets(np.cumsum([len(z) for z in visits])), pa.array(np.concatenate(visits)))]
+                columns = [*(own.column(i) for i in (*range(n_by + 1), n_by + 4, *range(n_by + 6, n_by + 6 + d))), pa.array(reach), *lists]
+                waiting.append(pa.RecordBatch.from_arrays(columns, names=[str(i) for i in range(len(columns))]))
+                ready += m + len(c)
+                if ready > 1 << 16:
+                    yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+                    waiting, ready = [], 0
+        if waiting:
+            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+
+    return run
+
+
+def knn(query: DataFrame, pool: DataFrame, k: int, by: Sequence[str] = (), key: str = "cell", coords: Sequence[str] = ("x", "y"), per_leaf: int = 512) -> DataFrame:
     """(query key, nbr, dist, pos): the k nearest pool points of each query point in its group, itself included if it is there.
 
-    Points fall into square tiles of about ``cells_per_tile`` points a tile.  Each round joins a query's ring of tiles with
-    the pool by tile; a query is done when it has k points nearer than the ring's reach.  Reach doubles for the others, so the result
-    is exact, and no round pairs a query with more than its ring.  Ties go to the smaller key."""
-    cols = list(by)
-    d = len(coords)
-    both = pool.select(*cols, *coords, F.lit(1).alias("_in")).unionByName(query.select(*cols, *coords, F.lit(0).alias("_in")))
-    span = both.groupBy(*cols).agg(F.sum("_in").alias("_n"), *(f(c).alias(f"_{s}{i}") for i, c in enumerate(coords) for s, f in (("lo", F.min), ("hi", F.max)))).where("_n > 0")
-    side = F.greatest(*(F.col(f"_hi{i}") - F.col(f"_lo{i}") for i in range(d)), F.lit(1e-9))
-    span = span.withColumn("_m", F.greatest(F.lit(1), F.floor(F.pow(F.col("_n") / max(cells_per_tile, k), F.lit(1.0 / d))))).withColumn("_w", side / F.col("_m"))
-    span = span.select(*cols, "_n", "_m", "_w", *(F.col(f"_lo{i}") for i in range(d)))
-
-    def tiled(df: DataFrame) -> DataFrame:
-        out = df.join(span, cols) if cols else df.withColumn("_one", F.lit(1)).join(F.broadcast(span.withColumn("_one", F.lit(1))), "_one").drop("_one")
-        return out.withColumns({f"_t{i}": F.least(F.floor((F.col(c) - F.col(f"_lo{i}")) / F.col("_w")), F.col("_m") - 1) for i, c in enumerate(coords)})
-
-    target = tiled(pool.select(*cols, F.col(key).alias("nbr"), *coords)).select(*cols, "nbr", *(F.col(c).alias(f"_p{i}") for i, c in enumerate(coords)), *(F.col(f"_t{i}").alias(f"_u{i}") for i in range(d)))
-    todo = tiled(query.select(*cols, key, *coords))
-    found, ring = None, 1
-    for _ in range(most_rounds):
-        near = todo
-        for i in range(d):
-            near = near.withColumn(f"_u{i}", F.explode(F.sequence(F.greatest(F.lit(0), F.col(f"_t{i}") - ring), F.least(F.col("_m") - 1, F.col(f"_t{i}") + ring))))
-        pairs = near.join(target, [*cols, *(f"_u{i}" for i in range(d))])
-        dist = F.sqrt(sum(((F.col(c) - F.col(f"_p{i}")) * (F.col(c) - F.col(f"_p{i}")) for i, c in enumerate(coords)), F.lit(0.0)))
-        far = F.lit(float("inf"))
-        reach = F.least(*(x for i, c in enumerate(coords) for x in (
-            F.when(F.col(f"_t{i}") - ring <= 0, far).otherwise(F.col(c) - F.col(f"_lo{i}") - (F.col(f"_t{i}") - ring) * F.col("_w")),
-            F.when(F.col(f"_t{i}") + ring >= F.col("_m") - 1, far).otherwise(F.col(f"_lo{i}") + (F.col(f"_t{i}") + ring + 1) * F.col("_w") - F.col(c)),
-        )))
-        best = top_k(pairs.withColumn("dist", dist).withColumn("_reach", reach), [*cols, key], ["dist", "nbr"], k, "pos")
-        state = best.groupBy(*cols, key).agg(F.count(F.lit(1)).alias("_have"), F.max("dist").alias("_far"), F.first("_reach").alias("_reach"), F.first("_n").alias("_total"))
-        done = state.where(((F.col("_have") >= k) & (F.col("_far") < F.col("_reach"))) | (F.col("_have") >= F.col("_total"))).select(*cols, key)
-        part = best.join(done, [*cols, key], "left_semi").select(*cols, key, "nbr", "dist", "pos")
-        found = part if found is None else found.unionByName(part)
-        todo = todo.join(done, [*cols, key], "left_anti")
-        if todo.sparkSession.sparkContext.getCheckpointDir():
-            todo = todo.checkpoint()
-        if not todo.limit(1).count():
-            return found
-        ring *= 2
-    raise RuntimeError("the search did not settle")
+    Quantiles cut each large group into near-square leaves of about ``per_leaf`` places, or 8 * k.  A query's k nearest in
+    its own leaf bound its reach; it visits the other leaves whose boxes are within that, so the result is exact and no pair
+    outside a leaf's own search leaves a task.  Ties go to the smaller key; of pool rows at one place the k smallest keys count.
+    Rows without a place, or with a null in ``by``, are no one's neighbours and have none."""
+    cols, d, size = list(by), len(coords), max(per_leaf, 8 * k)
+    some = reduce(lambda a, b: a & b, (*(F.col(c).isNotNull() for c in cols), *(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in coords)))
+    places = settled(top_k(pool.where(some).select(*cols, F.col(key).alias("nbr"), *coords), [*cols, *coords], ["nbr"], k))
+    tagged, boxes = _leaves(places, cols, coords, size)
+    kinds = {"_key": query.schema[key].dataType, "nbr": places.schema["nbr"].dataType}
+    names = ["_key", *(f"_c{i}" for i in range(d)), "_reach", "_nbrs", "_dists", "_visits"]
+    schema = T.StructType([*(places.schema[c] for c in cols), T.StructField("_g", T.IntegerType()), T.StructField("_key", kinds["_key"]), *(T.StructField(f"_c{i}", T.DoubleType()) for i in range(d)), T.StructField("_reach", T.DoubleType()), T.StructField("_nbrs", T.ArrayType(kinds["nbr"])), T.StructField("_dists", T.ArrayType(T.DoubleType())), T.StructField("_visits", T.ArrayType(T.LongType()))])
+    held = tagged(places).select(*cols, "_g", "_leaf", F.lit(0).alias("_asked"), F.lit(0.0).alias("_reach"), F.lit(None).cast(kinds["_key"]).alias("_key"), "nbr", *(F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(coords)))
+
+    def searched(queries: DataFrame, found: dict | None) -> DataFrame:
+        rows = held.unionByName(queries.withColumns({"_asked": F.lit(1), "nbr": F.lit(None).cast(kinds["nbr"])})).repartition(*cols, "_leaf")
+        return rows.sortWithinPartitions(*cols, "_leaf", "_asked", "nbr").mapInArrow(_search(k, len(cols), d, found), schema)
+
+    flat = lambda df: df.select(*cols, F.col("_key").alias(key), F.posexplode(F.arrays_zip("_nbrs", "_dists")).alias("pos", "_x")).select(*cols, key, F.col("_x._nbrs").alias("nbr"), F.col("_x._dists").alias("dist"), (F.col("pos") + 1).alias("pos"))
+    asked = tagged(query.where(some).select(*cols, F.col(key).alias("_key"), *coords)).select(*cols, "_g", "_leaf", F.lit(0.0).alias("_reach"), "_key", *(F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(coords)))
+    first = searched(asked, boxes)
+    if not boxes:
+        return flat(first)
+    first = settled(first)
+    more = first.where(F.size("_visits") > 0)
+    there = searched(more.select(*cols, "_g", F.explode("_visits").alias("_leaf"), *names[: d + 2]), None)
+    best = top_k(flat(more).unionByName(flat(there)).drop("pos"), [*cols, key], ["dist", "nbr"], k, "pos")
+    return flat(first.where(F.size("_visits") == 0)).unionByName(best)
 
 
 def embedding_knn(query: DataFrame, pool: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", metric: str = "cosine", block_rows: int = 4096) -> DataFrame:
@@ -109,8 +291,6 @@ def embedding_knn(query: DataFrame, pool: DataFrame, k: int, key: str = "vec_id"
 def fuzzy_weights(neighbours: DataFrame, key: str, k: int, steps: int = 40, normalised: bool = True) -> DataFrame:
     """Weights exp(-max(0, dist - rho) / sigma), rho the least distance over 0, sigma by bisection so that they sum to
     log2 k; a row's own place has none.  Normalised to 1 unless asked otherwise."""
-    import pandas as pd
-
     def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
         d = pdf["dist"].to_numpy()
         rho = d[d > 0].min() if (d > 0).any() else 0.0

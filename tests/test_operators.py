@@ -157,6 +157,51 @@ def test_nearest_neighbours_with_ties(spark):
     assert (200, 2) not in got
 
 
+def shapes(name):
+    rng = np.random.default_rng(7)
+    if name == "strip":
+        return [rng.normal(size=(400, 2)) * [1, 1000]] * 2
+    if name == "skewed":
+        return [np.exp(rng.normal(size=(400, 2)) * 8)] * 2
+    if name == "outliers":
+        return [np.r_[rng.random((400, 2)), [[1e9, 0.0], [1e9, 3.0]]]] * 2
+    if name == "copies":
+        return [np.where(rng.random((400, 1)) < 0.8, 0.0, rng.random((400, 2)))] * 2
+    if name == "lattice":
+        return [rng.integers(0, 9, (300, 2)).astype(float), rng.integers(0, 9, (400, 2)).astype(float)]
+    if name == "apart":
+        return [rng.random((100, 2)) + 100, rng.random((400, 2))]
+    return [rng.random((300, 3))] * 2
+
+
+@pytest.mark.parametrize("name", ["strip", "skewed", "outliers", "copies", "lattice", "apart", "space"])
+def test_nearest_neighbours_across_leaves(spark, name):
+    asked, pool = shapes(name)
+    coords = ["x", "y", "z"][: pool.shape[1]]
+    frame = lambda at: spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(at)], "cell long, " + ", ".join(f"{c} double" for c in coords))
+    got = {}
+    for r in neighbours.knn(frame(asked), frame(pool), 5, coords=coords, per_leaf=8).orderBy("cell", "pos").collect():
+        got.setdefault(r["cell"], []).append(r["nbr"])
+    for i, x in enumerate(asked):
+        dist = sum(((x[j] - pool[:, j]) ** 2 for j in range(len(coords))), np.zeros(len(pool)))
+        assert got[i] == np.lexsort((np.arange(len(pool)), np.sqrt(dist)))[:5].tolist()
+
+
+@pytest.mark.parametrize("name", ["strip", "skewed", "outliers"])
+def test_leaves_stay_small_whatever_the_shape(spark, name):
+    at = shapes(name)[1]
+    df = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(at)], "nbr long, x double, y double")
+    tagged, boxes = neighbours._leaves(df, [], ["x", "y"], 16)
+    sizes = [r["count"] for r in tagged(df).groupBy("_leaf").count().collect()]
+    assert sum(sizes) == len(at) and max(sizes) <= 48 and len(boxes[0][0]) == len(sizes)
+
+
+def test_rows_without_a_place_have_no_neighbours(spark):
+    df = spark.createDataFrame([(1, "t", 0.0, 0.0), (2, "t", 1.0, None), (3, "t", 2.0, 0.0), (4, "t", float("nan"), 0.0), (5, None, 0.0, 0.0)], "cell long, annotation string, x double, y double")
+    got = neighbours.knn(df, df, 3, ["annotation"]).collect()
+    assert sorted((r["cell"], r["nbr"], r["pos"]) for r in got) == [(1, 1, 1), (1, 3, 2), (3, 1, 2), (3, 3, 1)]
+
+
 def test_missing_slices_are_made_up_for(spark):
     rows = [(s * 10 + i, s, "t", float(i), 0.0) for s in range(3) for i in range(4)]
     df = spark.createDataFrame(rows, "cell long, slice int, annotation string, x double, y double")
