@@ -7,7 +7,7 @@
    tree, and the Nystrom form of A'A gives singular values and right vectors without a further pass.
 4. Windows of two passages, half overlapping, and the benchmark items' windows are projected, each direction scaled by
    its singular value; pairs of a cosine over a bar that depends on the item's length are candidates, if the window holds
-   enough of the item window's terms.
+   enough of the item window's terms; sums of bytes that bound that share from above go first.
 5. Around each candidate the longest common subsequence of words with the item, and with the item's answer (its last
    third), decide: enough of the whole, or less of the whole with nearly all of the answer.
 
@@ -35,6 +35,7 @@ RANK = 96
 OVER = 8
 ITEMS = 1024
 SHARED = 0.3  # of an item window's inverse document frequencies, that a document's window must hold
+UNITS = 255 - 2 * BLOCK - 1  # of a share, for its bound in bytes
 CHUNK = 1 << 15  # words in one step
 MERGE = 32
 
@@ -101,7 +102,7 @@ def grid(w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 def row_sums(table_: np.ndarray, terms: np.ndarray) -> np.ndarray:
     """The sum of the table's rows over each passage's terms; the table's last row is zero."""
     y = table_[terms[:, 0]]
-    for j in range(1, BLOCK):
+    for j in range(1, terms.shape[1]):
         y += table_[terms[:, j]]
     return y
 
@@ -216,6 +217,23 @@ def once_each(terms: np.ndarray) -> np.ndarray:
     return terms
 
 
+def bounds(weights: np.ndarray) -> np.ndarray:
+    """Weights rounded up to 1 / UNITS, a row for each term: their sums over a window's terms bound its share in each
+    item window from above.  A share is 1 at most and rounding adds under a unit a term, so the sums fit into a byte."""
+    return np.ascontiguousarray(np.ceil(weights.T.astype(np.float64) * UNITS).astype(np.uint8))
+
+
+def candidates(x: np.ndarray, terms: np.ndarray, vectors: np.ndarray, bars: np.ndarray, weights: np.ndarray, above: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, item window, cosine) of the pairs over the bar that share enough; the bound spares the others the exact sum."""
+    sim = x @ vectors
+    i, j = np.nonzero((row_sums(above, terms) >= int(np.ceil(SHARED * UNITS - 0.01))) & (sim >= bars))
+    ok = np.zeros(len(i), bool)
+    for c in range(0, len(i), CHUNK):
+        ok[c : c + CHUNK] = weights[j[c : c + CHUNK, None], terms[i[c : c + CHUNK]]].sum(1) >= SHARED
+    i, j = i[ok], j[ok]
+    return i, j, sim[i, j]
+
+
 def lcs(positions: dict[int, int], n: int, text: list[int]) -> int:
     """Longest common subsequence; positions: bits of each word's places in the pattern of n words."""
     full = (1 << n) - 1
@@ -245,24 +263,19 @@ def search(ids: DataFrame, items: list[tuple[int, str]], idf: np.ndarray, p: np.
     weights /= np.maximum(1e-9, weights.sum(1, keepdims=True))
     n = np.diff(first)[item]
     bars = 0.2 * np.sqrt(np.minimum(2 * BLOCK, n) / (2 * BLOCK))
-    shared = ids.sparkSession.sparkContext.broadcast((p, [i for i, _ in items], lists, np.ascontiguousarray(vectors.T), item, at, bars.astype(np.float32), weights))
+    shared = ids.sparkSession.sparkContext.broadcast((p, [i for i, _ in items], lists, np.ascontiguousarray(vectors.T), item, at, bars.astype(np.float32), weights, bounds(weights)))
     schema = "id long, item_id long, cosine double, common double, answer double, start long, stop long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, names, lists, vectors, item, item_at, bars, weights = shared.value
+        p, names, lists, vectors, item, item_at, bars, weights, above = shared.value
         known = [(places(x), places(x[len(x) - max(1, len(x) // 3) :])) for x in lists]
         for ids_, w, first in chunks(batches):
             x, doc, at, terms = windows(p, w, first)
             out, terms = [], once_each(terms)
             for lo in range(0, len(x), 2048):
-                sim = x[lo : lo + 2048] @ vectors
-                i, j = np.nonzero(sim >= bars)
-                ok = np.zeros(len(i), bool)
-                for c in range(0, len(i), CHUNK):
-                    ok[c : c + CHUNK] = weights[j[c : c + CHUNK, None], terms[lo + i[c : c + CHUNK]]].sum(1) >= SHARED
-                i, j = i[ok], j[ok]
+                i, j, cosine = candidates(x[lo : lo + 2048], terms[lo : lo + 2048], vectors, bars, weights, above)
                 found: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
-                for a, b, s in zip((i + lo).tolist(), j.tolist(), sim[i, j].tolist(), strict=True):
+                for a, b, s in zip((i + lo).tolist(), j.tolist(), cosine.tolist(), strict=True):
                     m = len(lists[item[b]])
                     begin = int(at[a]) - int(item_at[b])  # where the item would start
                     found.setdefault((int(doc[a]), int(item[b])), []).append((begin - BLOCK, begin + m + 2 * BLOCK, s))

@@ -189,6 +189,29 @@ def test_paraphrases_are_found(spark, make_docs):
     assert got == {(i, i) for i in range(200)}
 
 
+def test_bound_of_shares_spares_exact_sums():
+    """Candidates are those of the plain rule, and few pairs over the cosine's bar get to the exact sum."""
+    rng = np.random.default_rng(5)
+    n = 2 * decontam.BLOCK
+    draw = lambda k: decontam.once_each(rng.integers(0, 300, (k, n)).astype(np.int16))
+    mine, terms = draw(150), draw(600)
+    terms[:150, : n // 2] = mine[:, : n // 2]
+    terms = decontam.once_each(terms)
+    weights = np.zeros((150, decontam.DIM + 1), np.float32)
+    np.put_along_axis(weights, mine.astype(np.int64), rng.exponential(1, mine.shape).astype(np.float32), 1)
+    weights[:, decontam.DIM] = 0
+    weights /= weights.sum(1, keepdims=True)
+    x, vectors, bars = rng.standard_normal((600, 8)).astype(np.float32), rng.standard_normal((8, 150)).astype(np.float32), np.zeros(150, np.float32)
+    share = np.stack([w[terms].sum(1) for w in weights], 1)
+    over, above = x @ vectors >= bars, decontam.bounds(weights)
+    i, j, cosine = decontam.candidates(x, terms, vectors, bars, weights, above)
+    assert list(zip(i, j, strict=True)) == list(zip(*np.nonzero(over & (share >= decontam.SHARED)), strict=True))
+    assert (cosine == (x @ vectors)[i, j]).all()
+    bound = decontam.row_sums(above, terms)
+    assert (bound >= share * decontam.UNITS - 1e-3).all() and above.astype(int).sum(0).max() < 256
+    assert (over & (bound >= decontam.SHARED * decontam.UNITS)).sum() <= 1.5 * len(i) < over.sum() / 2
+
+
 def test_each_span_is_judged(spark, make_docs):
     """A larger share without the answer doesn't hide a smaller one with it."""
     item = [f"q{i}" for i in range(60)]
