@@ -39,15 +39,15 @@ PASSES = 2  # of the join of prefixes, each over its share of the codes, so that
 MOST = 65535  # sizes and positions are kept in 16 bits; those beyond pass the filters
 
 
-def split_words(line: Column) -> Column:
-    """A line's words between white space; by a single space, which is much faster than the pattern, where it has no other."""
-    plain = ~(F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\n")))
-    return F.when(plain, F.split(line, " ")).otherwise(F.split(line, SPACES))
+def split_words(line: Column, others: str = "\t\x0b\x0c\r") -> Column:
+    """A line's words between white space; by a single space, which is much faster than the pattern, where it has none of the others."""
+    return F.when(reduce(Column.__or__, (F.contains(line, F.lit(c)) for c in others)), F.split(line, SPACES)).otherwise(F.split(line, " "))
 
 
 def rarity(docs: DataFrame) -> Column:
     """array<tinyint>: the level of each bin, eight levels an octave of its count.  BINS values, whatever the corpus."""
-    words = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(split_words(F.col("line"))).alias("w"))  # as written: any order of codes is valid, rare first is fast
+    # words as written, with rarer white space in them: any order of codes is valid, rare first is fast
+    words = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(split_words(F.col("line"), "\t")).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(BINS - 1).alias("b")).count().select("b", F.least(F.floor(8 * F.log2("count")).cast("int"), F.lit(127)).alias("v"))
     levels = [0] * BINS
     for b, v in counts.collect():
@@ -55,14 +55,15 @@ def rarity(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<tinyint>")
 
 
-def coded(line: Column, levels: Column) -> Column:
-    """Ascending codes of a line's distinct words."""
-    hashes = F.array_distinct(F.transform(F.array_remove(split_words(F.lower(line)), ""), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.coalesce(F.get(levels, h.bitwiseAND(BINS - 1).cast("int")), F.lit(0).cast("tinyint")).cast("bigint"), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))))
+def coded(low: Column, levels: Column) -> Column:
+    """Ascending codes of the distinct words of a line in lower case, which should be a column: Spark evaluates what
+    stands under a lambda's array anew wherever it is named."""
+    hashes = F.transform(F.array_remove(split_words(low), ""), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(F.coalesce(F.get(levels, h.bitwiseAND(BINS - 1).cast("int")), F.lit(0).cast("tinyint")).cast("bigint"), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1)))))
 
 
 def flipped(a: Column, c: Column) -> Column:
-    return a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(c, 24).bitwiseAND(63).cast("int")))
+    return a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(63).cast("int")))
 
 
 def bitmap(codes: Column) -> Column:
@@ -72,7 +73,7 @@ def bitmap(codes: Column) -> Column:
 
 def half(codes: Column) -> Column:
     """The bitmap of the codes of which a further bit is set; with the whole one it makes 128 bins."""
-    return F.aggregate(codes, F.lit(0).cast("bigint"), lambda a, c: F.when(F.shiftright(c, 30).bitwiseAND(1) == 1, flipped(a, c)).otherwise(a))
+    return F.aggregate(codes, F.lit(0).cast("bigint"), lambda a, c: F.call_function("if", c.bitwiseAND(64) == 0, a, flipped(a, c)))
 
 
 def base(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -97,8 +98,9 @@ def classes(docs: DataFrame, levels: Column) -> DataFrame:
     prefix, and the neighbouring codes by which it finds its first check."""
     n, t = F.size("codes"), TENTHS
     head = n - F.ceil(n * t / 10 - 1e-9).cast("int") + 1
-    each = lines(docs).select("k", "no", F.xxhash64("line").alias("class"), coded(F.col("line"), levels).alias("codes"))
-    ends = F.transform(F.sequence(F.lit(0), F.lit(ENDS - 1)), lambda i: F.hash(F.get("codes", head - 1 + i), F.get("codes", head + i)))
+    each = lines(docs).select("k", "no", F.xxhash64("line").alias("class"), F.lower("line").alias("low"))
+    each = each.select("k", "no", "class", coded(F.col("low"), levels).alias("codes"))
+    ends = F.array(*(F.hash(F.get("codes", head - 1 + i), F.get("codes", head + i)) for i in range(ENDS)))
     x = F.struct("k", "no", n.alias("n"), bitmap(F.col("codes")).alias("m"), F.when(n > WIDE, half(F.col("codes"))).otherwise(0).alias("h"), F.slice("codes", 1, head).alias("prefix"), ends.alias("ends"))
     return each.select("class", x.alias("x")).groupBy("class").agg(F.min("x").alias("x"), F.count("*").alias("copies")).select("class", "copies", "x.*")
 
@@ -159,7 +161,7 @@ def verified(pairs_: DataFrame, docs: DataFrame, levels: Column) -> DataFrame:
     """(late): the later places of the pairs whose whole sets are similar; places are structs (k, no)."""
     places_ = pairs_.select("late.k", "late.no").unionByName(pairs_.select("early.k", "early.no")).groupBy("k").agg(F.collect_set("no").alias("nos"))
     places_ = table(places_, "places")
-    sets = docs.join(few(places_), "k").withColumn("all", F.split("text", "\n")).select("k", F.explode("nos").alias("no"), "all").select(F.struct("k", "no").alias("x"), coded(F.get("all", F.col("no")), levels).alias("codes"))
+    sets = docs.join(few(places_), "k").withColumn("all", F.split("text", "\n")).select("k", F.explode("nos").alias("no"), "all").select(F.struct("k", "no").alias("x"), F.lower(F.get("all", F.col("no"))).alias("low")).select("x", coded(F.col("low"), levels).alias("codes"))
     if docs.groupBy("k").count().where("count > 1").limit(1).count():  # repeated rows, whose sets are the same
         sets = sets.dropDuplicates(["x"])
     sets = table(sets, "linesets")

@@ -90,6 +90,12 @@ def test_line_dedup(spark, make_docs, odd_rows, empty):
     assert got == want
 
 
+def test_line_is_lowered_once(make_docs):
+    rows = linededup.base(make_docs([(1, "A b\tc"), (2, "a B c")]), "doc_id", "text")
+    plan = linededup.classes(rows, linededup.F.array(linededup.F.lit(0).cast("tinyint")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_suffix_dedup(spark, make_docs, odd_rows, empty):
     rows = [] if empty else [r for r in odd_rows if r[0] not in (11,)] + [(30, "xy" * 90 + odd_rows[4][1][50:400]), (31, odd_rows[4][1][100:199]), (32, odd_rows[4][1][100:200])]
