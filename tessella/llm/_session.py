@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_BYTES = 32 << 20
 BATCH_BYTES = 4 << 20
 BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -65,11 +68,27 @@ def forget(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that a written table has replaced, which else stay until the driver collects its garbage."""
+    """Lets Spark delete the broadcasts, and shuffle files that are left, of plans that a written table has replaced, which else stay until the driver collects its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Each query within deletes its shuffle files as it ends; with :func:`release` alone they may stay for some steps
+    more, as Python, the driver's garbage collector and Spark's cleaner let go of them one after the other, each in a
+    thread of its own.  For steps that end in a written table, whose plan nothing runs again."""
+    before = spark.conf.get(SWEEP, None)
+    spark.conf.set(SWEEP, True)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SWEEP)
+        else:
+            spark.conf.set(SWEEP, before)
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Deletes every table that :func:`table` has written under this session's shared folder."""
     jvm = spark.sparkContext._jvm

@@ -27,7 +27,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._session import few, forget, release, table
+from ._session import few, forget, release, swept, table
 
 BINS = 1 << 16
 NO_KEY = -(1 << 63)
@@ -173,6 +173,12 @@ def verified(pairs_: DataFrame, docs: DataFrame, levels: Column) -> DataFrame:
 
 def removed(docs: DataFrame) -> DataFrame:
     """(k, nos): the lines of each row of :func:`base` that go, by number from 0."""
+    with swept(docs.sparkSession):
+        return found(docs)
+
+
+def found(docs: DataFrame) -> DataFrame:
+    """What :func:`removed` returns; each step's shuffle files are to be gone before the next, or the disk holds several at once."""
     levels = rarity(docs)
     firsts = table(classes(docs, levels), "classes")
     release(docs.sparkSession)

@@ -2,12 +2,14 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from tessella.llm import bpe, components, fingerprint, linededup, neardup, secrets, suffixdedup
+from tessella.llm._session import SWEEP
 from tessella.llm.queries import bpe_vocabulary
 
 
@@ -96,6 +98,22 @@ def test_line_is_lowered_once(make_docs):
     assert plan.count("lower(") == 1
 
 
+def test_line_dedup_leaves_no_shuffle_files(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(linededup, "release", lambda spark: None)  # the driver's garbage may be collected late
+    rows = linededup.base(make_docs([(i, f"a b c d e f g{i % 3}\nx y z{i}") for i in range(40)]), "doc_id", "text")
+    blocks = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", blocks().mkString(" ")))
+    setting, before = spark.conf.get(SWEEP), files()
+    gone = linededup.removed(rows)
+    assert spark.conf.get(SWEEP) == setting
+    for _ in range(50):  # they are deleted in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert gone.count() == 37
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_suffix_dedup(spark, make_docs, odd_rows, empty):
     rows = [] if empty else [r for r in odd_rows if r[0] not in (11,)] + [(30, "xy" * 90 + odd_rows[4][1][50:400]), (31, odd_rows[4][1][100:199]), (32, odd_rows[4][1][100:200])]
