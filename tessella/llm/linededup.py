@@ -63,7 +63,8 @@ def coded(low: Column, levels: Column) -> Column:
 
 
 def flipped(a: Column, c: Column) -> Column:
-    return a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(63).cast("int")))
+    # a long shifts by the lower six bits; a hash of the code costs less than a checked cast
+    return a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.hash(c)))
 
 
 def bitmap(codes: Column) -> Column:
@@ -90,7 +91,7 @@ def base(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> Da
 
 
 def lines(rows: DataFrame) -> DataFrame:
-    return rows.select("k", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.btrim("line", F.lit("\t\x0b\x0c\r\n ")) != "")
+    return rows.select("k", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.ltrim("line", F.lit("\t\x0b\x0c\r\n ")) != "")
 
 
 def classes(docs: DataFrame, levels: Column) -> DataFrame:
